@@ -56,9 +56,11 @@ class Views:
         One shuffle of the narrow rows: it evens out the evaluation, and every later
         grouping by profile (and scheme) finds its rows already together.
         """
-        made = profiles.with_cells(self.profiles(), {k: f"`{k}`" for k in derive.EXTRA_EXPRESSIONS})
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return made.repartition(parts, "profile_id")
+        if "cells" not in self._plans:
+            made = profiles.with_cells(self.profiles(), {k: f"`{k}`" for k in derive.EXTRA_EXPRESSIONS})
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self._plans["cells"] = made.repartition(parts, "profile_id")
+        return self._plans["cells"]
 
     def schemes(self) -> DataFrame:
         return self._keep(
