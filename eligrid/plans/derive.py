@@ -193,3 +193,74 @@ SELECT p_brand AS scheme_id, concat('Scheme ', p_brand) AS scheme_name,
        CAST(substring(p_brand, 7) AS INT) AS position
 FROM {{part}} GROUP BY p_brand
 """.format(states=NATION_STATES)
+
+# Eligibility prose over `part`: three sentences per part, numbers from its columns.
+SENTENCES = [
+    "Applicant age must be between {a} and {b} years",
+    "Annual income should not exceed Rs. {n}.5 lakh",
+    "The benefit is at the discretion of the district officer",
+    "Applicant must be a resident of the state of Bihar",
+    "Women and men belonging to SC, ST or OBC may apply",
+    "A bank account is mandatory for direct benefit transfer",
+    "The applicant must have a ration card",
+    "Income must be at least Rs. 1,{a},000 per annum",
+    "Widow or divorced women of the weaker section",
+    "Families already receiving benefit from another scheme cannot apply",
+    "Farmer or fisherman with land up to {n} acre",
+    "Must not be a member of EPFO and not eligible if member of ESIC",
+    "Applicant passed 10th or 12th class or is a graduate",
+    "Age {a} years and above",
+    "Age {b} years or below",
+    "Family members more than {n}",
+    "Fewer dependents, less than {n}",
+    "Applicants aged {a}-{b} years of the general category",
+    "Aadhaar is not mandatory for the needy",
+    "Documents such as caste certificate of the state varies by state",
+    "Amount of ₹{a} lakh or {n} crore maximum",
+    "The applicant should be a taxpayer with income tax returns",
+    "Applied within {a} days of notification, subject to availability",
+    "Self-declaration of BPL status required",
+    "Not disqualified persons below poverty line",
+    "Persons with disability certificate of {a} percentage disability",
+    "Married daughter may be part of a separate household",
+    "Minimum {a} months since registration",
+    "From {a} to {b} units of cultivation",
+    "Some persons, any category, may vary",
+    "Land records or patta khata in the revenue record",
+    "Family income includes member income excluded earlier",
+    "Must enroll before 31 date and hold an existing beneficiary card",
+    "The Hindi notice says otherwise than the English one",
+    "Prerequisite scheme is a prerequisite of this circular order",
+    "Appeal to the appellate authority within {a} days",
+    "Call the toll free helpline of the ombudsman",
+    "Implementation pending in the pilot first phase",
+    "Joint family or nuclear family alike",
+    "No bar on worker, driver and mason with savings account",
+    "Gram panchayat at block level decides",
+    "Caste boundary of other backward class",
+    "This contradicts the validity period of the application window",
+    "Household definition differs, double counting of benefit",
+    "Age as on date of application, completed {a} years",
+    "Income between {a} and {b} thousand, borderline income",
+    "Short one",
+]
+_sentence_text = "|".join(s.replace("'", "''") for s in SENTENCES)
+
+
+def _sentence(index: str) -> str:
+    picked = f"split_part('{_sentence_text}', '|', CAST(1 + ({index}) % {len(SENTENCES)} AS INT))"
+    for mark, value in (("{a}", "p_size"), ("{b}", "p_size + 20"), ("{n}", "1 + p_size % 9")):
+        picked = f"replace({picked}, '{mark}', CAST({value} AS STRING))"
+    return picked
+
+
+CLAUSES_SQL = f"""
+SELECT p_partkey AS position, concat('sch-', CAST(p_partkey AS STRING)) AS slug,
+       concat('Scheme for ', p_name, ' no. ', CAST(p_partkey AS STRING)) AS scheme_name,
+       CASE p_size % 5 WHEN 0 THEN 'Central' WHEN 1 THEN 'State' WHEN 2 THEN 'Uttar Pradesh'
+            WHEN 3 THEN ' West Bengal ' ELSE '' END AS level,
+       CASE WHEN p_partkey % 53 = 0 THEN '  '
+            ELSE concat({_sentence('p_partkey')}, '. ', {_sentence('p_partkey * 7 + p_size')}, '! ',
+                        {_sentence('CAST(floor(p_retailprice) AS BIGINT) * 3 + p_size')}, '?') END AS eligibility
+FROM {{part}}
+""".replace("{a}", "{{a}}").replace("{b}", "{{b}}").replace("{n}", "{{n}}")

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligrid.operators import decision, profiles, rulebase
+from eligrid.operators import decision, mining, profiles, rulebase
 from eligrid.plans import derive
 from eligrid.session import checkpoint
 
@@ -105,6 +105,14 @@ class Views:
 
         return self._keep("nested", build)
 
+    def clauses(self) -> DataFrame:
+        return self.spark.sql(derive.CLAUSES_SQL, part=self.table("part"))
+
+    def mined(self) -> DataFrame:
+        if "mined" not in self._plans:
+            self._plans["mined"] = mining.extract_rules(self.clauses())
+        return self._plans["mined"]
+
     def determinations(self) -> DataFrame:
         """Lazy; the plan is built once per folder, the data never kept."""
         if "determinations" not in self._plans:
