@@ -42,6 +42,13 @@ def audit_cents(status: Column) -> Column:
     )
 
 
+def with_condition_type(rules: DataFrame) -> DataFrame:
+    """Condition type from the last segment of the field path."""
+    segment = F.element_at(F.split("field", r"\."), -1)
+    known = F.try_element_at(_map(model.CONDITION_TYPE_BY_SEGMENT), segment)
+    return rules.withColumn("condition_type", F.coalesce(known, segment))
+
+
 def load_ready(rules: DataFrame) -> DataFrame:
     """Rules that survive reading: aliased and with usable bounds."""
     return drop_bad_between(alias_operators(rules))

@@ -264,3 +264,42 @@ SELECT p_partkey AS position, concat('sch-', CAST(p_partkey AS STRING)) AS slug,
                         {_sentence('CAST(floor(p_retailprice) AS BIGINT) * 3 + p_size')}, '?') END AS eligibility
 FROM {{part}}
 """.replace("{a}", "{{a}}").replace("{b}", "{{b}}").replace("{n}", "{{n}}")
+
+# Relationship edges between schemes: three per brand, some to unknown schemes.
+RELATIONSHIPS_SQL = """
+WITH b AS (
+  SELECT p_brand, CAST(substring(p_brand, 7) AS INT) AS k, sum(p_size) AS ssum, sum(p_partkey) AS ksum
+  FROM {part} GROUP BY p_brand
+), e AS (
+  SELECT p_brand AS scheme_a, concat('Brand#', CAST(1 + (k * 7) % 25 AS STRING)) AS scheme_b, k * 3 AS position, ssum AS m, ksum FROM b
+  UNION ALL
+  SELECT p_brand, concat('Brand#', CAST(1 + (k + 1) % 25 AS STRING)), k * 3 + 1, ssum + 1, ksum * 3 FROM b
+  UNION ALL
+  SELECT concat('Brand#', CAST(1 + (k + 1) % 27 AS STRING)), p_brand, k * 3 + 2, ssum + 1, ksum * 5 FROM b
+)
+SELECT concat('REL-', scheme_a, '-', scheme_b) AS relationship_id, scheme_a, scheme_b, position,
+       CASE m % 4 WHEN 0 THEN 'PREREQUISITE' WHEN 1 THEN 'MUTUAL_EXCLUSION' WHEN 2 THEN 'COMPLEMENTARY' ELSE 'PREREQUISITE' END
+         AS relationship_type,
+       CAST(20 + ksum % 81 AS DOUBLE) / 100 AS confidence
+FROM e WHERE scheme_a <> scheme_b
+"""
+
+# Gazette feed entries over orders; the title or summary names a scheme.
+FEED_SQL = """
+SELECT concat('G-', CAST(o_orderkey AS STRING)) AS gazette_ref,
+       concat('Order on BRAND#', CAST(1 + o_orderkey % 60 AS STRING)) AS title,
+       CASE WHEN o_orderkey % 4 = 0 THEN concat('amends brand#', CAST(1 + o_custkey % 40 AS STRING), ' rules') ELSE NULL END AS summary_raw,
+       substring(CAST(o_orderdate AS STRING), 1, 10) AS notification_date
+FROM {orders}
+"""
+
+# Fund data per order, with gaps: no data, discontinued, bad or missing dates.
+FUND_SQL = """
+SELECT o_orderkey AS fund_id, o_orderkey % 13 <> 0 AS has_data,
+       CASE o_orderstatus WHEN 'P' THEN 'discontinued' ELSE 'running' END AS status,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 'soon'
+            ELSE substring(CAST(o_orderdate AS STRING), 1, 10) END AS last_release,
+       o_custkey % 4 AS beneficiaries
+FROM {orders}
+"""
+AS_OF = "2001-08-01"

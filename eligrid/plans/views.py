@@ -105,6 +105,21 @@ class Views:
 
         return self._keep("nested", build)
 
+    def relationships(self) -> DataFrame:
+        return self._keep(
+            "relationships",
+            lambda: self.spark.sql(derive.RELATIONSHIPS_SQL, part=self.table("part")).coalesce(1),
+        )
+
+    def feed(self) -> DataFrame:
+        return self.spark.sql(derive.FEED_SQL, orders=self.table("orders")).withColumn(
+            "summary", F.coalesce("summary_raw", "title")
+        ).drop("summary_raw")
+
+    def typed_rules(self) -> DataFrame:
+        """Loaded rules with the condition type their field implies."""
+        return rulebase.with_condition_type(self.rules())
+
     def clauses(self) -> DataFrame:
         return self.spark.sql(derive.CLAUSES_SQL, part=self.table("part"))
 
