@@ -208,3 +208,111 @@ def nest(schemes: DataFrame, bound: DataFrame, excluded: DataFrame) -> DataFrame
             }
         )
     )
+
+
+def validation_errors() -> Column:
+    """Constraint violations of a rule row: confidence, bounds, required fields, flag code."""
+    missing = [
+        F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(f"missing {c}"))
+        for c in ("rule_id", "scheme_id", "field", "operator", "display_text")
+    ]
+    return F.array_compact(
+        F.array(
+            F.when(~F.col("confidence").between(0.0, 1.0), F.lit("confidence out of range")),
+            F.when(
+                (F.col("operator") == "BETWEEN") & (F.col("value_min").isNull() | F.col("value_max").isNull()),
+                F.lit("between without bounds"),
+            ),
+            F.when(~F.col("operator").isin(*model.OPERATORS), F.lit("unknown operator")),
+            F.when(~F.col("flag_code").between(1, 30), F.lit("flag code out of range")),
+            *missing,
+        )
+    )
+
+
+def build(rules: DataFrame) -> DataFrame:
+    """Fill a rule's defaults and name what is wrong with it."""
+    typed = with_condition_type(rules)
+    return typed.withColumns(
+        {
+            "confidence": F.coalesce("confidence", F.lit(0.90)),
+            "rule_type": F.coalesce("rule_type", F.lit("eligibility")),
+            "label": F.try_element_at(_map(model.FIELD_NAMESPACE), F.col("field")),
+            "error": F.when(~F.col("operator").isin(*model.OPERATORS), "invalid operator").when(
+                ~F.col("field").isin(*model.FIELD_NAMESPACE), "unknown field"
+            ),
+        }
+    )
+
+
+def _listed() -> Column:
+    shown = F.when(F.length("values_text") > 0, F.col("values_text")).otherwise(F.coalesce("value_text", F.lit("None")))
+    return F.replace(shown, F.lit("|"), F.lit(", "))
+
+
+def display_text() -> Column:
+    """Generated sentence per operator."""
+    label = F.coalesce(F.try_element_at(_map(model.FIELD_NAMESPACE), F.col("field")), F.col("field"))
+    value = F.coalesce("value_text", F.lit("None"))
+    lo, hi = (F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("value_min", "value_max"))
+    op = F.col("operator")
+    join = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    chain = F.when(
+        op == "BETWEEN",
+        F.when(F.contains("field", F.lit("age")), join("Applicant age must be between ", lo, " and ", hi, " years")).otherwise(
+            join(label, " must be between ", lo, " and ", hi)
+        ),
+    )
+    plain = {
+        "EQ": (" must equal ", value), "NEQ": (" must not equal ", value), "LT": (" < ", value), "LTE": (" ≤ ", value),
+        "GT": (" > ", value), "GTE": (" ≥ ", value), "IN": (" must be one of: ", _listed()),
+        "NOT_MEMBER": (" must not be a member of: ", _listed()), "NOT_IN": (" must not be: ", _listed()),
+        "IS_NULL": (" must be absent",), "IS_NOT_NULL": (" must be present",),
+        "CONTAINS": (" must contain '", value, "'"), "MATCHES": (" must match pattern '", value, "'"),
+    }
+    for name, parts in plain.items():
+        chain = chain.when(op == name, join(label, *parts))
+    return chain.otherwise(join(label, " ", op, " ", value))
+
+
+def condition_text() -> Column:
+    """`field OP value` form of a rule."""
+    op, field = F.col("operator"), F.col("field")
+    value = F.coalesce("value_text", F.lit("None"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    return (
+        F.when(op == "BETWEEN", F.concat(field, F.lit(" BETWEEN "), text("value_min"), F.lit(" AND "), text("value_max")))
+        .when(op.isin("IN", "NOT_IN", "NOT_MEMBER"), F.concat(field, F.lit(" "), op, F.lit(" ("), _listed(), F.lit(")")))
+        .when(op.isin("IS_NULL", "IS_NOT_NULL"), F.concat(field, F.lit(" "), op))
+        .otherwise(F.concat_ws(" ", field, op, value))
+    )
+
+
+def decision_table(rules: DataFrame) -> DataFrame:
+    """Thirteen-column decision-table rows; a rule without display text has an error instead."""
+    typed = with_condition_type(rules)
+    return typed.select(
+        F.col("rule_id").alias("Rule_ID"), F.col("scheme_id").alias("Scheme_ID"), F.col("rule_type").alias("Rule_Type"),
+        F.col("condition_type").alias("Condition_Type"), F.col("field").alias("Field"), F.col("operator").alias("Operator"),
+        condition_text().alias("Condition"), F.col("source_quote").alias("Source_Quote"), F.col("source_url").alias("Source_URL"),
+        F.col("confidence").alias("Confidence"), F.col("audit_status").alias("Audit_Status"),
+        F.col("display_text").alias("Display_Text"), F.lit("1.0.0").alias("Version"),
+        F.when(F.coalesce("display_text", F.lit("")) == "", "empty display_text").alias("error"),
+    )
+
+
+def groups(rules: DataFrame) -> DataFrame:
+    """Rule groups with their ALL/ANY text; an invalid logic word is an error."""
+    words = {"AND": "ALL", "OR": "ANY", "AND_OR_AMBIGUOUS": "ALL OR ANY (ambiguous)"}
+    logic = F.coalesce("logic_operator", F.lit("AND"))
+    grouped = rules.where("logic_group IS NOT NULL").groupBy("scheme_id", "logic_group").agg(
+        F.max_by(logic, "ord").alias("logic"),
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "rule_id"))), lambda x: x["rule_id"]).alias("rule_ids"),
+    )
+    word = F.try_element_at(_map(words), F.col("logic"))
+    return grouped.withColumns(
+        {
+            "display_text": F.concat(F.lit("Applicant must satisfy "), word, F.lit(" of the following rules")),
+            "error": F.when(word.isNull(), F.concat(F.lit("invalid logic "), F.col("logic"))),
+        }
+    )

@@ -1,4 +1,10 @@
 """All query modules, imported for their registrations."""
 
-from eligrid.plans import queries_core, queries_mining, queries_quality, queries_results  # noqa: F401
+from eligrid.plans import (  # noqa: F401
+    queries_core,
+    queries_mining,
+    queries_quality,
+    queries_results,
+    queries_sources,
+)
 from eligrid.plans.registry import ORACLES, QUERIES  # noqa: F401
