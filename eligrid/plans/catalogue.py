@@ -1,6 +1,7 @@
 """All query modules, imported for their registrations."""
 
 from eligrid.plans import (  # noqa: F401
+    queries_conversation,
     queries_core,
     queries_mining,
     queries_quality,

@@ -303,3 +303,85 @@ SELECT o_orderkey AS fund_id, o_orderkey % 13 <> 0 AS has_data,
 FROM {orders}
 """
 AS_OF = "2001-08-01"
+
+# Field values said in conversations, over events; a turn is a day of a user.
+SPARK_DAY = "datediff(CAST(ts AS DATE), DATE '2024-01-01')"
+DUCK_DAY = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
+EXTRACTIONS_SQL = """
+SELECT user_id AS conv_id, CAST({day} AS INT) AS turn, event_id AS seq, ts,
+  CASE event_id % 15 WHEN 0 THEN 'applicant.age' WHEN 1 THEN 'applicant.birth_year' WHEN 2 THEN 'household.income_annual'
+    WHEN 3 THEN 'household.income_monthly' WHEN 4 THEN 'employment.is_income_tax_payer' WHEN 5 THEN 'applicant.disability_status'
+    WHEN 6 THEN 'applicant.disability_percentage' WHEN 7 THEN 'documents.bank_account' WHEN 8 THEN 'documents.bank_account_type'
+    WHEN 9 THEN 'employment.type' WHEN 10 THEN 'applicant.land_ownership_status' WHEN 11 THEN 'household.land_acres'
+    WHEN 12 THEN 'location.state' WHEN 13 THEN 'applicant.caste_category' ELSE 'applicant.gender' END AS field,
+  CASE event_id % 15 WHEN 0 THEN CAST(floor(value) AS DOUBLE) WHEN 1 THEN 1890 + floor(value * 2) % 140 WHEN 2 THEN CAST(floor(value * 3000) AS DOUBLE)
+    WHEN 3 THEN CAST(floor(value * 250) AS DOUBLE) WHEN 6 THEN CAST(floor(value) AS DOUBLE)
+    WHEN 11 THEN CASE WHEN floor(value) % 3 = 0 THEN 0.0E0 ELSE floor(value) / 10.0E0 END ELSE NULL END AS num,
+  CASE event_id % 15 WHEN 4 THEN CASE WHEN event_type IN ('purchase', 'click') THEN 'True' ELSE 'False' END
+    WHEN 5 THEN CASE WHEN event_type <> 'view' THEN 'True' ELSE 'False' END WHEN 7 THEN CASE WHEN event_type = 'error' THEN 'False' ELSE 'True' END
+    WHEN 8 THEN CASE event_type WHEN 'view' THEN 'savings' ELSE 'jan_dhan' END
+    WHEN 9 THEN CASE event_type WHEN 'view' THEN 'student' WHEN 'click' THEN 'agriculture' WHEN 'error' THEN 'astronaut' ELSE 'salaried' END
+    WHEN 10 THEN CASE WHEN event_type = 'signup' THEN 'True' ELSE 'False' END
+    WHEN 12 THEN CASE event_type WHEN 'view' THEN 'UP' WHEN 'click' THEN 'bihar' ELSE 'TN' END
+    WHEN 13 THEN CASE event_type WHEN 'view' THEN 'SC' WHEN 'click' THEN 'obc' ELSE 'minority' END
+    WHEN 14 THEN CASE WHEN event_type IN ('view', 'click') THEN 'female' ELSE 'male' END ELSE NULL END AS text,
+  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'no figure' ELSE concat('about ', CAST(CAST(floor(value) AS BIGINT) AS STRING)) END AS span
+FROM {events}
+"""
+
+MESSAGES = [
+    "I am {v} years old",
+    "actually I am a widow from the village",
+    "my husband is a farmer, kisan",
+    "what if I open a bank account",
+    "am i eligible for anything",
+    "Hello!",
+    "skip this, no idea",
+    "thanks",
+    "tell me about the pension scheme",
+    "{v}",
+    "yes",
+    "I am a man and no longer a housewife",
+    "pachaas saal ka hu aur do lakh kamata hu",
+    "income is 2.5 lakh or Rs 3,00,{v}",
+    "born in 1985, about 40 thousand a month",
+    "{v}.5 bigha of land",
+    "3 hectare and 1.2 crore",
+    "मैं महिला हूँ, पता नहीं",
+    "check again",
+    "how do i apply",
+    "ek  Hazar rupaye, DAS mahine, teen members",
+    "",
+]
+_message_text = "|".join(MESSAGES)
+MESSAGES_SQL = f"""
+SELECT user_id AS conv_id, CAST({{day}} AS INT) AS turn, event_id AS seq,
+       replace(split_part('{_message_text}', '|', CAST(1 + event_id % {len(MESSAGES)} AS INT)), '{{{{v}}}}', CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS message,
+       event_type IN ('view', 'click') AS gathering, event_type = 'purchase' AS has_results
+FROM {{events}}
+""".replace("{v}", "{{v}}").replace("{{{v}}}", "{{v}}")
+
+LANGUAGE_TEXTS_SQL = """
+SELECT conv_id, turn, role, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN 'मेरी उम्र पैंतीस साल है।' WHEN 2 THEN concat('मेरा नाम ', role, ' है')
+   WHEN 3 THEN concat('mera naam ', role) ELSE ' ' END AS text FROM {conversations}
+"""
+
+RAW_VALUES_SQL = """
+SELECT event_id, CASE event_id % 9 WHEN 0 THEN ' Uttar Pradesh ' WHEN 1 THEN 'बिहार' WHEN 2 THEN 'tn' WHEN 3 THEN 'Atlantis' WHEN 4 THEN 'PONDICHERRY' WHEN 5 THEN 'OR'
+         WHEN 6 THEN 'wb ' WHEN 7 THEN 'दिल्ली' ELSE event_type END AS state_raw,
+  CASE event_id % 7 WHEN 0 THEN 'Dalit' WHEN 1 THEN ' obc' WHEN 2 THEN 'ews ' WHEN 3 THEN 'आदिवासी' WHEN 4 THEN 'Economically Weaker' WHEN 5 THEN 'General' ELSE 'minority' END AS caste_raw,
+  CASE event_id % 8 WHEN 0 THEN concat(CAST(CAST(floor(value) AS BIGINT) AS STRING), '.5 lakh') WHEN 1 THEN '₹2,50,000' WHEN 2 THEN '1.2 Crore' WHEN 3 THEN concat(CAST(CAST(floor(value) AS BIGINT) AS STRING), ' hazar')
+    WHEN 4 THEN 'nothing' WHEN 5 THEN '3 लाख' WHEN 6 THEN concat('Rs ', CAST(CAST(floor(value) AS BIGINT) AS STRING), ' pm') ELSE '12 thousand' END AS money_raw,
+  CASE event_id % 6 WHEN 0 THEN concat(CAST(CAST(floor(value) AS BIGINT) AS STRING), ' bigha') WHEN 1 THEN '2.5 Hectare' WHEN 2 THEN concat(CAST(CAST(floor(value) AS BIGINT) AS STRING), '.25 acres')
+    WHEN 3 THEN '4 बीघा' WHEN 4 THEN 'none' ELSE '7' END AS land_raw,
+  CASE event_id % 5 WHEN 0 THEN concat('born in ', CAST(1950 + event_id % 60 AS STRING)) WHEN 1 THEN 'age 42 now' WHEN 2 THEN 'about 12345' WHEN 3 THEN 'unknown'
+    ELSE concat(CAST(CAST(floor(value) AS BIGINT) AS STRING), ' years') END AS age_raw
+FROM {events}
+"""
+
+# Name queries over orders.
+NAME_QUERIES_SQL = """
+SELECT o_orderkey AS query_id, concat('Tell me about the ', split_part('red,blue,small,hot,big,cold,new,old', ',', CAST(1 + o_orderkey % 8 AS INT)), ' ',
+   split_part('widget,bolt,ring,anvil,gear,unicorn', ',', CAST(1 + o_custkey % 6 AS INT)), ' scheme') AS text FROM {orders}
+"""
+NAMES_SQL = """SELECT p_name AS scheme_id, min(p_partkey) AS position, concat('Yojana for ', p_name) AS scheme_name, replace(p_name, ' ', '') AS short_name FROM {part} GROUP BY p_name"""
