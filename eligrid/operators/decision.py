@@ -103,7 +103,18 @@ def judge(joined: DataFrame) -> DataFrame:
             e["r"]["critical_notes"].alias("critical_notes"),
         ),
     )
-    return joined.withColumn("all_evals", evals)
+    return settled(joined, {"all_evals": evals})
+
+
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns so that they are computed once per row.
+
+    They come out of a generator over a single struct: a later filter on them stays
+    above it, where a plain projection would be copied into the filter as well.
+    """
+    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(made))
 
 
 def _count(array: Column | str, test) -> Column:
@@ -191,7 +202,8 @@ def decide(judged: DataFrame) -> DataFrame:
                 "n_present": present,
             }
         )
-        .withColumns(
+        .transform(
+            settled,
             {
                 "status": status,
                 "rules_passed": _count("evals", lambda e: passed(e["outcome"])),
@@ -205,7 +217,7 @@ def decide(judged: DataFrame) -> DataFrame:
                     F.when(critical, F.least(after, F.lit(model.CRITICAL_CAP))).otherwise(after),
                 ),
                 "completeness": F.when(required == 0, 0.0).otherwise(F.col("n_present") / required),
-            }
+            },
         )
         .drop("populated")
     )

@@ -7,5 +7,6 @@ from eligrid.plans import (  # noqa: F401
     queries_quality,
     queries_results,
     queries_sources,
+    queries_streams,
 )
 from eligrid.plans.registry import ORACLES, QUERIES  # noqa: F401

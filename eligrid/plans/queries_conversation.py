@@ -271,9 +271,9 @@ def contra_intra(v: Views) -> DataFrame:
 @query(
     "contra_implicit",
     _with(
-        """SELECT s.conv_id, s.turn, s.field, s.text, arg_max(i.value, i.turn * 1000000000 + i.seq) AS assumed
+        """SELECT s.conv_id, s.turn, s.field, s.text, arg_max(i.value, CAST(i.turn AS BIGINT) * 1000000000 + i.seq) AS assumed
         FROM said s JOIN inf i ON i.conv_id = s.conv_id AND i.field = s.field AND i.turn < s.turn WHERE s.text IS NOT NULL GROUP BY 1, 2, 3, 4
-        HAVING arg_max(i.value, i.turn * 1000000000 + i.seq) <> s.text""",
+        HAVING arg_max(i.value, CAST(i.turn AS BIGINT) * 1000000000 + i.seq) <> s.text""",
         **INFERRED,
     ),
 )
