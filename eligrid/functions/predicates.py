@@ -33,7 +33,7 @@ def unknown() -> Column:
 
 
 def is_null(u: Cell) -> Column:
-    return F.coalesce(u.kind, F.lit("null")) == "null"
+    return u.kind == "null"
 
 
 def _numeric(c: Cell) -> Column:
@@ -184,9 +184,21 @@ def evaluate_as(
 def evaluate(
     opcode: Column, u: Cell, v: Cell, lo: Column, hi: Column, items: Column, pattern_ok: Column
 ) -> Column:
-    """Dispatch on the operator's code; an unknown operator cannot be determined."""
-    chain = None
-    for name, code in OPCODE.items():
-        branch = (opcode == code, evaluate_as(name, u, v, lo, hi, items, pattern_ok))
-        chain = F.when(*branch) if chain is None else chain.when(*branch)
-    return chain
+    """Dispatch on the operator's code; an unknown operator cannot be determined.
+
+    Codes follow model.OPERATORS, so families are contiguous and found in two steps.
+    """
+
+    def family(*names: str) -> Column:
+        chain = None
+        for name in names:
+            branch = (opcode == OPCODE[name], evaluate_as(name, u, v, lo, hi, items, pattern_ok))
+            chain = F.when(*branch) if chain is None else chain.when(*branch)
+        return chain
+
+    return (
+        F.when(opcode <= OPCODE["NEQ"], family("EQ", "NEQ"))
+        .when(opcode <= OPCODE["BETWEEN"], family("LT", "LTE", "GT", "GTE", "BETWEEN"))
+        .when(opcode <= OPCODE["NOT_MEMBER"], family("IN", "NOT_IN", "NOT_MEMBER"))
+        .otherwise(family("IS_NULL", "IS_NOT_NULL", "CONTAINS", "MATCHES"))
+    )

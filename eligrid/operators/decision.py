@@ -103,7 +103,10 @@ def judge(joined: DataFrame) -> DataFrame:
             e["r"]["critical_notes"].alias("critical_notes"),
         ),
     )
-    return settled(joined, {"all_evals": evals})
+    sized = F.when(
+        F.size("rules") > MAX_RULES, F.raise_error(F.lit("a scheme has more rules than the packed counters hold"))
+    ).otherwise(evals)
+    return settled(joined, {"all_evals": sized})
 
 
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -117,12 +120,21 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(made))
 
 
-def _count(array: Column | str, test) -> Column:
-    return F.size(F.filter(array, test))
+# Counters of a scheme travel packed in one long, sixteen bits each, so that a single
+# fold over its rules yields them all; no scheme may have more rules than fit.
+MAX_RULES = (1 << 15) - 1
 
 
-def _sum(array: Column | str, value) -> Column:
-    return F.aggregate(array, F.lit(0), lambda acc, e: acc + value(e))
+def _slot(value: int, n: int) -> Column:
+    return F.lit(value << (16 * n)).cast("long")
+
+
+def _packed_sum(array: str, value) -> Column:
+    return F.aggregate(array, F.lit(0).cast("long"), lambda acc, e: acc + value(e))
+
+
+def _field(packed: str, shift: int, bits: int) -> Column:
+    return F.shiftright(F.col(packed), shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
 def in_phase_c(e: Column) -> Column:
@@ -134,7 +146,6 @@ def in_phase_c(e: Column) -> Column:
 
 def decide(judged: DataFrame) -> DataFrame:
     """Short-circuits, evaluated rows, status and the three scores."""
-    unmet = lambda e: (e["phase"] == "B") & ~passed(e["outcome"])
     fired = F.array_min(
         F.transform(
             F.filter("all_evals", lambda e: (e["phase"] == "A") & (e["outcome"] == "PASS")),
@@ -151,24 +162,39 @@ def decide(judged: DataFrame) -> DataFrame:
         .otherwise(True),
     )
     required = F.size("required")
-    present = F.size(F.array_intersect("required", "populated"))
-    names = F.array(*[F.lit(p) for p, _ in model.PROFILE_FIELDS])
-    populated = F.transform(
-        F.filter(
-            F.arrays_zip(names.alias("field"), F.col("cells").alias("cell")),
-            lambda z: prof.populated(z["cell"]),
-        ),
-        lambda z: z["field"],
-    )
-    scored = _count("evals", lambda e: e["outcome"] != "UNDETERMINED")
-    n = F.size("evals")
-    audit_mean = F.when(n == 0, 0.0).otherwise(_sum("evals", lambda e: e["audit_cents"]) / (n * 100))
-    penalty = _sum(
-        "evals",
-        lambda e: e["penalty_cents"],
-    ) / 100
-    critical = F.exists("evals", lambda e: e["critical_notes"] > 0)
-    after = F.greatest(F.lit(0.0), audit_mean - penalty)
+    present = F.size(F.array_intersect("required_slots", "populated"))
+    scored = F.col("rules_passed") + F.col("rules_failed")
+    audit_mean = F.when(F.col("n_evals") == 0, 0.0).otherwise(F.col("audit_sum") / (F.col("n_evals") * 100))
+    after = F.greatest(F.lit(0.0), audit_mean - F.col("penalty_sum") / 100)
+
+    def phase_counts(e: Column) -> Column:
+        ok = passed(e["outcome"])
+        return (
+            F.when(
+                in_phase_c(e),
+                F.when(ok, F.when(e["own_critical"], _slot(1, 0) + _slot(1, 3)).otherwise(_slot(1, 0)))
+                .when(e["outcome"] == "FAIL", _slot(1, 1))
+                .otherwise(_slot(0, 0)),
+            )
+            .when((e["phase"] == "B") & ~ok, _slot(1, 2))
+            .otherwise(_slot(0, 0))
+        )
+
+    def outcome_counts(e: Column) -> Column:
+        o = e["outcome"]
+        return (
+            _slot(1, 0)
+            + F.when(passed(o), _slot(1, 1)).when(o == "FAIL", _slot(1, 2)).otherwise(_slot(0, 0))
+            + F.when(e["critical_notes"] > 0, _slot(1, 3)).otherwise(_slot(0, 0))
+        )
+
+    def cent_sums(e: Column) -> Column:
+        return (
+            F.coalesce(outcome_cents(e["outcome"]), F.lit(0)).cast("long")
+            + e["audit_cents"].cast("long") * (1 << 22)
+            + e["penalty_cents"].cast("long") * (1 << 44)
+        )
+
     status = (
         F.when(F.col("fired").isNotNull(), "DISQUALIFIED")
         .when(F.col("prereq_unmet") > 0, "REQUIRES_PREREQUISITE")
@@ -188,38 +214,40 @@ def decide(judged: DataFrame) -> DataFrame:
         .otherwise("INELIGIBLE")
     )
     return (
-        judged.withColumns({"fired": fired, "prereq_unmet": _count("all_evals", unmet), "populated": populated})
+        judged.withColumns({"fired": fired, "_phases": _packed_sum("all_evals", phase_counts)})
+        .withColumn("prereq_unmet", _field("_phases", 32, 16))
+        .withColumn("evals", kept)
+        .withColumns({"_outcomes": _packed_sum("evals", outcome_counts), "_cents": _packed_sum("evals", cent_sums)})
         .withColumns(
             {
-                "evals": kept,
-                "c_pass": _count("all_evals", lambda e: in_phase_c(e) & passed(e["outcome"])),
-                "c_fail": _count("all_evals", lambda e: in_phase_c(e) & (e["outcome"] == "FAIL")),
-                "c_critical": F.exists(
-                    "all_evals",
-                    lambda e: in_phase_c(e) & passed(e["outcome"]) & e["own_critical"],
-                ),
+                "c_pass": _field("_phases", 0, 16),
+                "c_fail": _field("_phases", 16, 16),
+                "c_critical": _field("_phases", 48, 15) > 0,
                 "n_required": required,
                 "n_present": present,
+                "n_evals": _field("_outcomes", 0, 16),
+                "rules_passed": _field("_outcomes", 16, 16),
+                "rules_failed": _field("_outcomes", 32, 16),
+                "_critical": _field("_outcomes", 48, 15) > 0,
+                "_match": _field("_cents", 0, 22),
+                "audit_sum": _field("_cents", 22, 22),
+                "penalty_sum": _field("_cents", 44, 19),
             }
         )
         .transform(
             settled,
             {
                 "status": status,
-                "rules_passed": _count("evals", lambda e: passed(e["outcome"])),
-                "rules_failed": _count("evals", lambda e: e["outcome"] == "FAIL"),
-                "rules_undetermined": n - scored,
-                "rule_match": F.when(scored == 0, 0.0).otherwise(
-                    _sum("evals", lambda e: F.coalesce(outcome_cents(e["outcome"]), F.lit(0))) / (scored * 100)
-                ),
+                "rules_undetermined": F.col("n_evals") - scored,
+                "rule_match": F.when(scored == 0, 0.0).otherwise(F.col("_match") / (scored * 100)),
                 "data_confidence": F.least(
                     F.lit(1.0),
-                    F.when(critical, F.least(after, F.lit(model.CRITICAL_CAP))).otherwise(after),
+                    F.when(F.col("_critical"), F.least(after, F.lit(model.CRITICAL_CAP))).otherwise(after),
                 ),
                 "completeness": F.when(required == 0, 0.0).otherwise(F.col("n_present") / required),
             },
         )
-        .drop("populated")
+        .drop("populated", "required_slots", "_phases", "_outcomes", "_cents", "_match", "_critical", "audit_sum", "penalty_sum", "n_evals")
     )
 
 

@@ -99,7 +99,13 @@ def with_cells(profiles: DataFrame, extras: dict[str, str] | None = None) -> Dat
         F.coalesce("location_state", F.lit("*")).alias("state"),
         F.array(*ordered).alias("cells"),
         extra_map.alias("extras"),
-    )
+    ).withColumn("populated", populated_slots(F.col("cells")))
+
+
+def populated_slots(cell_array: Column) -> Column:
+    """Slots of the fields a profile fills, worked out once per profile."""
+    numbered = F.transform(cell_array, lambda c, i: F.when(populated(c), i))
+    return F.array_compact(numbered)
 
 
 def lookup(cell_array: Column, extras: Column, slot: Column, field: Column) -> Column:

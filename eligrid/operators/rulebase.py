@@ -191,6 +191,7 @@ def nest(schemes: DataFrame, bound: DataFrame, excluded: DataFrame) -> DataFrame
     nested = rules.groupBy("state", "scheme_id").agg(
         F.array_sort(F.collect_list(F.struct(*RULE_COLUMNS))).alias("rules"),
         F.array_sort(F.collect_set("field")).alias("required"),
+        F.collect_set("slot").alias("required_slots"),
     )
     keys = F.array(*[F.lit(s) for s in (NO_STATE, *model.STATE_CODES)])
     grid = schemes.where("status = 'active'").select(
@@ -204,6 +205,7 @@ def nest(schemes: DataFrame, bound: DataFrame, excluded: DataFrame) -> DataFrame
             {
                 "rules": F.coalesce("rules", F.array().cast(rule_type)),
                 "required": F.coalesce("required", F.array().cast("array<string>")),
+                "required_slots": F.coalesce("required_slots", F.array().cast("array<int>")),
                 "excluded_count": F.coalesce("excluded_count", F.lit(0)),
             }
         )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eligrid import model
 from eligrid.functions import cells
 from eligrid.functions import vocab as V
-from eligrid.operators import decision
+from eligrid.operators import decision, profiles
 
 BASE = "current"
 
@@ -20,7 +20,8 @@ def scenarios(profile_cells: DataFrame, changes: dict[str, tuple[str, Column, st
         slot = model.FIELD_SLOT[field]
         changed = _replaced(slot, cells.cell(value, kind))
         variants.append(F.struct(F.lit(name).alias("scenario"), changed.alias("cells")))
-    return profile_cells.select("profile_id", "state", "extras", F.inline(F.array(*variants)))
+    varied = profile_cells.select("profile_id", "state", "extras", F.inline(F.array(*variants)))
+    return varied.withColumn("populated", profiles.populated_slots(F.col("cells")))
 
 
 def _replaced(slot: int, cell: Column) -> Column:
