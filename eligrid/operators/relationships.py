@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligrid.session import broadcast_if_small
+
 MIN_CONFIDENCE, DISPLAY_CONFIDENCE = 0.30, 0.60
 
 
@@ -65,7 +67,7 @@ def mentions(texts: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame
 
     grams = F.array_distinct(F.concat(*[windows(n) for n in lengths]))
     keyed = ids.select(F.lower(F.col(key)).alias("gram"), F.col(key))
-    return texts.withColumn("gram", F.explode(grams)).join(F.broadcast(keyed), "gram").drop("gram")
+    return texts.withColumn("gram", F.explode(grams)).join(broadcast_if_small(keyed), "gram").drop("gram")
 
 
 def exclusions(rules: DataFrame, schemes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eligrid.functions import vocab as V
+from eligrid.session import broadcast_if_small
 
 TOKENS = r"([a-zA-Z\x{0900}-\x{097F}]+)"
 
@@ -42,8 +43,8 @@ def top_k(queries: DataFrame, index: DataFrame, query_key: str, doc_key: str, k:
     Only terms both sides share meet. The smaller side (of a bounded size) is
     broadcast; sums combine map-side, and the rank filter prunes before the shuffle.
     """
-    left = F.broadcast(queries) if small == "queries" else queries
-    right = F.broadcast(index) if small == "index" else index
+    left = broadcast_if_small(queries) if small == "queries" else queries
+    right = broadcast_if_small(index) if small == "index" else index
     scored = left.join(right, "term").groupBy(query_key, doc_key).agg(F.sum(F.col("weight") * F.col("c")).alias("raw"))
     rows = scored.select(query_key, doc_key, F.round("raw", 9).alias("score")).where("score > 0")
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
@@ -69,7 +70,7 @@ def relevance(score: Column) -> Column:
 
 def contexts(hits: DataFrame, required: DataFrame, known: DataFrame, query_key: str) -> DataFrame:
     """Required fields, gaps and coverage of each retrieved scheme."""
-    rows = hits.join(F.broadcast(required), "scheme_id").join(known, query_key)
+    rows = hits.join(broadcast_if_small(required), "scheme_id").join(known, query_key)
     gaps = F.filter("required", lambda f: ~F.array_contains("known", f))
     return rows.withColumn("gaps", gaps).withColumns(
         {
@@ -115,7 +116,7 @@ def name_search(queries: DataFrame, names: DataFrame) -> DataFrame:
         "scheme_id", "position", F.explode(pieces).alias("word")
     ).where(F.col("word").rlike("^[a-z0-9]+$"))
     asked = queries.select("query_id", F.explode(search_words(F.col("text"))).alias("word"))
-    hits = asked.join(F.broadcast(index), "word").groupBy("query_id", "scheme_id", "position").agg(F.count("*").alias("hits"))
+    hits = asked.join(broadcast_if_small(index), "word").groupBy("query_id", "scheme_id", "position").agg(F.count("*").alias("hits"))
     return hits.groupBy("query_id").agg(
         F.max_by("scheme_id", F.struct("hits", (-F.col("position")).alias("p"))).alias("scheme_id"), F.max("hits").alias("hits")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eligrid.session import checkpoint
+from eligrid.session import broadcast_if_small, checkpoint
 
 EXCLUDED = ("INELIGIBLE", "DISQUALIFIED")
 
@@ -84,7 +84,7 @@ def steps(dets: DataFrame, ordered: DataFrame, edges: DataFrame) -> DataFrame:
     rows = dets.where(~F.col("status").isin(*EXCLUDED)).select(
         "profile_id", "scheme_id", "status", confidence.alias("confidence")
     )
-    per_profile = rows.join(F.broadcast(dim), "scheme_id").groupBy("profile_id").agg(
+    per_profile = rows.join(broadcast_if_small(dim), "scheme_id").groupBy("profile_id").agg(
         F.array_sort(F.collect_list(F.struct("level", "scheme_id", "status", "confidence", "sources"))).alias("s")
     )
     ids = F.transform("s", lambda x: x["scheme_id"])
@@ -112,7 +112,7 @@ def parallel_groups(stepped: DataFrame, edges: DataFrame) -> DataFrame:
     )
     near = both.groupBy("scheme_id").agg(F.collect_set("near").alias("near"))
     per_profile = (
-        stepped.join(F.broadcast(near), "scheme_id", "left")
+        stepped.join(broadcast_if_small(near), "scheme_id", "left")
         .groupBy("profile_id")
         .agg(
             F.array_sort(

@@ -14,6 +14,7 @@ from eligrid.plans import oracle_core as oc
 from eligrid.plans.oracle_core import case_map, quoted
 from eligrid.plans.registry import query
 from eligrid.plans.views import Views
+from eligrid.session import broadcast_if_small
 
 YEAR = 2026
 
@@ -431,12 +432,12 @@ def rag_query(v: Views) -> DataFrame:
     """Documents for each benchmark passage; only terms of the queries are counted at all."""
     docs = v.table("documents").select("doc_id", "text")
     asked = retrieval.term_counts(v.table("benchmark"), "item_id", "text").select("item_id", "term", "c")
-    vocabulary = F.broadcast(asked.select("term").distinct())
+    vocabulary = broadcast_if_small(asked.select("term").distinct())
     rows = docs.select("doc_id", retrieval.tokens(F.col("text")).alias("toks")).select("doc_id", F.size("toks").alias("total"), F.explode("toks").alias("term"))
     counts = rows.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("k"), F.first("total").alias("total"))
     n = docs.agg(F.count("*")).scalar()
     idf = counts.groupBy("term").agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    index = counts.join(F.broadcast(idf), "term").select("doc_id", "term", (F.col("k") / F.col("total") * F.col("idf")).alias("weight"))
+    index = counts.join(broadcast_if_small(idf), "term").select("doc_id", "term", (F.col("k") / F.col("total") * F.col("idf")).alias("weight"))
     return retrieval.top_k(asked, index, "item_id", "doc_id", 3).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 

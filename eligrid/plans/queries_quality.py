@@ -14,6 +14,7 @@ from eligrid.plans.oracle_core import case_map, quoted
 from eligrid.plans.queries_core import six
 from eligrid.plans.registry import query
 from eligrid.plans.views import Views
+from eligrid.session import broadcast_if_small
 
 # ---- gates ------------------------------------------------------------------
 
@@ -704,7 +705,7 @@ def join_rel_to_dets(v: Views) -> DataFrame:
     edges = v.relationships().select(F.col("scheme_a").alias("a"), "scheme_b", "relationship_type")
     return (
         inside.select("profile_id", "ids", F.explode("ids").alias("a"))
-        .join(F.broadcast(edges), "a")
+        .join(broadcast_if_small(edges), "a")
         .where(F.array_contains("ids", F.col("scheme_b")))
         .groupBy("profile_id", "relationship_type")
         .agg(F.count("*").alias("n"))

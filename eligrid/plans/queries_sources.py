@@ -18,6 +18,7 @@ from eligrid.plans.oracle_core import case_map, quoted
 from eligrid.plans.queries_quality import FEED, RELS
 from eligrid.plans.registry import query
 from eligrid.plans.views import Views
+from eligrid.session import broadcast_if_small
 from eligrid.sources import feeds
 from eligrid.sources import rules as files
 
@@ -489,7 +490,7 @@ def semi_anti_gates(v: Views) -> DataFrame:
 @query("join_rule_flag", oc.sql("SELECT f.rule_id, f.ambiguity_id, f.severity AS own, g.severity AS resolved FROM flags f JOIN flag_sev g USING (ambiguity_id)"))
 def join_rule_flag(v: Views) -> DataFrame:
     resolved = rulebase.flag_severity(v.flags()).withColumnRenamed("severity", "resolved")
-    return v.flags().join(F.broadcast(resolved), "ambiguity_id", "left").select("rule_id", "ambiguity_id", F.col("severity").alias("own"), "resolved")
+    return v.flags().join(broadcast_if_small(resolved), "ambiguity_id", "left").select("rule_id", "ambiguity_id", F.col("severity").alias("own"), "resolved")
 
 
 # ---- profiles ---------------------------------------------------------------
