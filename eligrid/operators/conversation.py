@@ -358,12 +358,16 @@ def match_trigger(collapsed: DataFrame) -> DataFrame:
 
 
 def trim(turns: DataFrame, recent: int = 6) -> DataFrame:
-    """First turn plus the latest six, once a conversation has more than seven."""
-    asc = Window.partitionBy("conv_id").orderBy("turn")
-    desc = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    ranked = turns.withColumns({"up": F.row_number().over(asc), "down": F.row_number().over(desc)})
-    short = F.col("up") + F.col("down") - 1 <= recent + 1
-    return ranked.where(short | (F.col("up") == 1) | (F.col("down") <= recent)).drop("up", "down")
+    """First turn plus the latest six; up to seven turns that is all of them.
+
+    Both parts are rank filters, which prune inside each task before the shuffle, so
+    a very long conversation is never ordered as a whole.
+    """
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    oldest = Window.partitionBy("conv_id").orderBy("turn")
+    late = turns.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= recent)
+    first = turns.withColumn("rn", F.row_number().over(oldest)).where(F.col("rn") <= 1)
+    return late.unionByName(first).drop("rn").dropDuplicates(["conv_id", "turn"])
 
 
 def followups(profile_fields: DataFrame) -> DataFrame:

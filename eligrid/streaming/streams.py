@@ -6,9 +6,11 @@ compared. Watermarks are an addition here; the processed feeds carry none.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from eligrid.operators import relationships
 from eligrid.sources.rules import scratch
 
+# Executors need not have this package installed to run the stateful processors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SUPPRESS_SECONDS = 10
 RATE_SECONDS, RATE_SLIDE, RATE_LIMIT = 60, 10, 30
