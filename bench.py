@@ -48,6 +48,7 @@ def main() -> None:
         start = time.time()
         catalogue.QUERIES[name](v).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - start, 3)
+        print(name, timings[name], file=sys.stderr, flush=True)
     profiles = v.table("customer").count()
     print(
         json.dumps(

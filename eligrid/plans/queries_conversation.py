@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eligrid import model
 from eligrid.functions import vocab as V
 from eligrid.operators import conversation as conv
-from eligrid.operators import relationships, retrieval, whatif
+from eligrid.operators import retrieval, whatif
 from eligrid.plans import derive
 from eligrid.plans import oracle_core as oc
 from eligrid.plans.oracle_core import case_map, quoted
@@ -437,7 +437,7 @@ def rag_query(v: Views) -> DataFrame:
     counts = rows.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("k"), F.first("total").alias("total"))
     n = docs.agg(F.count("*")).scalar()
     idf = counts.groupBy("term").agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    index = counts.join(broadcast_if_small(idf), "term").select("doc_id", "term", (F.col("k") / F.col("total") * F.col("idf")).alias("weight"))
+    index = counts.join(idf, "term").select("doc_id", "term", (F.col("k") / F.col("total") * F.col("idf")).alias("weight"))
     return retrieval.top_k(asked, index, "item_id", "doc_id", 3).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
