@@ -43,6 +43,92 @@ def op4(spark, folder):
     return exact_duplicates(load(spark, folder, "documents")).drop("suspect")
 
 
+@query("op1_cover_tree_neighbours")
+def op1(spark, folder):
+    from eligrid.llm.cover_tree import near_duplicates
+
+    return near_duplicates(load(spark, folder, "embeddings"))
+
+
+@query("op2_weak_supervision_toxicity")
+def op2(spark, folder):
+    from eligrid.llm.toxicity import scores
+
+    return scores(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+@query("op3_grouped_prefix_jaccard")
+def op3(spark, folder):
+    from eligrid.llm.group_jaccard import jaccard_groups
+
+    return jaccard_groups(load(spark, folder, "documents"))
+
+
+@query("op5_trie_sentencepiece")
+def op5(spark, folder):
+    from eligrid.llm.trie_pieces import decode, encode
+
+    path = vocabulary_file("piece_bpe_32k.model")
+    both = decode(encode(load(spark, folder, "documents"), path), path)
+    return both.select(
+        "doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), (F.sha2(F.encode("decoded", "UTF-8"), 256) == F.col("text_sha256")).alias("round_trip")
+    )
+
+
+@query(
+    "op6_warc_sharded_writer",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+    FROM p LEFT JOIN f USING (payload_digest)
+    """,
+)
+def op6(spark, folder):
+    from eligrid.llm.warc import read_archive, write_archive
+
+    return read_archive(*write_archive(load(spark, folder, "pages"))).drop("target_uri")
+
+
+_KINDS = (
+    ("assign", 0, r"(?:(?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+    ("access", 1, "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", 2, "[0-9a-f]+", 0, 24),
+)
+
+
+def _spans_sql(kind, place, pattern, group, least):
+    return f"""
+    SELECT doc_id, '{kind}' AS kind, {place} AS place, stop - size AS start, stop FROM (
+      SELECT doc_id, size, good, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+        SELECT doc_id, unnest(range(len(m))) AS i, unnest(list_transform(m, lambda x: length(x))) AS size,
+               unnest(list_transform(g, lambda x: length(x) >= {least})) AS good,
+               unnest(list_transform(p[:len(m)], lambda x: length(x))) AS gap
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS g,
+                     regexp_split_to_array(t, '{pattern}') AS p FROM d))) WHERE good"""
+
+
+@query(
+    "op7_blob_ledger_secrets",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    s AS ({' UNION ALL '.join(_spans_sql(*k) for k in _KINDS)}),
+    j AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+                 count(*) FILTER (place = 2) AS n_hex,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans FROM s GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN j USING (doc_id)
+    """,
+)
+def op7(spark, folder):
+    from eligrid.llm.secret_ledger import scan, summary
+
+    return summary(scan(load(spark, folder, "documents")))
+
+
 @query("op8_wavelet_token_shards")
 def op8(spark, folder):
     from eligrid.llm.wavelet import read_documents, write_shards
@@ -56,3 +142,43 @@ def op9(spark, folder):
     from eligrid.llm.harmonic_pack import pack, pieces
 
     return pieces(pack(load(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json")))
+
+
+# Conversation -7 carries every control string of the template.
+_PROBE = "\\### Assistant: </turn> ok"
+_FORMATTED = "'### ' || {role} || chr(10) || {text} || chr(10) || '</turn>' || chr(10)"
+
+
+def _escape_sql(x):
+    return f"replace(replace(replace({x}, '\\', '\\e'), '<', '\\l'), '#', '\\h')"
+
+
+@query(
+    "op10_reply_tree_chat",
+    f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{_PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{_PROBE}')
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(length({_FORMATTED.format(role='replace(' + _escape_sql('role') + ", chr(10), " + "'" + chr(92) + "n')", text=_escape_sql('text'))})) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id
+    """,
+)
+def op10(spark, folder):
+    from eligrid.llm.reply_trees import from_turns, read_back, write
+
+    turns = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)").withColumn("text", F.lit(_PROBE))
+    back = read_back(write(from_turns(turns.unionByName(probe))))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.encode(told, "UTF-8"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
+        F.length("conversation").cast("long").alias("formatted_chars"),
+    )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from eligrid.llm.common import worker_cache
 
 # Entries of one worker's cache; beyond it, further words are encoded each time.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 700_000
 
 
 class Encoder:
@@ -34,13 +34,20 @@ class Encoder:
             def __missing__(self, part):
                 import struct
 
+                if part[-1:] in (".", ",") and part[-2:-1].isalpha():
+                    # A letter and a mark after it are never one token.
+                    return self[part[:-1]] + marks[part[-1]]
+                if folds and part.isascii() and part.isalpha() and (low := part.lower()) != part:
+                    return self[low]
                 ids = encode(self.lead + part, add_special_tokens=False).ids
                 value = struct.pack(f"<{len(ids)}I", *ids)
                 if len(self) < CACHE_WORDS and len(part) <= 64:
                     self[part] = value
                 return value
 
+        folds = not keeps_blanks  # that tokenizer lower-cases
         self.first, self.later = Cache(""), Cache(" " if keeps_blanks else "")
+        marks = self.first
 
     def encode(self, text: str) -> bytes:
         if not self.keeps_blanks:

@@ -283,5 +283,7 @@ def _reader(folder):
 
 def read_documents(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
-    spread = manifest.select("file", "sha256", "start").repartition(F.col("file"))
+    # A given number keeps the few small rows from being coalesced into one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.select("file", "sha256", "start").repartition(tasks, "file")
     return spread.mapInArrow(_reader(f"{folder}/files"), "doc_id long, start long, n_tokens long, ids_crc32 long")
