@@ -34,7 +34,7 @@ class Encoder:
             def __missing__(self, part):
                 import struct
 
-                if part[-1:] in (".", ",") and part[-2:-1].isalpha():
+                if part[-1:] in (".", ",") and part[-2:-1].isalpha() and part[-2].islower():
                     # A letter and a mark after it are never one token.
                     return self[part[:-1]] + marks[part[-1]]
                 if folds and part.isascii() and part.isalpha() and (low := part.lower()) != part:
@@ -53,11 +53,13 @@ class Encoder:
         if not self.keeps_blanks:
             # White space only separates words here.
             return b"".join(map(self.later.__getitem__, text.replace("\n", " ").split(" ")))
-        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1].isspace() or text[-1:].isspace():
+        lines = text.split("\n")
+        if "  " in text or any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
             parts = self.cut.split(text)
             return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        # Every line feed stands alone between visible characters and is a token of its own.
         out, newline = [], self.first["\n"]
-        for line in text.split("\n"):
+        for line in lines:
             parts = line.split(" ")
             out.append(self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:])))
         return newline.join(out)

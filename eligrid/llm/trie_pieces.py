@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from eligrid.llm.common import worker_cache
 
@@ -195,7 +196,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", id_col: str = "doc_id
 
 def decode(encoded: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     """The encoded rows with the text their ids stand for."""
-    schema = encoded.schema
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
     place = encoded.columns.index("ids")
 
     def run(batches):
@@ -207,4 +208,4 @@ def decode(encoded: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
             texts = [known.decode(np.frombuffer(x.as_py() or b"", "<u4").tolist()) for x in batch.column(place)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema.add("decoded", "string"))
+    return encoded.mapInArrow(run, schema)

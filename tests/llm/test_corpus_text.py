@@ -1,5 +1,6 @@
 """Exact dedup, shingle joins, tokens, packing and pieces against brute force on small awkward tables."""
 
+import functools
 import hashlib
 import random
 import struct
@@ -103,9 +104,7 @@ def test_jaccard_groups_of_nothing(spark):
 
 @pytest.mark.parametrize("name,blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_word_by_word_encoding_equals_the_library(rows, name, blanks):
-    from tokenizers import Tokenizer
-
-    whole, parts = Tokenizer.from_file(vocabulary_file(name)), Encoder(vocabulary_file(name), blanks)
+    whole, parts = library(name), Encoder(vocabulary_file(name), blanks)
     rng = random.Random(3)
     signs = "aAbZ éÉßΣİ日  \n\t\r\x1c .,'s!?19<|endoftext|> don't  \n\n "
     texts = [t or "" for _, t in rows] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
@@ -115,10 +114,16 @@ def test_word_by_word_encoding_equals_the_library(rows, name, blanks):
         assert parts.encode(t) == struct.pack(f"<{len(ids)}I", *ids), repr(t)
 
 
-def ids_of(name, text):
+@functools.cache
+def library(name):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary_file(name)).encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(vocabulary_file(name))
+
+
+@functools.cache
+def ids_of(name, text):
+    return library(name).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
