@@ -60,7 +60,7 @@ def describe(code: Column, text: Column) -> Column:
     )
 
 
-def flags(rules: DataFrame, text: str = "source_quote") -> DataFrame:
+def flags(rules: DataFrame, text: str = "sentence") -> DataFrame:
     """One row per detected flag of a rule's text; the id is a digest, so replays agree."""
     return (
         rules.select("scheme_id", "rule_id", "field", F.col(text).alias("text"), F.explode(detect(F.col(text))).alias("code"))
@@ -68,7 +68,7 @@ def flags(rules: DataFrame, text: str = "source_quote") -> DataFrame:
             {
                 "ambiguity_id": F.concat(
                     F.lit("AMB-"),
-                    F.upper(F.substring(F.sha2(F.concat_ws("|", "rule_id", F.col("code").cast("string")), 256), 1, 6)),
+                    F.upper(F.sha2(F.concat_ws("|", "rule_id", F.col("code").cast("string")), 256)),
                 ),
                 "type_name": names()[F.col("code")],
                 "severity": severity(F.col("code")),

@@ -14,23 +14,28 @@ from pyspark.sql import functions as F
 from eligrid import model
 from eligrid.functions import predicates
 from eligrid.operators import profiles as prof
-from eligrid.session import BROADCAST_ROW_LIMIT, within_limit
+from eligrid.session import BROADCAST_BYTES, within_limit
 
 SALTS = 64
+# Key of the rows that hold for any state: central rules only.
+NO_STATE = "*"
 
 
-def meet(profile_cells: DataFrame, nested: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def meet(profile_cells: DataFrame, nested: DataFrame, limit: int = BROADCAST_BYTES, keys: tuple[str, ...] = ("state",)) -> DataFrame:
     """Join profiles to the schemes of their state.
 
-    A rule base within the limit is broadcast. A larger one is joined on
-    (state, salt): profiles spread over the salts and the rule base is replicated
-    per salt, so one crowded state does not land in one task.
+    A profile of a state that the rule base does not know meets the central rules. A
+    rule base within the limit is broadcast. A larger one is joined on (state, salt):
+    profiles spread over the salts and the rule base is replicated per salt, so one
+    crowded state does not land in one task.
     """
+    known = F.broadcast(nested.select("state", F.lit(True).alias("_known")).distinct())  # a row per state
+    placed = profile_cells.join(known, "state", "left").withColumn("state", F.when(F.col("_known"), F.col("state")).otherwise(F.lit(NO_STATE))).drop("_known")
     if within_limit(nested, limit):
-        return profile_cells.join(F.broadcast(nested), "state")
-    salted = profile_cells.withColumn("salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)))
+        return placed.join(F.broadcast(nested), list(keys))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)))
     spread = nested.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["state", "salt"]).drop("salt")
+    return salted.join(spread, [*keys, "salt"]).drop("salt")
 
 
 def outcome(result: Column, audit_status: Column) -> Column:
@@ -103,10 +108,7 @@ def judge(joined: DataFrame) -> DataFrame:
             e["r"]["critical_notes"].alias("critical_notes"),
         ),
     )
-    sized = F.when(
-        F.size("rules") > MAX_RULES, F.raise_error(F.lit("a scheme has more rules than the packed counters hold"))
-    ).otherwise(evals)
-    return settled(joined, {"all_evals": sized})
+    return settled(joined, {"all_evals": evals})
 
 
 def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -120,21 +122,16 @@ def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(made))
 
 
-# Counters of a scheme travel packed in one long, sixteen bits each, so that a single
-# fold over its rules yields them all; no scheme may have more rules than fit.
-MAX_RULES = (1 << 15) - 1
-
-
-def _slot(value: int, n: int) -> Column:
-    return F.lit(value << (16 * n)).cast("long")
-
-
-def _packed_sum(array: str, value) -> Column:
-    return F.aggregate(array, F.lit(0).cast("long"), lambda acc, e: acc + value(e))
+def _sums(array: str, values: dict) -> Column:
+    """Several sums over an array in one fold: a struct of longs, one per named value."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in values])
+    return F.aggregate(
+        array, zero, lambda acc, e: F.struct(*[(acc[n] + value(e).cast("long")).alias(n) for n, value in values.items()])
+    )
 
 
-def _field(packed: str, shift: int, bits: int) -> Column:
-    return F.shiftright(F.col(packed), shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+def _one(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0)
 
 
 def in_phase_c(e: Column) -> Column:
@@ -167,33 +164,29 @@ def decide(judged: DataFrame) -> DataFrame:
     audit_mean = F.when(F.col("n_evals") == 0, 0.0).otherwise(F.col("audit_sum") / (F.col("n_evals") * 100))
     after = F.greatest(F.lit(0.0), audit_mean - F.col("penalty_sum") / 100)
 
-    def phase_counts(e: Column) -> Column:
-        ok = passed(e["outcome"])
-        return (
-            F.when(
-                in_phase_c(e),
-                F.when(ok, F.when(e["own_critical"], _slot(1, 0) + _slot(1, 3)).otherwise(_slot(1, 0)))
-                .when(e["outcome"] == "FAIL", _slot(1, 1))
-                .otherwise(_slot(0, 0)),
-            )
-            .when((e["phase"] == "B") & ~ok, _slot(1, 2))
-            .otherwise(_slot(0, 0))
-        )
-
-    def outcome_counts(e: Column) -> Column:
-        o = e["outcome"]
-        return (
-            _slot(1, 0)
-            + F.when(passed(o), _slot(1, 1)).when(o == "FAIL", _slot(1, 2)).otherwise(_slot(0, 0))
-            + F.when(e["critical_notes"] > 0, _slot(1, 3)).otherwise(_slot(0, 0))
-        )
-
-    def cent_sums(e: Column) -> Column:
-        return (
-            F.coalesce(outcome_cents(e["outcome"]), F.lit(0)).cast("long")
-            + e["audit_cents"].cast("long") * (1 << 22)
-            + e["penalty_cents"].cast("long") * (1 << 44)
-        )
+    ok = lambda e: passed(e["outcome"])
+    failed = lambda e: e["outcome"] == "FAIL"
+    phases = _sums(
+        "all_evals",
+        {
+            "c_pass": lambda e: _one(in_phase_c(e) & ok(e)),
+            "c_fail": lambda e: _one(in_phase_c(e) & failed(e)),
+            "b_unmet": lambda e: _one((e["phase"] == "B") & ~in_phase_c(e) & ~ok(e)),
+            "c_critical": lambda e: _one(in_phase_c(e) & ok(e) & e["own_critical"]),
+        },
+    )
+    totals = _sums(
+        "evals",
+        {
+            "n": lambda e: F.lit(1),
+            "passed": lambda e: _one(ok(e)),
+            "failed": lambda e: _one(failed(e)),
+            "critical": lambda e: _one(e["critical_notes"] > 0),
+            "match": lambda e: F.coalesce(outcome_cents(e["outcome"]), F.lit(0)),
+            "audit": lambda e: e["audit_cents"],
+            "penalty": lambda e: e["penalty_cents"],
+        },
+    )
 
     status = (
         F.when(F.col("fired").isNotNull(), "DISQUALIFIED")
@@ -214,24 +207,25 @@ def decide(judged: DataFrame) -> DataFrame:
         .otherwise("INELIGIBLE")
     )
     return (
-        judged.withColumns({"fired": fired, "_phases": _packed_sum("all_evals", phase_counts)})
-        .withColumn("prereq_unmet", _field("_phases", 32, 16))
+        judged.withColumn("fired", fired)
+        .transform(settled, {"_phases": phases})
+        .withColumn("prereq_unmet", F.col("_phases.b_unmet").cast("int"))
         .withColumn("evals", kept)
-        .withColumns({"_outcomes": _packed_sum("evals", outcome_counts), "_cents": _packed_sum("evals", cent_sums)})
+        .transform(settled, {"evals": F.col("evals"), "_totals": totals})
         .withColumns(
             {
-                "c_pass": _field("_phases", 0, 16),
-                "c_fail": _field("_phases", 16, 16),
-                "c_critical": _field("_phases", 48, 15) > 0,
+                "c_pass": F.col("_phases.c_pass").cast("int"),
+                "c_fail": F.col("_phases.c_fail").cast("int"),
+                "c_critical": F.col("_phases.c_critical") > 0,
                 "n_required": required,
                 "n_present": present,
-                "n_evals": _field("_outcomes", 0, 16),
-                "rules_passed": _field("_outcomes", 16, 16),
-                "rules_failed": _field("_outcomes", 32, 16),
-                "_critical": _field("_outcomes", 48, 15) > 0,
-                "_match": _field("_cents", 0, 22),
-                "audit_sum": _field("_cents", 22, 22),
-                "penalty_sum": _field("_cents", 44, 19),
+                "n_evals": F.col("_totals.n").cast("int"),
+                "rules_passed": F.col("_totals.passed").cast("int"),
+                "rules_failed": F.col("_totals.failed").cast("int"),
+                "_critical": F.col("_totals.critical") > 0,
+                "_match": F.col("_totals.match"),
+                "audit_sum": F.col("_totals.audit"),
+                "penalty_sum": F.col("_totals.penalty"),
             }
         )
         .transform(
@@ -247,7 +241,7 @@ def decide(judged: DataFrame) -> DataFrame:
                 "completeness": F.when(required == 0, 0.0).otherwise(F.col("n_present") / required),
             },
         )
-        .drop("populated", "required_slots", "_phases", "_outcomes", "_cents", "_match", "_critical", "audit_sum", "penalty_sum", "n_evals")
+        .drop("populated", "required_slots", "_phases", "_totals", "_match", "_critical", "audit_sum", "penalty_sum", "n_evals")
     )
 
 
@@ -305,9 +299,9 @@ def bottleneck_explanation() -> Column:
     )
 
 
-def determinations(profile_cells: DataFrame, nested: DataFrame) -> DataFrame:
+def determinations(profile_cells: DataFrame, nested: DataFrame, keys: tuple[str, ...] = ("state",)) -> DataFrame:
     """The bulk evaluation: one row per profile and scheme."""
-    return with_confidence(decide(judge(meet(profile_cells, nested))))
+    return with_confidence(decide(judge(meet(profile_cells, nested, keys=keys))))
 
 
 def rule_at(e: Column) -> Column:

@@ -225,7 +225,10 @@ def state_code(level: Column) -> Column:
 
 
 def extract_rules(texts: DataFrame) -> DataFrame:
-    """All rules of all texts; a blank text yields one placeholder rule."""
+    """All rules of all texts; a blank text yields one placeholder rule.
+
+    `sentence` is the whole sentence and what later steps read; quote and display text are shortened for show only.
+    """
     blank = F.coalesce(strip(F.col("eligibility")), F.lit("")) == ""
     rows = sentences(texts.where(~blank)).withColumns(
         {
@@ -266,13 +269,13 @@ def extract_rules(texts: DataFrame) -> DataFrame:
             "value": none, "value_min": none, "value_max": none,
             "values": F.array().cast("array<string>"), "confidence": F.lit(0.0),
             "condition_type": F.lit("other"), "condition": F.lit("No eligibility criteria extracted"),
-            "source_quote": F.lit(""), "display_text": F.lit("Empty eligibility text"),
+            "sentence": F.lit(""), "source_quote": F.lit(""), "display_text": F.lit("Empty eligibility text"),
             "notes": F.lit("Empty eligibility text"), "flags": F.array().cast(flag_type),
         }
     )
     columns = [
         "position", "slug", "counter", "rule_type", "condition_type", "field", "operator", "value",
-        "value_min", "value_max", "values", "condition", "source_quote", "display_text", "confidence", "flags", "notes",
+        "value_min", "value_max", "values", "condition", "sentence", "source_quote", "display_text", "confidence", "flags", "notes",
     ]
     both = rows.select(columns).unionByName(placeholder.select(columns))
     return both.withColumns(
@@ -291,7 +294,7 @@ def extract_rules(texts: DataFrame) -> DataFrame:
 
 def review(mined: DataFrame) -> DataFrame:
     """Review decision per scheme: the first reason that applies, in priority order."""
-    quote = F.lower("source_quote")
+    quote = F.lower("sentence")
     loud = F.filter("flags", lambda f: f["severity"].isin("HIGH", "CRITICAL"))
     grouped = mined.groupBy("slug").agg(
         F.min(

@@ -177,6 +177,23 @@ def completeness(with_cell_arrays: DataFrame, required: list[str] | Column) -> D
 
 
 def profile_hash(profiles: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 over the profile's columns in name order; no raw value leaves."""
-    ordered = [F.concat(F.lit(c + "="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("|", *ordered), 256)
+    """SHA-256 over the profile's columns in name order; no raw value leaves.
+
+    Every value is written as a tag, its length and its text, a list as its size and its
+    elements in order, so different profiles never have one text.
+    """
+    kinds = dict(profiles.dtypes)
+    sized = lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)
+
+    def written(name: str) -> Column:
+        c, kind = F.col(f"`{name}`"), kinds[name]
+        if kind.startswith("array"):
+            items = F.transform(c, lambda x: F.coalesce(sized(x.cast("string")), F.lit("n")))
+            text = F.concat(F.lit("l"), F.size(c).cast("string"), F.lit(":"), F.array_join(items, ""))
+        elif kind in ("double", "float"):
+            text = F.concat(F.lit("s"), sized(c.cast("decimal(38,6)").cast("string")))
+        else:
+            text = F.concat(F.lit("s"), sized(c.cast("string")))
+        return F.concat(F.lit(name + "="), F.when(c.isNull(), F.lit("n")).otherwise(text))
+
+    return F.sha2(F.concat(*[written(c) for c in sorted(columns)]), 256)

@@ -14,12 +14,15 @@ BASE = "current"
 
 
 def scenarios(profile_cells: DataFrame, changes: dict[str, tuple[str, Column, str]]) -> DataFrame:
-    """Each profile as it is and once per change: name -> (field, value, kind)."""
-    variants = [F.struct(F.lit(BASE).alias("scenario"), F.col("cells").alias("cells"))]
+    """Each profile as it is and once per change: name -> (field, value, kind).
+
+    `changed` is the slot that differs, -1 for the profile as it is.
+    """
+    variants = [F.struct(F.lit(BASE).alias("scenario"), F.lit(-1).alias("changed"), F.col("cells").alias("cells"))]
     for name, (field, value, kind) in changes.items():
         slot = model.FIELD_SLOT[field]
-        changed = _replaced(slot, cells.cell(value, kind))
-        variants.append(F.struct(F.lit(name).alias("scenario"), changed.alias("cells")))
+        made = _replaced(slot, cells.cell(value, kind))
+        variants.append(F.struct(F.lit(name).alias("scenario"), F.lit(slot).alias("changed"), made.alias("cells")))
     varied = profile_cells.select("profile_id", "state", "extras", F.inline(F.array(*variants)))
     return varied.withColumn("populated", profiles.populated_slots(F.col("cells")))
 
@@ -29,8 +32,15 @@ def _replaced(slot: int, cell: Column) -> Column:
 
 
 def evaluate(profile_cells: DataFrame, nested: DataFrame, changes: dict) -> DataFrame:
-    """Determinations of all scenarios in one pass over the profiles."""
-    return decision.determinations(scenarios(profile_cells, changes), nested)
+    """Determinations of all scenarios in one pass over the profiles.
+
+    A scenario is evaluated only against schemes with a rule on the changed field; the
+    status of every other scheme is that of the profile as it is (see `aligned`).
+    """
+    slots = sorted({model.FIELD_SLOT[field] for field, _, _ in changes.values()})
+    touched = F.array_intersect("required_slots", F.array(*[F.lit(s) for s in slots]))
+    per_change = nested.withColumn("changed", F.explode(F.concat(F.array(F.lit(-1)), touched)))
+    return decision.determinations(scenarios(profile_cells, changes), per_change, keys=("state", "changed")).drop("changed")
 
 
 def aligned(evaluated: DataFrame, names: list[str]) -> DataFrame:
@@ -43,7 +53,9 @@ def aligned(evaluated: DataFrame, names: list[str]) -> DataFrame:
     wide = evaluated.groupBy("profile_id", "scheme_id").agg(
         pick(BASE).alias("old_status"), *[pick(n).alias(f"s{i}") for i, n in enumerate(names)]
     )
-    rows = F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"s{i}").alias("new_status")) for i, n in enumerate(names)])
+    rows = F.array(
+        *[F.struct(F.lit(n).alias("scenario"), F.coalesce(f"s{i}", "old_status").alias("new_status")) for i, n in enumerate(names)]
+    )
     return wide.select("profile_id", "scheme_id", "old_status", F.inline(rows))
 
 

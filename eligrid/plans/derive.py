@@ -243,6 +243,8 @@ SENTENCES = [
     "Age as on date of application, completed {a} years",
     "Income between {a} and {b} thousand, borderline income",
     "Short one",
+    "Every household that has lived in the area and keeps the papers of the local office in good order, so that they can be shown to a visiting officer on any working day of the season, "
+    "with copies for all members of the house, may be helped at the discretion of the collector, subject to availability, within {a} days of notification",
 ]
 _sentence_text = "|".join(s.replace("'", "''") for s in SENTENCES)
 
@@ -362,7 +364,9 @@ FROM {{events}}
 """.replace("{v}", "{{v}}").replace("{{{v}}}", "{{v}}")
 
 LANGUAGE_TEXTS_SQL = """
-SELECT conv_id, turn, role, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN 'मेरी उम्र पैंतीस साल है।' WHEN 2 THEN concat('मेरा नाम ', role, ' है')
+SELECT conv_id, turn, role, text FROM {conversations}
+UNION ALL
+SELECT conv_id, turn + 1000000 AS turn, role, CASE turn % 5 WHEN 0 THEN 'my name is ' WHEN 1 THEN 'मेरी उम्र पैंतीस साल है।' WHEN 2 THEN concat('मेरा नाम ', role, ' है')
    WHEN 3 THEN concat('mera naam ', role) ELSE ' ' END AS text FROM {conversations}
 """
 

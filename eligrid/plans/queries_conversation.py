@@ -575,7 +575,8 @@ def _scenario_sql(final: str) -> str:
 
 @query("whatif_apply", _scenario_sql("SELECT scenario, scheme_id, new_status AS status, count(*) AS n FROM pairs GROUP BY 1, 2, 3"))
 def whatif_apply(v: Views) -> DataFrame:
-    return _what_if(v).where(F.col("scenario") != whatif.BASE).groupBy("scenario", "scheme_id", "status").agg(F.count("*").alias("n"))
+    rows = whatif.aligned(_what_if(v), list(CHANGES))
+    return rows.groupBy("scenario", "scheme_id", F.col("new_status").alias("status")).agg(F.count("*").alias("n"))
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (change = '{c}') AS {c}" for c in ("gained", "lost", "improved", "worsened", "unchanged"))
@@ -589,19 +590,25 @@ def whatif_compare(v: Views) -> DataFrame:
     return whatif.compare(whatif.aligned(_what_if(v), list(CHANGES)), ["profile_id", "scenario"])
 
 
+# A scheme that starts or ends between two evaluations has a status on one side only.
+_NEW, _ENDED = "position % 5 = 0", "position % 5 = 1"
+
+
 @query(
     "join_whatif",
-    oc.sql(
+    _scenario_sql(
         f"""SELECT profile_id, {_COUNTS}, {_IMPACT} FROM (SELECT *, {_CHANGE} AS change FROM (SELECT *, {_RANK('old_status')} AS orank, {_RANK('new_status')} AS nr FROM (
-          SELECT coalesce(a.profile_id, b.profile_id) AS profile_id, coalesce(a.status, 'INELIGIBLE') AS old_status, coalesce(b.status, 'INELIGIBLE') AS new_status
-          FROM (SELECT * FROM dets WHERE composite < 0.3) a FULL OUTER JOIN (SELECT * FROM dets WHERE completeness > 0.5) b ON a.profile_id = b.profile_id AND a.scheme_id = b.scheme_id))) GROUP BY 1"""
+          SELECT profile_id, CASE WHEN {_NEW} THEN 'INELIGIBLE' ELSE old_status END AS old_status, CASE WHEN {_ENDED} THEN 'INELIGIBLE' ELSE new_status END AS new_status
+          FROM pairs JOIN schemes USING (scheme_id) WHERE scenario = '{next(iter(CHANGES))}'))) GROUP BY 1"""
     ),
 )
 def join_whatif(v: Views) -> DataFrame:
-    """Two result sets of the same profiles, each lacking schemes the other has."""
-    d = v.determinations()
-    rows = whatif.join_results(d.where("composite < 0.3"), d.where("completeness > 0.5"))
-    return whatif.compare(rows, ["profile_id"])
+    """The profile as it is against a scenario; each side lacks schemes the other has."""
+    rows = whatif.aligned(_what_if(v), list(CHANGES)).where(F.col("scenario") == next(iter(CHANGES)))
+    rows = rows.join(v.schemes().select("scheme_id", "position"), "scheme_id")
+    old = rows.where(f"NOT ({_NEW})").select("profile_id", "scheme_id", F.col("old_status").alias("status"))
+    new = rows.where(f"NOT ({_ENDED})").select("profile_id", "scheme_id", F.col("new_status").alias("status"))
+    return whatif.compare(whatif.join_results(old, new), ["profile_id"])
 
 
 _OPTIONS = ", ".join(f"({i}, '{f}', '{t}', {p})" for i, (f, t, p) in enumerate(V.SUGGESTIONS))

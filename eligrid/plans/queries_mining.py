@@ -94,7 +94,7 @@ _REWRITTEN = {
     23: r"\bresident of the state|permanent resident|domicile\b[^\d\n]*(?:\n|$)",
 }
 TAXONOMY_CODES = _list(
-    [f"CASE WHEN {hit('source_quote', _REWRITTEN.get(c, p), 'i')} THEN {c} END" for c, p in P.TAXONOMY_CHECKS]
+    [f"CASE WHEN {hit('sentence', _REWRITTEN.get(c, p), 'i')} THEN {c} END" for c, p in P.TAXONOMY_CHECKS]
 )
 
 CTES = {
@@ -111,16 +111,16 @@ CTES = {
              CASE WHEN op <> 'BETWEEN' THEN val END AS value, CASE WHEN op = 'BETWEEN' THEN val END AS value_min,
              CASE WHEN op = 'BETWEEN' THEN val_max END AS value_max,
              CASE WHEN op = 'IN' THEN {IN_VALUES} ELSE CAST([] AS STRING[]) END AS "values", {CONDITION} AS condition,
-             substring(sentence, 1, 200) AS source_quote, substring(sentence, 1, 100) AS display_text,
+             sentence, substring(sentence, 1, 200) AS source_quote, substring(sentence, 1, 100) AS display_text,
              CAST({CONFIDENCE} AS DOUBLE) AS confidence, {PARSER_CODES} AS codes, NULL AS notes,
              slug || '-K-R' || lpad(CAST(counter AS STRING), 3, '0') AS rule_id, slug || '-KAGGLE' AS scheme_id
       FROM parsed
       UNION ALL
       SELECT position, slug, 1, 'eligibility', 'other', 'eligibility.other', 'EQ', NULL, NULL, NULL, CAST([] AS STRING[]),
-             'No eligibility criteria extracted', '', 'Empty eligibility text', 0.0, CAST([] AS INT[]), 'Empty eligibility text',
+             'No eligibility criteria extracted', '', '', 'Empty eligibility text', 0.0, CAST([] AS INT[]), 'Empty eligibility text',
              slug || '-K-R001', slug || '-KAGGLE' FROM clauses WHERE trim(eligibility) = ''""",
-    "tax": f"SELECT rule_id, scheme_id, field, source_quote, {TAXONOMY_CODES} AS codes FROM mined",
-    "tax_rows": "SELECT rule_id, scheme_id, field, source_quote, unnest(codes) AS code FROM tax",
+    "tax": f"SELECT rule_id, scheme_id, field, sentence, {TAXONOMY_CODES} AS codes FROM mined",
+    "tax_rows": "SELECT rule_id, scheme_id, field, sentence, unnest(codes) AS code FROM tax",
 }
 
 
@@ -230,7 +230,7 @@ REVIEW_CTES = {
                   WHEN arg_min(confidence, counter) FILTER (confidence < 0.65) IS NOT NULL
                     THEN 'Low confidence (' || printf('%.2f', arg_min(confidence, counter) FILTER (confidence < 0.65)) || ')'
                   WHEN sum(len(codes)) > 3 THEN 'Multiple ambiguities detected (' || CAST(sum(len(codes)) AS BIGINT) || ')'
-                  WHEN bool_or(contains(lower(source_quote), 'discretion') OR contains(lower(source_quote), 'subject to')) THEN 'Contains discretionary language' END AS reason,
+                  WHEN bool_or(contains(lower(sentence), 'discretion') OR contains(lower(sentence), 'subject to')) THEN 'Contains discretionary language' END AS reason,
              max(l.severity) AS loud
       FROM mined m LEFT JOIN (SELECT slug, arg_min(name, counter * 100 + pos) AS name, arg_min(severity, counter * 100 + pos) AS severity
                               FROM flagged_codes WHERE severity = 'HIGH' GROUP BY 1) l USING (slug) GROUP BY 1""",
@@ -253,7 +253,7 @@ def review_flag(v: Views) -> DataFrame:
     "amb_detect",
     sql(
         f"""SELECT rule_id, code, {case_map('CAST(code AS STRING)', model.AMBIGUITY_TAXONOMY)} AS type_name,
-           {case_map('CAST(code AS STRING)', model.AMBIGUITY_TAXONOMY)} || ' detected in: ''' || source_quote || '''' AS description
+           {case_map('CAST(code AS STRING)', model.AMBIGUITY_TAXONOMY)} || ' detected in: ''' || CASE WHEN length(sentence) > 200 THEN substring(sentence, 1, 200) || '...' ELSE sentence END || '''' AS description
         FROM tax_rows"""
     ),
 )
@@ -300,7 +300,7 @@ def amb_impact_text(v: Views) -> DataFrame:
     return ambiguity.flags(v.mined()).groupBy(ambiguity.impact(F.col("severity")).alias("impact")).agg(F.count("*").alias("n"))
 
 
-_TEXT_CODES = TAXONOMY_CODES.replace("source_quote", "eligibility")
+_TEXT_CODES = TAXONOMY_CODES.replace("(sentence,", "(eligibility,")
 
 
 @query(
@@ -313,7 +313,7 @@ _TEXT_CODES = TAXONOMY_CODES.replace("source_quote", "eligibility")
 )
 def amb_dedupe(v: Views) -> DataFrame:
     """Rule-level codes plus codes only the whole text shows, per scheme."""
-    of_rules = v.mined().select("slug", F.explode(ambiguity.detect(F.col("source_quote"))).alias("code"), F.lit(True).alias("from_rule"))
+    of_rules = v.mined().select("slug", F.explode(ambiguity.detect(F.col("sentence"))).alias("code"), F.lit(True).alias("from_rule"))
     of_text = v.clauses().select("slug", F.explode(ambiguity.detect(F.col("eligibility"))).alias("code"), F.lit(False).alias("from_rule"))
     return of_rules.unionByName(of_text).groupBy("slug", "code").agg(F.bool_or("from_rule").alias("from_rule"))
 
@@ -321,16 +321,16 @@ def amb_dedupe(v: Views) -> DataFrame:
 # Classifications as an external service would have left them, keyed by text digest.
 _FIELDS = "applicant.age,household.income_annual,location.state,eligibility.other,unknown.field,applicant.gender"
 CLASSIFIED = f"""
-  SELECT md5(trim(source_quote)) AS key, split_part('{_FIELDS}', ',', CAST(1 + length(source_quote) % 6 AS INT)) AS c_field,
-         CAST(20 + (length(source_quote) * 7) % 80 AS DOUBLE) / 100 AS c_confidence, length(source_quote) % 2 = 0 AS c_procedural,
-         CASE length(source_quote) % 4 WHEN 0 THEN 'BETWEEN' WHEN 1 THEN 'IN' WHEN 2 THEN 'GTE' ELSE NULL END AS c_operator,
-         CAST(length(source_quote) AS BIGINT) AS c_value, CAST(1 AS BIGINT) AS c_min, CAST(99 AS BIGINT) AS c_max,
-         CASE WHEN length(source_quote) % 3 = 0 THEN NULL ELSE concat('reads: ', source_quote) END AS c_condition
-  FROM (SELECT DISTINCT source_quote FROM {{mined}})"""
+  SELECT md5(trim(sentence)) AS key, split_part('{_FIELDS}', ',', CAST(1 + length(sentence) % 6 AS INT)) AS c_field,
+         CAST(20 + (length(sentence) * 7) % 80 AS DOUBLE) / 100 AS c_confidence, length(sentence) % 2 = 0 AS c_procedural,
+         CASE length(sentence) % 4 WHEN 0 THEN 'BETWEEN' WHEN 1 THEN 'IN' WHEN 2 THEN 'GTE' ELSE NULL END AS c_operator,
+         CAST(length(sentence) AS BIGINT) AS c_value, CAST(1 AS BIGINT) AS c_min, CAST(99 AS BIGINT) AS c_max,
+         CASE WHEN length(sentence) % 3 = 0 THEN NULL ELSE concat('reads: ', sentence) END AS c_condition
+  FROM (SELECT DISTINCT sentence FROM {{mined}})"""
 
 
 def _classified(v: Views) -> DataFrame:
-    got = v.spark.sql(CLASSIFIED, mined=v.mined().select("source_quote"))
+    got = v.spark.sql(CLASSIFIED, mined=v.mined().select("sentence"))
     return got.withColumn("c_values", F.array(F.lit("a"), F.lit("b")))
 
 
@@ -344,7 +344,7 @@ ENRICH_CTES = {
       SELECT m.*, c.* EXCLUDE (key), CASE WHEN m.field <> 'eligibility.other' THEN 'already_classified' WHEN c_confidence < 0.6 THEN 'low_confidence'
              WHEN c_field = 'eligibility.other' AND NOT c_procedural THEN 'kept_other' ELSE 'classified' END AS outcome,
              coalesce(c_operator, operator) AS new_op
-      FROM mined m LEFT JOIN classified c ON c.key = md5(trim(m.source_quote))""",
+      FROM mined m LEFT JOIN classified c ON c.key = md5(trim(m.sentence))""",
 }
 
 
@@ -376,12 +376,12 @@ def enrich_classify(v: Views) -> DataFrame:
 @query(
     "join_enrichment_cache",
     sql(
-        """SELECT c.key, count(*) AS rules, min(c_field) AS c_field FROM mined m JOIN classified c ON c.key = md5(trim(m.source_quote)) GROUP BY 1""",
+        """SELECT c.key, count(*) AS rules, min(c_field) AS c_field FROM mined m JOIN classified c ON c.key = md5(trim(m.sentence)) GROUP BY 1""",
         **ENRICH_CTES,
     ),
 )
 def join_enrichment_cache(v: Views) -> DataFrame:
-    rules = v.mined().select(enrich.cache_key(F.col("source_quote")).alias("key"))
+    rules = v.mined().select(enrich.cache_key(F.col("sentence")).alias("key"))
     # A popular sentence may be a third of all rules: count per key before the join.
     counted = rules.groupBy("key").agg(F.count("*").alias("rules"))
     return counted.join(enrich.sanitise(_classified(v)), "key").select("key", "rules", "c_field")
@@ -400,7 +400,7 @@ _OWN = "list_transform(codes, lambda c: c)"
 )
 def enrich_flags(v: Views) -> DataFrame:
     own = F.transform("flags", lambda f: f["code"])
-    merged = enrich.add_codes(own, ambiguity.detect(F.col("source_quote")))
+    merged = enrich.add_codes(own, ambiguity.detect(F.col("sentence")))
     return v.mined().select(
         "rule_id", F.array_join(merged.cast("array<string>"), ",").alias("codes"),
         (F.size(merged) - F.size("flags")).cast("long").alias("added"),
@@ -423,7 +423,7 @@ BATCHED = {"batched": "SELECT slug, CAST(floor((row_number() OVER (ORDER BY posi
 )
 def enrich_stats(v: Views) -> DataFrame:
     own = F.transform("flags", lambda f: f["code"])
-    added = F.size(F.array_except(ambiguity.detect(F.col("source_quote")), own))
+    added = F.size(F.array_except(ambiguity.detect(F.col("sentence")), own))
     per_scheme = (
         enrich.classify(v.mined(), _classified(v))
         .withColumn("added", added)

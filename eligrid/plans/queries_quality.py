@@ -472,7 +472,7 @@ TIERS = {
     "tiers": """
       SELECT coalesce(a.k, b.k) AS scheme_no, a.text AS tier1, b.text AS tier2
       FROM (SELECT CAST(floor(doc_id / 2) AS BIGINT) AS k, text FROM documents WHERE doc_id % 2 = 0) a
-      FULL OUTER JOIN (SELECT CAST(floor(doc_id / 2) + (CASE WHEN lang = 'en' THEN 0 ELSE 1 END) AS BIGINT) * 1 AS k, text FROM documents WHERE doc_id % 2 = 1 AND lang <> 'es') b ON a.k = b.k""",
+      FULL OUTER JOIN (SELECT CAST(floor(doc_id / 2) + (CASE lang WHEN 'en' THEN 0 WHEN 'es' THEN 1000000000000 ELSE 1 END) AS BIGINT) AS k, text FROM documents WHERE doc_id % 2 = 1) b ON a.k = b.k""",
 }
 
 
@@ -481,9 +481,9 @@ def _tiers(v: Views) -> DataFrame:
     d = v.table("documents")
     half = F.floor(F.col("doc_id") / 2)
     one = d.where("doc_id % 2 = 0").select(half.alias("scheme_no"), F.col("text").alias("tier1"))
-    two = d.where("doc_id % 2 = 1 AND lang <> 'es'").select(
-        (half + F.when(F.col("lang") == "en", 0).otherwise(1)).alias("scheme_no"), F.col("text").alias("tier2")
-    )
+    # One language is shifted out of the other crawl's numbers, so that schemes of one tier only exist.
+    shift = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "es", 10**12).otherwise(1)
+    two = d.where("doc_id % 2 = 1").select((half + shift).alias("scheme_no"), F.col("text").alias("tier2"))
     return one.join(two, "scheme_no", "full_outer")
 
 

@@ -53,11 +53,11 @@ def _rule_struct(pascal: bool) -> F.Column:
                     F.col("state_scope").alias("state_scope"), F.col("logic_group").alias("logic_group"))
 
 
-def _rule_files(v: Views) -> str:
-    """Write the rule base as JSON files: batch list, nested and flat schemes by turns."""
+def _rule_files(v: Views, batches_only: bool = False) -> str:
+    """Write the rule base as JSON files: batch list, nested and flat schemes by turns, or all as batch lists."""
     path = files.scratch(v.spark, "rulebase")
     base = v.rules_raw().join(v.schemes().select("scheme_id", "scheme_name", "status", "position"), "scheme_id")
-    turn = F.col("position") % 3
+    turn = F.lit(0) if batches_only else F.col("position") % 3
 
     def per_scheme(rows: DataFrame, pascal: bool) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("ord", F.to_json(_rule_struct(pascal)).alias("json"))))
@@ -72,7 +72,7 @@ def _rule_files(v: Views) -> str:
     ).select("value")
     one = per_scheme(base.where(turn == 1), False).select(nested.alias("value"))
     two = per_scheme(base.where(turn == 2), False).select(flat.alias("value"))
-    for i, part in enumerate((batch, one, two)):
+    for i, part in enumerate((batch,) if batches_only else (batch, one, two)):
         part.write.option("maxRecordsPerFile", 1).text(f"{path}/layout{i}")
     return path
 
@@ -97,12 +97,12 @@ def src_rule_base(v: Views) -> DataFrame:
     "norm_batch_rule",
     oc.sql(
         """SELECT rule_id, r.field AS condition_type, source_quote, source_url, '2024-01-01' AS notification_date, CAST(flag_code AS STRING) AS flag_codes
-        FROM rules_raw r JOIN schemes s USING (scheme_id) WHERE s.position % 3 = 0"""
+        FROM rules_raw r JOIN schemes s USING (scheme_id)"""
     ),
 )
 def norm_batch_rule(v: Views) -> DataFrame:
-    """The batch-layout share of the files: Pascal-case keys, mixed flags, flat source fields."""
-    path = _rule_files(v) + "/layout0"
+    """All schemes in the batch layout: Pascal-case keys, mixed flags, flat source fields."""
+    path = _rule_files(v, batches_only=True)
     return files.read_rule_base(v.spark, path).select(
         "rule_id", "condition_type", "source_quote", "source_url", "notification_date",
         F.array_join(F.col("flag_codes").cast("array<string>"), ",").alias("flag_codes"),
@@ -265,7 +265,7 @@ def sink_batch_index(v: Views) -> DataFrame:
 
 
 _FLAG_NAMES = case_map("CAST(code AS STRING)", model.AMBIGUITY_TAXONOMY)
-_FLAG_ID = "'AMB-' || upper(substring(sha256(rule_id || '|' || CAST(code AS STRING)), 1, 6))"
+_FLAG_ID = "'AMB-' || upper(sha256(rule_id || '|' || CAST(code AS STRING)))"
 
 
 @query(
@@ -582,10 +582,21 @@ def profile_completeness(v: Views) -> DataFrame:
     )
 
 
-_HASHED = sorted(model.column_of(p) for p, k in model.PROFILE_FIELDS if k in ("int", "str", "bool"))
-_HASH_TEXT = " || '|' || ".join(f"'{c}=' || coalesce(CAST({c} AS STRING), 'null')" for c in _HASHED)
+_KIND = {model.column_of(p): k for p, k in model.PROFILE_FIELDS} | dict.fromkeys(derive.EXTRA_EXPRESSIONS, "str")
+_HASHED = sorted(_KIND)
 
 
-@query("profile_id_hash", oc.sql(f"SELECT profile_id, sha256({_HASH_TEXT}) AS digest FROM profiles"))
+def _hash_sql(name: str) -> str:
+    column, sized = f'"{name}"', lambda x: f"length({x}) || ':' || {x}"
+    if _KIND[name] == "list":
+        text = f"'l' || len({column}) || ':' || array_to_string(list_transform({column}, lambda x: {sized('x')}), '')"
+    elif _KIND[name] == "float":
+        text = "'s' || " + sized(f"CAST(CAST({column} AS DECIMAL(38,6)) AS STRING)")
+    else:
+        text = "'s' || " + sized(f"CAST({column} AS STRING)")
+    return f"'{name}=' || CASE WHEN {column} IS NULL THEN 'n' ELSE {text} END"
+
+
+@query("profile_id_hash", oc.sql(f"SELECT profile_id, sha256({' || '.join(map(_hash_sql, _HASHED))}) AS digest FROM profiles"))
 def profile_id_hash(v: Views) -> DataFrame:
     return v.profiles().select("profile_id", profiles.profile_hash(v.profiles(), _HASHED).alias("digest"))

@@ -50,7 +50,8 @@ LIMIT = 1
 def stream_rate(v: Views) -> DataFrame:
     _stateful(v)
     events = streams.file_stream(v.spark, v.folder, "events")
-    updates = streams.run_available(streams.rate_windows(events, LIMIT), "rate", "update")
+    # Files come in any order, so the allowed lateness is wider than the table.
+    updates = streams.run_available(streams.rate_windows(events, LIMIT, "4000 days"), "rate", "update")
     # In update mode a window may be reported again with a higher count.
     return updates.groupBy("user_id", "window_start").agg(F.max("n").alias("n")).select(
         "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n"
@@ -65,18 +66,18 @@ def stream_rate_exact(v: Views) -> DataFrame:
     return streams.rate_exact(v.table("events"), LIMIT)
 
 
-_SUPPRESS = """WITH RECURSIVE a AS (SELECT event_type, event_id, epoch_us(ts) AS us FROM events),
-  sent AS (SELECT event_type, min(us) AS us FROM a GROUP BY 1
-    UNION ALL SELECT event_type, nxt FROM (SELECT s.event_type, (SELECT min(a.us) FROM a WHERE a.event_type = s.event_type AND a.us >= s.us + 10000000) AS nxt FROM sent s) WHERE nxt IS NOT NULL)
-  SELECT a.event_type, min(a.event_id) AS event_id FROM sent JOIN a ON a.event_type = sent.event_type AND a.us = sent.us GROUP BY a.event_type, a.us"""
+_SUPPRESS = """WITH RECURSIVE a AS (SELECT event_type, epoch_us(ts) AS us, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+  n AS (SELECT event_type, us, min(us) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 10000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM a),
+  sent AS (SELECT event_type, min(us) AS us FROM a GROUP BY 1 UNION ALL SELECT n.event_type, n.nxt FROM sent JOIN n USING (event_type, us) WHERE n.nxt IS NOT NULL)
+  SELECT event_type, event_id FROM sent JOIN a USING (event_type, us)"""
 
 
-@query("stream_alert_suppress_batch")
+@query("stream_alert_suppress_batch", _SUPPRESS)
 def stream_alert_suppress_batch(v: Views) -> DataFrame:
     return streams.suppressed_alerts_batch(v.table("events"))
 
 
-@query("stream_alert_suppress")
+@query("stream_alert_suppress", _SUPPRESS)
 def stream_alert_suppress(v: Views) -> DataFrame:
     _stateful(v)
     alerts = streams.file_stream(v.spark, v.folder, "events")

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows above which a dimension is no longer broadcast (about 200 bytes a row).
-BROADCAST_ROW_LIMIT = 500_000
+# Bytes (as JSON, which is wider than Spark's rows) above which a dimension is no longer broadcast.
+BROADCAST_BYTES = 256 << 20
 
 
 def build_session(app: str = "eligrid", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -27,14 +27,23 @@ def build_session(app: str = "eligrid", cores: str = "*", partitions: int = 8) -
     )
 
 
-def within_limit(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
-    """True when df holds at most `limit` rows; reads no further than it must."""
-    return df.limit(limit + 1).count() <= limit
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a table by the width of all its rows, not by their number."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).collect()[0][0] or 0
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a dimension after measuring it; otherwise leave the join to AQE."""
-    return F.broadcast(df) if within_limit(df, limit) else df
+def within_limit(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return measured_bytes(df) <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, written: bool = False) -> DataFrame:
+    """Broadcast a dimension after measuring it; otherwise leave the join to AQE.
+
+    The dimension is computed once: it is checkpointed, unless it already is a written
+    table, and both the measurement and the join read that.
+    """
+    kept = df if written else checkpoint(df)
+    return F.broadcast(kept) if within_limit(kept, limit) else kept
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -43,7 +52,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            # Only a session without a cluster setting (tests) gets a folder of its own.
+            # Only a local session without a cluster setting (tests) gets a folder of its own.
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

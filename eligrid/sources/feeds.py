@@ -24,6 +24,7 @@ def parse_inputs(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "scheme_id": F.when(trimmed == "", "UNKNOWN").otherwise(trimmed),
+            "scheme_key": F.sha2(F.coalesce(name, F.lit("")), 256),
             "input_type": F.lit("kaggle_csv"),
             "error": F.when(name.isNull(), "missing scheme_name")
             .when(text.isNull(), "missing eligibility")
@@ -32,6 +33,12 @@ def parse_inputs(rows: DataFrame) -> DataFrame:
     )
 
 
+def id_collisions(inputs: DataFrame) -> DataFrame:
+    """Short scheme ids that stand for several names; `scheme_key` tells those apart."""
+    counted = inputs.groupBy("scheme_id").agg(F.count_distinct("scheme_key").alias("names"))
+    return counted.where("names > 1")
+
+
 def section_text(html: Column, tag: str = "section", element_id: str | None = "eligibility") -> Column:
     """Plain text of the first such element: tags dropped, white space collapsed."""
     marker = "[^>]*id=['\"]" + element_id + "['\"]" if element_id else ""
@@ -75,11 +82,14 @@ def flat_profiles(lines: DataFrame, text: str = "value") -> DataFrame:
     return lines.select("profile_id", F.explode(pairs).alias("field", "value"))
 
 
-def nested_profiles(lines: DataFrame, text: str = "value", depth: int = 4) -> DataFrame:
-    """Long form of nested profiles: objects are unfolded level by level into dot paths."""
+def nested_profiles(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Long form of nested profiles: objects are unfolded into dot paths until none is left.
+
+    Each further level is planned only after a look whether any row has one.
+    """
     level = flat_profiles(lines, text)
     leaves = None
-    for _ in range(depth):
+    while leaves is None or not level.isEmpty():
         is_object = F.coalesce(F.startswith(F.schema_of_variant("value"), F.lit("OBJECT")), F.lit(False))
         flat = level.where(~is_object)
         leaves = flat if leaves is None else leaves.unionByName(flat)

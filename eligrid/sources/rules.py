@@ -14,18 +14,34 @@ SIDECARS = ("review_queue.json", "relationships.json", "ambiguity_map.json", "BA
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder all executors can see: below the shared checkpoint folder if one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole JSON files as variants, sidecar and hidden files left out."""
+def documents(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Whole JSON files as variants, sidecar and hidden files left out.
+
+    A file that does not parse stops the job with its name; without `strict` its `doc` is
+    null (see `unreadable`).
+    """
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     name = F.col("_metadata.file_name")
     kept = files.select("value", name.alias("file_name")).where(
         ~F.col("file_name").isin(*SIDECARS) & ~F.startswith("file_name", F.lit(".")) & ~F.startswith("file_name", F.lit("_"))
     )
-    return kept.select("file_name", F.try_parse_json("value").alias("doc"))
+    doc = F.try_parse_json("value")
+    if strict:
+        doc = F.when(doc.isNull(), F.raise_error(F.concat(F.lit("not valid JSON: "), F.col("file_name"))).cast("variant")).otherwise(doc)
+    return kept.select("file_name", doc.alias("doc"))
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """Names of the files that do not parse."""
+    return documents(spark, path, strict=False).where("doc IS NULL").select("file_name")
 
 
 def _elements(v: Column) -> Column:
@@ -55,14 +71,17 @@ def read_rule_base(spark: SparkSession, path: str) -> DataFrame:
     """Rules of all layouts: batch list, {"scheme", "rules"} and flat scheme files.
 
     Keys may be snake or Pascal case; a free-text Condition stands in for the
-    condition type only where none is given; unstructured flags are dropped.
+    condition type only where none is given; unstructured flags are dropped. A scheme
+    without rules keeps one row without a rule; of a scheme found in several files the
+    last file in name order counts, alone.
     """
     items = documents(spark, path).select("file_name", F.explode(_elements(F.col("doc"))).alias("item"))
     scheme = F.coalesce(F.try_variant_get("item", "$.scheme", "variant"), F.col("item"))
     rules = F.try_variant_get("item", "$.rules", "array<variant>")
-    rows = items.select(
-        scheme.alias("s"), F.posexplode(rules).alias("pos", "r")
-    )
+    found = items.select("file_name", scheme.alias("s"), rules.alias("rules")).withColumn("own", _get(F.col("s"), "scheme_id"))
+    last = found.groupBy(F.col("own").alias("last_own")).agg(F.max("file_name").alias("last_file"))
+    found = found.join(last, F.col("own").eqNullSafe(F.col("last_own")) & (F.col("own").isNull() | (F.col("file_name") == F.col("last_file"))))
+    rows = found.select("s", F.posexplode_outer("rules").alias("pos", "r"))
     r = F.col("r")
     value = _get(r, "value", "Value", kind="variant")
     values = F.coalesce(_get(r, "values", "Values", kind="array<variant>"), F.array().cast("array<variant>"))

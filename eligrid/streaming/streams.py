@@ -6,6 +6,7 @@ compared. Watermarks are an addition here; the processed feeds carry none.
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from eligrid.operators import relationships
+from eligrid.session import checkpoint
 from eligrid.sources.rules import scratch
 
 # Executors need not have this package installed to run the stateful processors.
@@ -37,8 +39,16 @@ def file_stream(spark: SparkSession, folder: str, table: str, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, then read its output back."""
+def late_rows(progress: list) -> int:
+    """Rows that watermarks dropped, over all progress reports of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", lose_late: bool = False) -> DataFrame:
+    """Run a stream over what is there now, then read its output back.
+
+    Rows lost to a watermark stop the job unless `lose_late` says that they may go.
+    """
     spark = stream.sparkSession
     out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-state")
     schema = stream.schema
@@ -55,6 +65,9 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     )
     try:
         query.awaitTermination()
+        lost = late_rows([json.loads(p.json) for p in query.recentProgress])
+        if lost and not lose_late:
+            raise ValueError(f"{lost} rows came later than the watermark of {name} allows")
     finally:
         query.stop()
     full = StructType([*schema.fields, StructField("batch_id", IntegerType())])
@@ -64,8 +77,11 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 # ---- feed updates -----------------------------------------------------------
 
 
-def feed_updates(entries: DataFrame, schemes: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Entries that mention a scheme, each (entry, scheme) once within the watermark."""
+def feed_updates(entries: DataFrame, schemes: DataFrame, delay: str) -> DataFrame:
+    """Entries that mention a scheme, each (entry, scheme) once within the watermark.
+
+    The delay has no default: it must cover the disorder of the source, or late entries go.
+    """
     text = entries.withColumn("text", F.concat_ws("\n", "title", "summary"))
     hits = relationships.mentions(text, schemes.select("scheme_id"), "text", "scheme_id")
     return hits.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["gazette_ref", "scheme_id"])
@@ -74,11 +90,16 @@ def feed_updates(entries: DataFrame, schemes: DataFrame, delay: str = "30 days")
 # ---- request rate -----------------------------------------------------------
 
 
-def rate_windows(events: DataFrame, limit: int = RATE_LIMIT) -> DataFrame:
-    """Clients above the limit in a sliding window; combines map-side, so hot clients fold early."""
+def rate_windows(events: DataFrame, limit: int = RATE_LIMIT, lateness: str = "2 minutes") -> DataFrame:
+    """Clients above the limit in a sliding window; combines map-side, so hot clients fold early.
+
+    `lateness` must cover the disorder of the source: minutes for an ordered queue, the
+    whole span for files read in any order. Later rows are dropped and counted by Spark
+    (`late_rows`).
+    """
     counted = (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", "2 minutes")
+        .withWatermark("ts", lateness)
         .groupBy(F.window("ts", f"{RATE_SECONDS} seconds", f"{RATE_SLIDE} seconds"), "user_id")
         .agg(F.count("*").alias("n"))
     )
@@ -128,7 +149,13 @@ class _Suppressor(StatefulProcessor):
 
 
 def suppressed_alerts(alerts: DataFrame) -> DataFrame:
-    """Alerts that are sent: a type stays silent for ten seconds after the last one sent."""
+    """Alerts that are sent: a type stays silent for ten seconds after the last one sent.
+
+    The state of a type is one number, so a type is one key whatever its share of the
+    stream; give alerts of independent sources separate types where one is too hot. Order
+    counts within a micro-batch only: an alert that arrives in a later batch with an
+    earlier time is suppressed. The batch twin has neither limit.
+    """
     slim = alerts.select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return slim.groupBy("event_type").transformWithStateInPandas(
         _Suppressor(), "event_type string, event_id long", outputMode="Append", timeMode="None"
@@ -136,46 +163,53 @@ def suppressed_alerts(alerts: DataFrame) -> DataFrame:
 
 
 def suppressed_alerts_batch(alerts: DataFrame) -> DataFrame:
-    """Batch twin. A silence of ten seconds always restarts the chain, so alerts split
-    into independent bursts; only inside a burst is there an order-dependent fold.
+    """Batch twin, over rows of any order.
 
-    The gap to the previous alert of a type is found inside hour buckets, with the last
-    alert of earlier buckets joined in, so a dominant type is not one window partition.
+    An alert after ten silent seconds is always sent, which cuts a type into bursts.
+    Inside a burst every alert points to the first one ten seconds later; the sent ones
+    are those reached from the burst's start, found by doubling the pointers, so a burst
+    of any length is neither one row nor one task. Previous and next alerts are found
+    inside hour buckets, with the nearest alert of other buckets joined in.
     """
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = alerts.select("event_type", "event_id", us.alias("us"), F.floor(us / 3_600_000_000).alias("bucket"))
-    ends = rows.groupBy("event_type", "bucket").agg(F.max("us").alias("end"))
-    earlier = Window.partitionBy("event_type").orderBy("bucket")
-    ends = ends.select("event_type", "bucket", F.lag("end").over(earlier).alias("before"))
-    inside = Window.partitionBy("event_type", "bucket").orderBy("us", "event_id")
     gap = SUPPRESS_SECONDS * 1_000_000
-    marked = (
-        rows.withColumn("prev", F.lag("us").over(inside))
-        .join(ends, ["event_type", "bucket"])
-        .withColumn("prev", F.coalesce("prev", "before"))
-        .withColumn("starts", (F.col("prev").isNull() | (F.col("us") - F.col("prev") >= gap)).cast("int"))
-    )
-    # Burst number: starts so far in the bucket plus starts in earlier buckets.
-    per_bucket = marked.groupBy("event_type", "bucket").agg(F.sum("starts").alias("n"))
-    upto = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("event_type", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("offset"))
-    burst = (
-        marked.withColumn("k", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(offsets, ["event_type", "bucket"])
-        .withColumn("burst", F.col("offset") + F.col("k"))
+    hour = 3_600_000_000
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = checkpoint(alerts.groupBy("event_type", us.alias("us")).agg(F.min("event_id").alias("event_id")))
+    marks = rows.select("event_type", "us", F.lit(1).alias("alert")).unionByName(
+        rows.select("event_type", (F.col("us") + gap).alias("us"), F.lit(0).alias("alert"))
+    ).withColumn("bucket", F.floor(F.col("us") / hour))
+    own = F.when(F.col("alert") == 1, F.col("us"))
+    # A row per type and hour: the nearest alerts of other hours.
+    hours = marks.groupBy("event_type", "bucket").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    by_hour = Window.partitionBy("event_type").orderBy("bucket")
+    hours = hours.select(
+        "event_type", "bucket",
+        F.max("last").over(by_hour.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.min("first").over(by_hour.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
     )
-    state = "struct<last:bigint,sent:array<bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("sent")).cast(state)
-
-    def step(acc, x):
-        fires = acc["last"].isNull() | (x["us"] - acc["last"] >= gap)
-        return F.struct(
-            F.when(fires, x["us"]).otherwise(acc["last"]).alias("last"),
-            F.when(fires, F.concat(acc["sent"], F.array(x["event_id"]))).otherwise(acc["sent"]).alias("sent"),
-        ).cast(state)
-
-    folded = burst.groupBy("event_type", "burst").agg(F.array_sort(F.collect_list(F.struct("us", "event_id"))).alias("a"))
-    return folded.select("event_type", F.explode(F.aggregate("a", start, step)["sent"]).alias("event_id"))
+    # Both frames grow with the row, so an hour full of alerts costs linear time.
+    inside = Window.partitionBy("event_type", "bucket").orderBy("us", "alert")
+    back = Window.partitionBy("event_type", "bucket").orderBy(F.desc("us"), F.desc("alert"))
+    near = marks.select(
+        "event_type", "bucket", "us", "alert",
+        F.max(own).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"),
+        F.min(own).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("next"),
+    ).join(hours, ["event_type", "bucket"])
+    starts = near.where("alert = 1").where(
+        F.coalesce(F.col("us") - F.coalesce("prev", "before") >= gap, F.lit(True))
+    ).select("event_type", "us")
+    jump = near.where("alert = 0").select("event_type", (F.col("us") - gap).alias("us"), F.coalesce("next", "after").alias("to")).where("to IS NOT NULL")
+    jump = jump.join(starts.select("event_type", F.col("us").alias("to")), ["event_type", "to"], "left_anti").select("event_type", "us", "to").distinct()
+    rounds = []
+    jump = checkpoint(jump)
+    while not jump.isEmpty():
+        rounds.append(jump)
+        further = jump.select("event_type", F.col("us").alias("to"), F.col("to").alias("beyond"))
+        jump = checkpoint(jump.join(further, ["event_type", "to"]).select("event_type", "us", F.col("beyond").alias("to")))
+    sent = starts
+    for step in reversed(rounds):
+        sent = checkpoint(sent.union(sent.join(step, ["event_type", "us"]).select("event_type", "to")))
+    return rows.join(sent, ["event_type", "us"], "left_semi").select("event_type", "event_id")
 
 
 # ---- session fold -----------------------------------------------------------
