@@ -51,15 +51,10 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
             raise ValueError("replies form a cycle")
         rounds.append(state.filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("next")))
         other = state.select(F.col("tree").alias("t"), F.col("message").alias("m"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2"))
-        state = checkpoint(
-            state.join(other, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")), "left").select(
-                "tree",
-                "message",
-                F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"),
-            )
-        )
+        # Messages that have reached their root are done; only the others go on.
+        moved = state.filter("up IS NOT NULL").join(other, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("m")))
+        moved = moved.select("tree", "message", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("s2")).alias("total"))
+        state = checkpoint(state.filter("up IS NULL").union(moved))
         size = state.agg(F.count("up").alias("open")).collect()[0]
     parents = links.filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("m")).distinct()
     leaves = state.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m")), "left_anti")
