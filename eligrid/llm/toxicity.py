@@ -1,10 +1,10 @@
 """Toxicity by weak supervision: many voters, a generative label model over them, a linear classifier on its posteriors.
 
 Voters are a fixed lexicon of insults, a repeated-insult and a second-person pattern, and patterns mined from the
-labelled rows: whole words and word beginnings that toxic texts hold and clean ones do not. The label model treats
-votes as emissions of a hidden class, estimates each voter's rates by expectation maximisation and the correlations
-of voters given the class, and discounts voters that say the same thing. A logistic regression over the mined
-patterns is trained on the posteriors and scores every text.
+labelled rows: whole words, word beginnings, and beginnings that several distinct words of a text share, which toxic
+texts hold and clean ones do not. The label model treats votes as emissions of a hidden class, estimates each voter's
+rates by expectation maximisation and the correlations of voters given the class, and discounts voters that say the
+same thing. A logistic regression over the mined patterns is trained on the posteriors and scores every text.
 
 Only rows whose crc32(doc_id as text) mod 5 is not 0 teach anything. The fit reads at most TRAIN_ROWS labelled rows
 (the smallest by hash); scoring reads every whole text. Labels, lang, source and doc_id are not inputs of a score.
@@ -28,6 +28,8 @@ TRAIN_ROWS = 20_000
 PATTERNS = 4096
 VOTERS = 256
 PREFIXES = (4, 5, 6)
+# Distinct words of a text with one beginning from which on that is a pattern of its own.
+SHARED = (2, 4, 8)
 LONGEST_WORD = 24
 
 INSULTS = (
@@ -40,7 +42,7 @@ INSULTS = (
 
 @dataclass
 class Model:
-    weights: dict = field(default_factory=dict)  # pattern -> weight; "=word" or "^beginning"
+    weights: dict = field(default_factory=dict)  # pattern -> weight; "=word", "^beginning" or "4^beginning"
     bias: float = -3.0
 
 
@@ -56,6 +58,15 @@ def patterns_of(word):
     return out + ["^" + word[:n] for n in PREFIXES if len(word) >= n]
 
 
+def fired_by(words, of=patterns_of):
+    """The patterns that a text's distinct words fire together."""
+    counts = {}
+    for word in words:
+        for p in of(word):
+            counts[p] = counts.get(p, 0) + 1
+    return {*counts, *(f"{n}{p}" for p, c in counts.items() if c > 1 and p[0] == "^" for n in SHARED if c >= n)}
+
+
 def _hash_lowest(rows, limit):
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
@@ -80,7 +91,7 @@ def _mined(batches):
     for batch in batches:
         toxic, found = [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hits = {p for w in words_of(text) for p in patterns_of(w)}
+            hits = fired_by(words_of(text))
             toxic += [label] * len(hits)
             found += hits
         for at in range(0, len(found), 1 << 18):
@@ -102,7 +113,7 @@ def _votes(patterns):
             rows = []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
-                fired = sorted({number[p] for w in words for p in patterns_of(w) if p in number})
+                fired = sorted(number[p] for p in fired_by(words) if p in number)
                 count = 0
                 if words & insults:
                     count = sum(w in insults for w in re.findall(r"[^\W\d_]+", text.lower()))
@@ -145,7 +156,7 @@ def label_model(votes, labels, rounds: int = 25, label_rate: float = 0.95):
     return posterior
 
 
-def linear_classifier(rows, size, target, rounds: int = 300, decay: float = 1e-4):
+def linear_classifier(rows, size, target, rounds: int = 1500, decay: float = 1e-5):
     """(weights, bias) of a logistic regression on sparse 0/1 rows by accelerated gradient steps."""
     import numpy as np
 
@@ -220,11 +231,14 @@ def score_column(model: Model, text):
 
         import pandas as pd
 
+        # Patterns with a weight, alone or shared by several words.
+        known = {p.lstrip("0123456789") if p[0] not in "=^" else p for p in weights}
+
         class Fired(dict):
-            """word -> the weighted patterns it fires; most words fire none."""
+            """word -> the known patterns it fires; most words fire none."""
 
             def __missing__(self, word):
-                value = tuple(p for p in patterns_of(word) if p in weights)
+                value = tuple(p for p in patterns_of(word) if p in known)
                 if len(self) < 500_000:
                     self[word] = value
                 return value
@@ -232,11 +246,9 @@ def score_column(model: Model, text):
         fired, find = worker_cache(key, Fired), re.compile(r"[^\W\d_]+").findall
         out = []
         for text in texts:
-            hits = set()
-            for found in map(fired.__getitem__, set(find(text.lower()))) if text else ():
-                if found:
-                    hits.update(found)
-            logit = bias + sum(sorted(weights[p] for p in hits))
+            words = [w for w in set(find(text.lower())) if fired[w]] if text else []
+            hits = fired_by(words, fired.__getitem__) if words else ()
+            logit = bias + math.fsum(weights.get(p, 0.0) for p in hits)
             out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
         return pd.Series(out, dtype="float64")
 
