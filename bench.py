@@ -21,6 +21,7 @@ HEADLINE = (
     "remediation_actions",
     "whatif_compare",
     "seq_steps",
+    "seq_parallel",
     "txt_extract_rules",
     "amb_detect",
     "review_flag",
@@ -39,7 +40,7 @@ def main() -> None:
     spark = build_session("bench", cpus, int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     v = views(spark, folder)
-    # The rule base is loaded once per process, as the cached baseline does too.
+    # The rule base is loaded once per process, as the cached baseline does too; its time is part of the total.
     start = time.time()
     v.nested_rules()
     rule_base = time.time() - start
@@ -54,7 +55,7 @@ def main() -> None:
         json.dumps(
             {
                 "metric": "headline_total",
-                "value": round(sum(timings.values()), 3),
+                "value": round(rule_base + sum(timings.values()), 3),
                 "unit": "sec",
                 "queries": timings,
                 "sf": os.path.basename(folder.rstrip("/")),

@@ -133,13 +133,17 @@ def rule_notes(flags: DataFrame) -> DataFrame:
 def bind(rules: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """Resolve everything about a rule that does not depend on a profile."""
     slots = _map(model.FIELD_SLOT)
-    items = F.when(
-        F.coalesce(F.length("values_text"), F.lit(0)) > 0,
-        F.transform(
-            F.split("values_text", r"\|"),
-            lambda x: cells.cell_from_text(F.col("values_kind"), x),
-        ),
-    )
+    if "items" in rules.columns:
+        # Typed elements as read from files: no text form in between.
+        items = F.col("items")
+    else:
+        items = F.when(
+            F.coalesce(F.length("values_text"), F.lit(0)) > 0,
+            F.transform(
+                F.split("values_text", r"\|"),
+                lambda x: cells.cell_from_text(F.col("values_kind"), x),
+            ),
+        )
     bound = rules.withColumns(
         {
             "phase": phase(F.col("rule_type")),

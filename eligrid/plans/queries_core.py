@@ -73,15 +73,19 @@ def join_profile_rule(v: Views) -> DataFrame:
     )
 
 
-@query(
-    "evaluate_all",
-    oc.sql(
-        """SELECT profile_id, scheme_id, status, c_pass, c_fail, rules_passed, rules_failed, rules_undetermined,
-           round(composite, 6) AS composite FROM dets"""
-    ),
+EVALUATED = oc.sql(
+    """SELECT profile_id, scheme_id, status, c_pass, c_fail, rules_passed, rules_failed, rules_undetermined,
+       round(composite, 6) AS composite FROM dets"""
 )
+
+
+@query("evaluate_all", EVALUATED)
 def evaluate_all(v: Views) -> DataFrame:
-    return v.determinations().select(
+    return evaluated(v.determinations())
+
+
+def evaluated(determinations: DataFrame) -> DataFrame:
+    return determinations.select(
         "profile_id", "scheme_id", "status",
         *[F.col(c).cast("long").alias(c) for c in ("c_pass", "c_fail", "rules_passed", "rules_failed", "rules_undetermined")],
         six("composite"),

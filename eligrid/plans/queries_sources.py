@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligrid import model
-from eligrid.operators import ambiguity, mining, profiles, rulebase
+from eligrid.operators import ambiguity, decision, mining, profiles, rulebase
 from eligrid.plans import derive
 from eligrid.plans import oracle_core as oc
 from eligrid.plans import queries_mining as qm
 from eligrid.plans.oracle_core import case_map, quoted
+from eligrid.plans.queries_core import EVALUATED, evaluated
 from eligrid.plans.queries_quality import FEED, RELS
 from eligrid.plans.registry import query
 from eligrid.plans.views import Views
-from eligrid.session import broadcast_if_small
+from eligrid.session import broadcast_if_small, checkpoint
 from eligrid.sources import feeds
 from eligrid.sources import rules as files
 
@@ -31,6 +32,11 @@ _RULE_NAMES = {
 }
 
 
+def _flag_struct(code: str, severity: str) -> F.Column:
+    named = F.concat(F.lit("AMB-"), F.lpad(F.col(code).cast("string"), 3, "0"))
+    return F.struct(F.col(code).alias("ambiguity_type_code"), F.col(severity).alias("severity"), named.alias("ambiguity_id"))
+
+
 def _rule_struct(pascal: bool) -> F.Column:
     text = F.col("value_text")
     value = F.try_parse_json(
@@ -38,26 +44,28 @@ def _rule_struct(pascal: bool) -> F.Column:
             F.concat(F.lit('"'), text, F.lit('"'))
         )
     )
-    listed = F.when(F.length("values_text") > 0, F.split("values_text", r"\|")).otherwise(F.array().cast("array<string>"))
+    element = lambda x: F.try_parse_json(F.when(F.col("values_kind") == "num", x).otherwise(F.concat(F.lit('"'), x, F.lit('"'))))
+    listed = F.when(F.length("values_text") > 0, F.transform(F.split("values_text", r"\|"), element)).otherwise(F.array().cast("array<variant>"))
     columns = {name: F.col(name) for name in _RULE_NAMES if name not in ("value", "values")}
     columns |= {"value": value, "values": listed}
-    flag = F.struct(F.col("flag_code").alias("ambiguity_type_code"), F.col("flag_severity").alias("severity"))
+    flag = _flag_struct("flag_code", "flag_severity")
+    flags = F.filter(F.array(flag, F.when(F.col("flag2_severity").isNotNull(), _flag_struct("flag2_code", "flag2_severity"))), lambda f: f.isNotNull())
     if pascal:
         # Batch files mix structured flags with bare ids; only the former count.
         made = [c.alias(_RULE_NAMES[n]) for n, c in columns.items()]
-        flags = F.array(F.parse_json(F.to_json(flag)), F.parse_json(F.lit('"AMB-001"')))
+        flags = F.concat(F.transform(flags, lambda f: F.parse_json(F.to_json(f))), F.array(F.parse_json(F.lit('"AMB-001"'))))
         return F.struct(*made, F.col("field").alias("Condition"), flags.alias("Ambiguity_Flags"), F.lit(3).alias("Data_Source_Tier"))
     anchor = F.struct(columns.pop("source_quote").alias("source_quote"), columns.pop("source_url").alias("source_url"))
     made = [c.alias(n) for n, c in columns.items()]
-    return F.struct(*made, anchor.alias("source_anchor"), F.array(flag).alias("ambiguity_flags"), F.col("field").alias("condition_type"),
-                    F.col("state_scope").alias("state_scope"), F.col("logic_group").alias("logic_group"))
+    return F.struct(*made, anchor.alias("source_anchor"), flags.alias("ambiguity_flags"), F.col("field").alias("condition_type"),
+                    *["state_scope", "supersedes_rule_id", "logic_group", "logic_operator", "prerequisite_scheme_id"])
 
 
-def _rule_files(v: Views, batches_only: bool = False) -> str:
-    """Write the rule base as JSON files: batch list, nested and flat schemes by turns, or all as batch lists."""
+def _rule_files(v: Views, layouts: tuple[int, ...] = (0, 1, 2)) -> str:
+    """Write the rule base as JSON files: batch list (0), nested (1) and flat schemes (2) by turns."""
     path = files.scratch(v.spark, "rulebase")
     base = v.rules_raw().join(v.schemes().select("scheme_id", "scheme_name", "status", "position"), "scheme_id")
-    turn = F.lit(0) if batches_only else F.col("position") % 3
+    turn = F.array(*[F.lit(x) for x in layouts])[F.col("position") % len(layouts)]
 
     def per_scheme(rows: DataFrame, pascal: bool) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("ord", F.to_json(_rule_struct(pascal)).alias("json"))))
@@ -72,13 +80,14 @@ def _rule_files(v: Views, batches_only: bool = False) -> str:
     ).select("value")
     one = per_scheme(base.where(turn == 1), False).select(nested.alias("value"))
     two = per_scheme(base.where(turn == 2), False).select(flat.alias("value"))
-    for i, part in enumerate((batch,) if batches_only else (batch, one, two)):
+    for i, part in enumerate((batch, one, two)):
         part.write.option("maxRecordsPerFile", 1).text(f"{path}/layout{i}")
     return path
 
 
-_FILE_COLS = """r.scheme_id, scheme_name, r.rule_id, r.rule_type, r.operator, r.value_kind, r.value_text, r.value_min, r.value_max, r.values_text,
-   r.audit_status, r.confidence, r.source_quote, r.source_url, r.display_text, r.field AS condition_type, CAST(r.flag_code AS STRING) AS flag_codes"""
+_CODES = "CAST(flag_code AS STRING) || CASE WHEN flag2_severity IS NULL THEN '' ELSE ',' || flag2_code END"
+_FILE_COLS = f"""r.scheme_id, scheme_name, r.rule_id, r.rule_type, r.operator, r.value_kind, r.value_text, r.value_min, r.value_max, r.values_text,
+   r.audit_status, r.confidence, r.source_quote, r.source_url, r.display_text, r.field AS condition_type, {_CODES} AS flag_codes"""
 
 
 @query(
@@ -96,19 +105,29 @@ def src_rule_base(v: Views) -> DataFrame:
 @query(
     "norm_batch_rule",
     oc.sql(
-        """SELECT rule_id, r.field AS condition_type, source_quote, source_url, '2024-01-01' AS notification_date, CAST(flag_code AS STRING) AS flag_codes
+        f"""SELECT rule_id, r.field AS condition_type, source_quote, source_url, '2024-01-01' AS notification_date, {_CODES} AS flag_codes
         FROM rules_raw r JOIN schemes s USING (scheme_id)"""
     ),
 )
 def norm_batch_rule(v: Views) -> DataFrame:
     """All schemes in the batch layout: Pascal-case keys, mixed flags, flat source fields."""
-    path = _rule_files(v, batches_only=True)
+    path = _rule_files(v, (0,))
     return files.read_rule_base(v.spark, path).select(
         "rule_id", "condition_type", "source_quote", "source_url", "notification_date",
         F.array_join(F.col("flag_codes").cast("array<string>"), ",").alias("flag_codes"),
     )
 
 
+@query("evaluate_files", EVALUATED)
+def evaluate_files(v: Views) -> DataFrame:
+    """All determinations from rule files alone: rules, typed values, flags and schemes as read."""
+    rules = checkpoint(files.read_rule_base(v.spark, _rule_files(v, (1, 2))))
+    schemes, made = files.schemes_of(rules), rulebase.load_ready(rules.where("rule_id IS NOT NULL"))
+    bound = rulebase.bind(rulebase.active_rules(made, schemes, v.queue()), files.flags_of(rules))
+    nested = checkpoint(rulebase.nest(schemes, bound, rulebase.exclusions(made, v.queue())))
+    return evaluated(decision.determinations(v.profile_cells(), nested))
+
+
 def _json_list(v: Views, rows: DataFrame, name: str, key: str | None = None) -> str:
     path = files.scratch(v.spark, name)
     packed = rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eligrid.functions import cells
+
 SIDECARS = ("review_queue.json", "relationships.json", "ambiguity_map.json", "BATCH_INDEX.json")
 
 
@@ -67,6 +69,21 @@ def text_of(v: Column) -> Column:
     return F.when(kind_of(v) == "bool", F.initcap(text)).otherwise(text)
 
 
+def cell_of(v: Column) -> Column:
+    """Typed cell of a variant; a list keeps its elements' texts."""
+    kind, text = kind_of(v), text_of(v)
+    listed = F.try_variant_get(v, "$", "array<string>")
+    number = (
+        F.when(kind == "num", F.try_variant_get(v, "$", "double"))
+        .when(kind == "bool", F.try_variant_get(v, "$", "boolean").cast("double"))
+        .when(kind == "str", cells.text_as_double(text))
+    )
+    return F.struct(
+        kind.alias("kind"), F.when(kind == "list", cells.list_text(listed)).otherwise(text).alias("s"),
+        number.cast("double").alias("f"), F.when(kind == "list", listed).alias("a"),
+    ).cast(cells.CELL)
+
+
 def read_rule_base(spark: SparkSession, path: str) -> DataFrame:
     """Rules of all layouts: batch list, {"scheme", "rules"} and flat scheme files.
 
@@ -104,6 +121,8 @@ def read_rule_base(spark: SparkSession, path: str) -> DataFrame:
         _get(r, "value_min", "Value_Min", kind="double").alias("value_min"),
         _get(r, "value_max", "Value_Max", kind="double").alias("value_max"),
         F.array_join(F.transform(values, text_of), "|").alias("values_text"),
+        F.transform(values, cell_of).alias("items"),
+        F.when(F.size(values) > 0, kind_of(values[0])).otherwise("str").alias("values_kind"),
         F.coalesce(_get(r, "audit_status", "Audit_Status"), F.lit("PENDING")).alias("audit_status"),
         F.coalesce(_get(r, "state_scope"), F.lit("central")).alias("state_scope"),
         _get(r, "supersedes_rule_id").alias("supersedes_rule_id"),
@@ -115,9 +134,30 @@ def read_rule_base(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(_get(r, "source_anchor.source_url", "source_url", "Source_URL"), F.lit("")).alias("source_url"),
         F.coalesce(_get(r, "source_anchor.notification_date", "notification_date"), F.lit("2024-01-01")).alias("notification_date"),
         F.transform(flags, lambda f: F.try_variant_get(f, "$.ambiguity_type_code", "int")).alias("flag_codes"),
+        F.transform(
+            flags,
+            lambda f, i: F.struct(
+                i.alias("pos"), F.try_variant_get(f, "$.ambiguity_id", "string").alias("ambiguity_id"),
+                F.try_variant_get(f, "$.severity", "string").alias("severity"),
+            ),
+        ).alias("rule_flags"),
+        _get(r, "prerequisite_scheme_id").alias("prerequisite_scheme_id"),
     )
 
 
+def schemes_of(rules: DataFrame) -> DataFrame:
+    """Scheme rows of a rule base read from files, also of schemes without rules."""
+    return rules.groupBy("scheme_id").agg(F.first("scheme_name").alias("scheme_name"), F.first("status").alias("status")).withColumns(
+        {"ministry": F.lit(None).cast("string"), "position": F.lit(0)}
+    )
+
+
+def flags_of(rules: DataFrame) -> DataFrame:
+    """Flag rows that the rules of a rule base carry themselves; without a severity a flag has no effect."""
+    each = rules.where("rule_id IS NOT NULL").select("scheme_id", "rule_id", "ord", F.inline("rule_flags"))
+    return each.where("severity IS NOT NULL")
+
+
 def _listed(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Entries of a file that is a list or an object holding one under `key`."""
     docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))

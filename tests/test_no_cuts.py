@@ -107,3 +107,11 @@ def test_broadcasts_are_bounded_by_bytes(spark):
     assert session.measured_bytes(wide) > 100_000 and not session.within_limit(wide, 50_000)
     plan = lambda d: spark.range(3).join(session.broadcast_if_small(d, 50_000), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(spark.range(10)) and "broadcast" not in plan(wide)
+
+
+def test_listed_values_keep_their_types_and_pipes(spark, tmp_path):
+    one = {"scheme_id": "A", "rules": [{"rule_id": "r", "field": "applicant.age", "operator": "IN", "values": ["x|y", 3, True], "ambiguity_flags": [{"ambiguity_id": "AMB-1", "severity": "HIGH"}, "loose"]}]}
+    rules = files.read_rule_base(spark, write(tmp_path / "typed", a=json.dumps(one)))
+    row = rulebase.bind(rulebase.load_ready(rules), files.flags_of(rules)).collect()[0]
+    assert [(i["kind"], i["s"], i["f"]) for i in row["items"]] == [("str", "x|y", None), ("num", "3", 3.0), ("bool", "True", 1.0)]
+    assert row["notes"] == ["AMB-1"] and row["high_notes"] == 1
