@@ -32,11 +32,20 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends there, lost executors lose nothing."""
+def stored(df: DataFrame, purpose: str, batch_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage ends there, lost executors lose nothing.
+
+    batch_rows bounds the rows of one Arrow batch while it is written, so that whole texts stay few in a task.
+    """
     spark = df.sparkSession
-    path = scratch(spark, purpose)
-    df.write.parquet(path)
+    path, setting = scratch(spark, purpose), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch_rows:
+        spark.conf.set(setting, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,9 +62,10 @@ def lower_ascii(text):
 
 
 def worker_cache(key, make):
-    """A value kept as long as the Python worker is reused by further tasks."""
+    """A value kept while tasks of one kind reuse the Python worker; the next kind of task takes its place."""
     kept = sys.__dict__.setdefault("_eligrid_llm_cache", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 

@@ -222,7 +222,7 @@ def near_duplicates(
                 ["cls", "label", "dim", "copies", "vector", "cell", "far"],
             )
 
-    dealt = classes.join(broadcast_if_small(sizes.select("label", "dim", "cells")), ["label", "dim"]).select("cls", "label", "dim", "copies", "vector", "cells")
+    dealt = classes.join(broadcast_if_small(sizes.select("label", "dim", "cells"), written=True), ["label", "dim"]).select("cls", "label", "dim", "copies", "vector", "cells")
     dealt = stored(dealt.mapInArrow(cells, "cls long, label string, dim int, copies long, vector array<double>, cell int, far double"), "cover-cells")
     spans = dealt.groupBy("label", "dim", "cell").agg(F.max("far").alias("span"), F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     spans = stored(spans, "cover-spans")
@@ -240,7 +240,7 @@ def near_duplicates(
     )
     one = met.select("pair", "label", "dim", "cell", "block", F.lit(0).alias("side"))
     two = met.filter("cell <> cell2 OR block <> block2").select("pair", "label", "dim", F.col("cell2").alias("cell"), F.col("block2").alias("block"), F.lit(1).alias("side"))
-    placed = dealt.join(broadcast_if_small(spans.select("label", "dim", "cell", "blocks")), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
+    placed = dealt.join(broadcast_if_small(spans.select("label", "dim", "cell", "blocks"), written=True), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("blocks")).cast("int"))
     found = (
         placed.join(one.union(two), ["label", "dim", "cell", "block"])
         .select("pair", "side", "cls", "copies", "vector")

@@ -36,10 +36,12 @@ from eligrid.session import broadcast_if_small
 FREQUENT_FROM = 8
 FREQUENT_KEYS = 2_000_000
 # Shingles gathered before a task sends a list, keys of one owner, bits of the overlap bitmap.
-FLUSH = 1 << 20
-OWNER_KEYS = 1 << 22
+FLUSH = 1 << 19
+OWNER_KEYS = 1 << 21
 BITMAP = 1024
-CACHE_WORDS = 300_000
+# Words whose hash a worker keeps, documents of one Arrow batch.
+CACHE_WORDS = 150_000
+BATCH_ROWS = 1000
 
 
 class Shingler:
@@ -267,7 +269,7 @@ def _postings(words, percent, bits, owners, frequent):
                         marks = bitmap_of(values)
                         for i, v in enumerate(values[mine].view(np.int64).tolist()):
                             often.append({"token": v, "grp": group, "size": n, "place": len(rare) + i, "bits": marks})
-                if size >= FLUSH or len(docs) >= 8192 or len(often) >= 16384:
+                if size >= FLUSH or len(docs) >= 4096 or len(often) >= 8192:
                     yield out()
                     docs, often, lists, size, serial = [], [], [], 0, serial + 1
         if docs:
@@ -389,6 +391,7 @@ def jaccard_groups(
         .groupBy("owner")
         .applyInArrow(_frequencies(frequent_from), "key long, n long"),
         "jaccard-frequent",
+        BATCH_ROWS,
     )
     # The limit that leaves at most frequent_keys keys; any set of keys gives a valid order. The table of counts has
     # a row per power of two.
@@ -409,6 +412,7 @@ def jaccard_groups(
         .groupBy("owner")
         .applyInArrow(_pairs_of_owner(percent), FOUND),
         "jaccard-found",
+        BATCH_ROWS,
     )
     profiles = found.filter("kind = 'docs'").select(F.explode("docs").alias("d")).select("d.*")
     often = stored(
@@ -434,14 +438,14 @@ def jaccard_groups(
     # Sets of groups that any pair or frequent key names, from one document each.
     named = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).union(often.select("grp")).distinct()
     firsts = profiles.groupBy("grp").agg(F.min("doc_id").alias("first_id")).join(named, "grp").select("grp", "first_id")
-    texts = docs.join(broadcast_if_small(stored(firsts, "jaccard-firsts")), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("grp", "text")
-    sets = stored(texts.mapInArrow(_sets(words), "grp long, shingles binary"), "jaccard-sets")
+    texts = docs.join(broadcast_if_small(stored(firsts, "jaccard-firsts"), written=True), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("grp", "text")
+    sets = stored(texts.mapInArrow(_sets(words), "grp long, shingles binary"), "jaccard-sets", BATCH_ROWS)
 
     def verify(candidates):
         left = sets.select(F.col("grp").alias("a"), F.col("shingles").alias("left"))
         right = sets.select(F.col("grp").alias("b"), F.col("shingles").alias("right"))
         both = candidates.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        return stored(both.mapInArrow(_verified(percent), "a long, b long"), "jaccard-links")
+        return stored(both.mapInArrow(_verified(percent), "a long, b long"), "jaccard-links", BATCH_ROWS)
 
     def labelled(stars):
         """Frequent-key rows of tokens that still join different components."""
