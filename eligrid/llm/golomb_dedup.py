@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eligrid.llm.common import lower_ascii, stored
+from eligrid.session import broadcast_if_small
 
 # Rows of one source block, and fingerprints of one owner: what a task holds at once.
 BLOCK_ROWS = 1 << 17
 OWNER_FINGERPRINTS = 1 << 21
+# Bytes of suspect ids (as JSON, some 16 an id) that are still broadcast.
+SOUGHT_BYTES = 64 << 20
 # Extra fingerprint bits beyond log2(rows): about one row in 2**SPARE_BITS is a false suspect.
 SPARE_BITS = 10
 
@@ -166,8 +169,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     rows = stored(rows, "dedup-rows")
     suspects = rows.filter("suspect")
-    # Byte verification: the texts of suspects only, equal bytes combined before the shuffle.
-    sought = suspects.select(F.col("doc_id").alias("wanted")).distinct()
+    # Byte verification: the texts of suspects only, equal bytes combined before the shuffle. While the suspects' ids
+    # are few, they go to the texts; otherwise both sides are shuffled by id.
+    sought = stored(suspects.select(F.col("doc_id").alias("wanted")).distinct(), "dedup-suspects")
+    sought = broadcast_if_small(sought, limit=SOUGHT_BYTES, written=True)
     texts = docs.join(sought, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select(lower_ascii(F.col("text")).alias("norm"))
     verified = (
         texts.withColumn("text_sha256", F.sha2(F.encode("norm", "UTF-8"), 256))

@@ -25,7 +25,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from eligrid.llm.common import worker_cache
 
 BLANK = "▁"
-CACHE_WORDS = 500_000
+# Words and neighbour checks that a worker keeps, rows whose new words are encoded together.
+CACHE_WORDS = 250_000
+CACHE_PAIRS = 300_000
 CHUNK_ROWS = 512
 
 
@@ -77,7 +79,7 @@ class Pieces:
         key = (left, right)
         if key not in self.fits:
             value = self.merged(left + right) == [left, right]
-            if len(self.fits) >= 1_000_000:
+            if len(self.fits) >= CACHE_PAIRS:
                 return value
             self.fits[key] = value
         return self.fits[key]
