@@ -8,25 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eligrid.llm import golomb_dedup, harmonic_pack
+from eligrid.llm import golomb_dedup, group_jaccard, harmonic_pack, secret_ledger
+from eligrid.llm import toxicity as weak
 from eligrid.llm.common import load, lower_ascii
 from eligrid.llm.queries import vocabulary_file
 
 
 def toxicity(spark, docs, sf_dir):
     """Documents scored 0.5 or more go."""
-    from eligrid.llm import toxicity as weak
-
     model = weak.fit(docs, load(spark, sf_dir, "labels"))
     return docs.filter(weak.score_column(model, F.col("text")) < 0.5)
 
 
 def exact_dedup(spark, docs, sf_dir):
     """Of equal texts the row with the largest doc_id stays; of rows that repeat doc_id and text, one."""
-    kept = golomb_dedup.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_digest", F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256))
-    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    kept = golomb_dedup.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).distinct()
+    keyed = docs.withColumn("__dedup_digest", F.sha2(F.encode(lower_ascii(F.col("text")), "UTF-8"), 256))
+    chosen = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__dedup_digest") == F.col("__kept_sha")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__dedup_digest"]).select(*docs.columns)
 
 
 def ngram_jaccard(spark, docs, sf_dir):
@@ -34,17 +33,13 @@ def ngram_jaccard(spark, docs, sf_dir):
 
     Rows that share a doc_id stay together if any of them does; null doc_ids stay.
     """
-    from eligrid.llm import group_jaccard
-
     found = group_jaccard.jaccard_groups(docs)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def secrets(spark, docs, sf_dir):
     """Texts stay, every secret in them is replaced by a mark; n_chars follows."""
-    from eligrid.llm import secret_ledger
-
     return secret_ledger.masked(docs)
 
 

@@ -31,23 +31,21 @@ MANIFEST = "shard int, seq int, file string, n_records long, n_bytes long, sha25
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
 
 
-def record_types(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to is set on revisits, whose payload is dropped here."""
+def record_rows(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+    """(page_id, digest, mark, url, payload, size, refers_to): pages, and a mark before each page that is a revisit.
+
+    Narrow rows decide what revisits what, equal payloads combined before the shuffle. The decision is not joined to
+    the payloads: it travels as a row of its own that sorts just before its page, so payloads are shuffled once.
+    """
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
-    # Narrow rows decide; equal payloads are combined before the shuffle. Texts move by page_id, never by digest.
     large = rows.filter(F.col("size") >= least_bytes).select("page_id", "digest")
     firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
-    again = (
-        large.join(firsts, "digest")
-        .filter("page_id IS NULL OR page_id > first")
-        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
-        .distinct()
-    )
-    return rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select(
-        "page_id", "url", F.when(F.col("first").isNull(), F.col("payload")).alias("payload"), "digest", "size", F.col("first").alias("refers_to")
-    )
+    again = large.join(firsts, "digest").filter("page_id IS NULL OR page_id > first").distinct()
+    none = F.lit(None)
+    marks = again.select("page_id", "digest", F.lit(0).alias("mark"), none.cast("string").alias("url"), none.cast("binary").alias("payload"), none.cast("long").alias("size"), F.col("first").alias("refers_to"))
+    return rows.select("page_id", "digest", F.lit(1).alias("mark"), "url", "payload", "size", none.cast("long").alias("refers_to")).union(marks)
 
 
 def range_limits(df: DataFrame, key: str, parts: int, sample: int = SAMPLE_IDS) -> list:
@@ -59,7 +57,6 @@ def range_limits(df: DataFrame, key: str, parts: int, sample: int = SAMPLE_IDS)
 
 def _writer(folder, roll_bytes):
     def run(batches):
-        import base64
         import hashlib
         import uuid
         import zlib
@@ -105,9 +102,15 @@ def _writer(folder, roll_bytes):
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["shard", "seq", "file", "n_records", "n_bytes", "sha256"])
 
+        revisit = (None, None, None)
         for batch in batches:
-            for shard, page_id, url, payload, digest, size, refers in zip(*(batch.column(i) for i in range(7))):
-                shard, page_id, url, digest, size, refers = (x.as_py() for x in (shard, page_id, url, digest, size, refers))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("shard", "page_id", "digest", "mark", "url", "size", "refers_to", "payload")]
+            for *values, payload in zip(*columns):
+                shard, page_id, digest, mark, url, size, refers = (x.as_py() for x in values)
+                if not mark:
+                    revisit = (page_id, digest, refers)
+                    continue
+                refers = revisit[2] if revisit[:2] == (page_id, digest) else None
                 if state["out"] and (state["shard"] != shard or state["bytes"] >= roll_bytes):
                     yield finish()
                 if not state["out"]:
@@ -143,7 +146,8 @@ def write_archive(pages: DataFrame, shard_bytes: int = SHARD_BYTES, roll_bytes:
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).collect()[0][0]
-    limits = range_limits(pages, "page_id", max(1, -(-total // shard_bytes)))
+    shards = max(1, -(-total // shard_bytes))
+    limits = range_limits(pages, "page_id", shards) if shards > 1 else []
     parts = len(limits) + 1
 
     @F.pandas_udf("int")
@@ -156,12 +160,8 @@ def write_archive(pages: DataFrame, shard_bytes: int = SHARD_BYTES, roll_bytes:
         at[known] = np.searchsorted(np.array(limits, np.int64), ids[known].astype("int64").to_numpy(), side="right")
         return pd.Series(at)
 
-    rows = record_types(pages, least_bytes).withColumn("shard", shard_of("page_id") if limits else F.lit(0))
-    ordered = (
-        rows.select("shard", "page_id", "url", "payload", "digest", "size", "refers_to")
-        .repartitionById(parts, F.col("shard"))
-        .sortWithinPartitions("shard", "page_id", "digest", "url")
-    )
+    rows = record_rows(pages, least_bytes).withColumn("shard", shard_of("page_id") if limits else F.lit(0))
+    ordered = rows.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "mark", "url")
     files = ordered.mapInArrow(_writer(f"{folder}/files", roll_bytes), MANIFEST)
     files.write.parquet(f"{folder}/manifest")
     return folder, spark.read.schema(files.schema).parquet(f"{folder}/manifest")
