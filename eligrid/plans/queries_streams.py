@@ -81,7 +81,8 @@ def stream_alert_suppress_batch(v: Views) -> DataFrame:
 def stream_alert_suppress(v: Views) -> DataFrame:
     _stateful(v)
     alerts = streams.file_stream(v.spark, v.folder, "events")
-    return streams.run_available(streams.suppressed_alerts(alerts), "alerts").drop("batch_id")
+    # Files come in any order, so alerts are held until all are read.
+    return streams.run_available(streams.suppressed_alerts(alerts, streams.ANY_ORDER), "alerts").drop("batch_id")
 
 
 @query(

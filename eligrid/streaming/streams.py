@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -28,6 +29,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SUPPRESS_SECONDS = 10
 RATE_SECONDS, RATE_SLIDE, RATE_LIMIT = 60, 10, 30
 SESSION_TTL_MS = 72 * 3600 * 1000
+# Lateness of a table whose files come in any order: wider than the table.
+ANY_ORDER = "4000 days"
+# Time of the row that closes a held stream, later than any alert and lateness.
+CLOSING_US = 1 << 62
 
 
 def file_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
@@ -44,32 +49,57 @@ def late_rows(progress: list) -> int:
     return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", lose_late: bool = False) -> DataFrame:
+@dataclass
+class Held:
+    """A stream that holds its rows until a watermark passes them.
+
+    `step` turns a released micro-batch into output; a row at CLOSING_US in the folder
+    `closing`, a second source of the stream, releases what is still held.
+    """
+
+    rows: DataFrame
+    closing: str
+    step: Callable[[DataFrame, int], DataFrame]
+    schema: StructType
+
+
+def run_available(stream: DataFrame | Held, name: str, mode: str = "append", lose_late: bool = False) -> DataFrame:
     """Run a stream over what is there now, then read its output back.
 
-    Rows lost to a watermark stop the job unless `lose_late` says that they may go.
+    A held stream is closed at the end, so that it keeps nothing back. Rows lost to a
+    watermark stop the job unless `lose_late` says that they may go.
     """
-    spark = stream.sparkSession
+    held = stream if isinstance(stream, Held) else None
+    rows = held.rows if held else stream
+    spark = rows.sparkSession
     out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-state")
     schema = stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if held:
+            batch = held.step(batch, batch_id)
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    try:
-        query.awaitTermination()
-        lost = late_rows([json.loads(p.json) for p in query.recentProgress])
-        if lost and not lose_late:
-            raise ValueError(f"{lost} rows came later than the watermark of {name} allows")
-    finally:
-        query.stop()
+    def run() -> None:
+        query = (
+            rows.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        try:
+            query.awaitTermination()
+            lost = late_rows([json.loads(p.json) for p in query.recentProgress])
+            if lost and not lose_late:
+                raise ValueError(f"{lost} rows came later than the watermark of {name} allows")
+        finally:
+            query.stop()
+
+    run()
+    if held:
+        spark.range(1).select(F.lit(CLOSING_US).alias("us")).write.mode("append").parquet(held.closing)
+        run()
     full = StructType([*schema.fields, StructField("batch_id", IntegerType())])
     return spark.read.schema(full).option("recursiveFileLookup", "true").parquet(out)
 
@@ -125,45 +155,50 @@ def rate_exact(events: DataFrame, limit: int = RATE_LIMIT) -> DataFrame:
 # ---- alert suppression ------------------------------------------------------
 
 
-class _Suppressor(StatefulProcessor):
-    """Remembers when an alert type was last sent."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "sent long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Trigger limits bound a batch; only two integers per alert are held.
-        batch = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
-        last = self._last.get()[0] if self._last.exists() else None
-        sent = []
-        for us, event_id in zip(batch["us"].tolist(), batch["event_id"].tolist()):
-            if last is None or us - last >= SUPPRESS_SECONDS * 1_000_000:
-                last = us
-                sent.append((key[0], event_id))
-        if last is not None:
-            self._last.update((last,))
-        yield pd.DataFrame(sent, columns=["event_type", "event_id"])
-
-    def close(self) -> None:
-        pass
-
-
-def suppressed_alerts(alerts: DataFrame) -> DataFrame:
+def suppressed_alerts(alerts: DataFrame, lateness: str = ANY_ORDER) -> Held:
     """Alerts that are sent: a type stays silent for ten seconds after the last one sent.
 
-    The state of a type is one number, so a type is one key whatever its share of the
-    stream; give alerts of independent sources separate types where one is too hot. Order
-    counts within a micro-batch only: an alert that arrives in a later batch with an
-    earlier time is suppressed. The batch twin has neither limit.
+    Alerts are held in state by type and time, so a hot type is spread over its times,
+    until the watermark passes them. Each released batch is then later than all before
+    it, and the batch twin continues from the last alert sent of every type. `lateness`
+    must cover the disorder of the source: later alerts are dropped and counted by Spark
+    (`late_rows`), and stop `run_available`. An alert without type or time is never sent.
     """
-    slim = alerts.select("event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return slim.groupBy("event_type").transformWithStateInPandas(
-        _Suppressor(), "event_type string, event_id long", outputMode="Append", timeMode="None"
+    spark = alerts.sparkSession
+    closing, last = scratch(spark, "alerts-closing"), scratch(spark, "alerts-last")
+    spark.createDataFrame([], "us long").write.parquet(closing)
+    slim = alerts.where("event_type IS NOT NULL AND ts IS NOT NULL").select("event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    end = spark.readStream.schema("us long").parquet(closing).select(
+        *(F.lit(None).cast(slim.schema[c].dataType).alias(c) for c in ("event_type", "event_id")), F.timestamp_micros("us").alias("ts")
     )
+    rows = slim.unionByName(end).withWatermark("ts", lateness).groupBy("event_type", "ts").agg(F.min("event_id").alias("event_id"))
+    rows = rows.select("event_type", F.unix_micros("ts").alias("us"), "event_id")
+
+    def step(batch: DataFrame, batch_id: int) -> DataFrame:
+        # Written once, then read by the caller's session: a micro-batch plans without AQE.
+        batch.write.mode("overwrite").parquet(f"{last}/released{batch_id}")
+        table = spark.read.schema(batch.schema)
+        released = table.parquet(f"{last}/released{batch_id}")
+        before = table.parquet(f"{last}/sent{batch_id - 1}") if batch_id else released.limit(0)
+        if released.isEmpty():
+            before.write.mode("overwrite").parquet(f"{last}/sent{batch_id}")
+            return released.select("event_type", "event_id")
+        # The last alert sent is earlier than all released, so it starts its type's chain.
+        sent = checkpoint(_sent(before.union(released)))
+        sent.groupBy("event_type").agg(F.max("us").alias("us"), F.max_by("event_id", "us").alias("event_id")).write.mode("overwrite").parquet(f"{last}/sent{batch_id}")
+        return sent.join(before, ["event_type", "us"], "left_anti").select("event_type", "event_id")
+
+    return Held(rows, closing, step, slim.select("event_type", "event_id").schema)
 
 
 def suppressed_alerts_batch(alerts: DataFrame) -> DataFrame:
-    """Batch twin, over rows of any order.
+    """Batch twin, over rows of any order."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return _sent(alerts.select("event_type", us.alias("us"), "event_id")).select("event_type", "event_id")
+
+
+def _sent(alerts: DataFrame) -> DataFrame:
+    """The sent ones of alerts (event_type, us, event_id).
 
     An alert after ten silent seconds is always sent, which cuts a type into bursts.
     Inside a burst every alert points to the first one ten seconds later; the sent ones
@@ -173,8 +208,7 @@ def suppressed_alerts_batch(alerts: DataFrame) -> DataFrame:
     """
     gap = SUPPRESS_SECONDS * 1_000_000
     hour = 3_600_000_000
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = checkpoint(alerts.groupBy("event_type", us.alias("us")).agg(F.min("event_id").alias("event_id")))
+    rows = checkpoint(alerts.groupBy("event_type", "us").agg(F.min("event_id").alias("event_id")))
     marks = rows.select("event_type", "us", F.lit(1).alias("alert")).unionByName(
         rows.select("event_type", (F.col("us") + gap).alias("us"), F.lit(0).alias("alert"))
     ).withColumn("bucket", F.floor(F.col("us") / hour))
@@ -209,7 +243,7 @@ def suppressed_alerts_batch(alerts: DataFrame) -> DataFrame:
     sent = starts
     for step in reversed(rounds):
         sent = checkpoint(sent.union(sent.join(step, ["event_type", "us"]).select("event_type", "to")))
-    return rows.join(sent, ["event_type", "us"], "left_semi").select("event_type", "event_id")
+    return rows.join(sent, ["event_type", "us"], "left_semi").select("event_type", "us", "event_id")
 
 
 # ---- session fold -----------------------------------------------------------

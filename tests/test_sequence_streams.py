@@ -1,8 +1,10 @@
 """Order-dependent operators against brute force on small fixtures."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from eligrid.operators import sequence
@@ -97,6 +99,35 @@ def test_suppression_in_batch_and_stream_matches_a_loop(spark, tmp_path):
     assert {(r.event_type, r.event_id) for r in out.collect()} == want
 
 
+def test_suppression_of_files_that_come_newest_first(spark, tmp_path):
+    rows, frame = alerts(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    path = str(tmp_path / "events.parquet")
+    for part in reversed(range(6)):
+        frame.where(F.col("event_id").between(part * 50, part * 50 + 49)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    source = lambda: streams.file_stream(spark, str(tmp_path), "events", files_per_trigger=1)
+    out = streams.run_available(streams.suppressed_alerts(source()), "test-newest-first").collect()
+    assert len(out) == len(brute_sent(rows)) and {(r.event_type, r.event_id) for r in out} == brute_sent(rows)
+    with pytest.raises(ValueError, match="later than the watermark"):
+        streams.run_available(streams.suppressed_alerts(source(), "2 minutes"), "test-late-alerts")
+
+
+def test_suppression_continues_from_batch_to_batch(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=3.5 * i), 1, "error") for i in range(90)]
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    for part in range(3):
+        frame.where(F.col("event_id").between(part * 30, part * 30 + 29)).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(0.05)
+    source = streams.file_stream(spark, str(tmp_path), "events", files_per_trigger=1)
+    out = streams.run_available(streams.suppressed_alerts(source, "20 seconds"), "test-batches").collect()
+    # Several batches released alerts of one burst.
+    assert len({r.batch_id for r in out}) > 2
+    assert sorted((r.event_type, r.event_id) for r in out) == sorted(brute_sent(rows))
+
+
 def test_exact_rate_counts_the_last_minute(spark):
     rows, frame = alerts(spark)
     got = {r.event_id: r.n for r in streams.rate_exact(frame, 0).collect()}
