@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import sys
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from eligrid.operators import relationships
@@ -49,6 +50,40 @@ def late_rows(progress: list) -> int:
     return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
 
 
+class _Dropped(StreamingQueryListener):
+    """Rows that watermarks dropped in every batch; `recentProgress` keeps the last hundred batches only."""
+
+    def __init__(self) -> None:
+        self._runs: dict[str, dict[int, int]] = {}
+        self._ended: set[str] = set()
+        self._told = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self._told:
+            batches = self._runs.setdefault(str(event.progress.runId), {})
+            batches[event.progress.batchId] = late_rows([json.loads(event.progress.json)])
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self._told:
+            self._ended.add(str(event.runId))
+            self._told.notify_all()
+
+    def total(self, run_id: str, written: set[int]) -> int:
+        """Dropped rows of an ended run; the reports come on another thread and must cover all batches written."""
+        with self._told:
+            self._told.wait_for(lambda: run_id in self._ended, timeout=120)
+            batches = self._runs.get(run_id, {})
+            if missing := written - set(batches):
+                raise RuntimeError(f"no progress report of {len(missing)} batches, so their late rows are unknown")
+            return sum(batches.values())
+
+
 @dataclass
 class Held:
     """A stream that holds its rows until a watermark passes them.
@@ -74,27 +109,35 @@ def run_available(stream: DataFrame | Held, name: str, mode: str = "append", los
     spark = rows.sparkSession
     out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-state")
     schema = stream.schema
+    written: set[int] = set()
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        written.add(batch_id)
         if held:
             batch = held.step(batch, batch_id)
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b{batch_id}")
 
     def run() -> None:
-        query = (
-            rows.writeStream.outputMode(mode)
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .foreachBatch(write)
-            .start()
-        )
+        written.clear()
+        dropped = _Dropped()
+        spark.streams.addListener(dropped)
         try:
-            query.awaitTermination()
-            lost = late_rows([json.loads(p.json) for p in query.recentProgress])
-            if lost and not lose_late:
-                raise ValueError(f"{lost} rows came later than the watermark of {name} allows")
+            query = (
+                rows.writeStream.outputMode(mode)
+                .option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True)
+                .foreachBatch(write)
+                .start()
+            )
+            try:
+                query.awaitTermination()
+                lost = 0 if lose_late else dropped.total(str(query.runId), written)
+                if lost:
+                    raise ValueError(f"{lost} rows came later than the watermark of {name} allows")
+            finally:
+                query.stop()
         finally:
-            query.stop()
+            spark.streams.removeListener(dropped)
 
     run()
     if held:

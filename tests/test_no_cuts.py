@@ -95,6 +95,20 @@ def test_files_in_any_order_lose_no_rows(spark, tmp_path):
         streams.run_available(streams.rate_windows(source(), 1), "narrow", "update")
 
 
+def test_late_rows_of_batches_long_past_stop_the_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    for hour in (9, 10, 1, 11, 12, 13):
+        frame = spark.createDataFrame([(hour, datetime(2024, 1, 1, hour), 1, "view")], "event_id long, ts timestamp_ntz, user_id long, event_type string")
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    source = streams.file_stream(spark, str(tmp_path), "events", files_per_trigger=1)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        with pytest.raises(ValueError, match="later than the watermark"):
+            streams.run_available(streams.rate_windows(source, 0), "long-past", "update")
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
 def test_short_ids_that_collide_are_reported(spark):
     rows = [("Pradhan Mantri Awas Yojana Gramin East", "t"), ("Pradhan Mantri Awas Yojana Gramin West", "t"), ("Other", "t")]
     inputs = feeds.parse_inputs(spark.createDataFrame(rows, "scheme_name string, eligibility string"))
