@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eligrid.llm import golomb_dedup, group_jaccard, harmonic_pack, secret_ledger
 from eligrid.llm import toxicity as weak
-from eligrid.llm.common import load, lower_ascii
+from eligrid.llm.common import load, lower_ascii, stored
 from eligrid.llm.queries import vocabulary_file
 
 
@@ -29,13 +29,17 @@ def exact_dedup(spark, docs, sf_dir):
 
 
 def ngram_jaccard(spark, docs, sf_dir):
-    """Of documents linked by shared shingles the one with the smallest doc_id stays.
+    """Of rows linked by shared shingles one stays: the smallest doc_id, nulls last, then the smallest text digest.
 
-    Rows that share a doc_id stay together if any of them does; null doc_ids stay.
+    Every row has a key of its own, so null and repeated doc_ids are told apart. Rows without shingles stay.
     """
-    found = group_jaccard.jaccard_groups(docs)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    # Written, so that every scan sees the same keys.
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = group_jaccard.jaccard_groups(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    digest = F.sha2(F.encode(F.col("text"), "UTF-8"), 256)
+    place = rows.select("__row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", digest.alias("digest"), F.col("__row").alias("row")).alias("place"))
+    kept = found.join(place, "__row").groupBy("component_id").agg(F.min("place").alias("head")).select(F.col("head.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def secrets(spark, docs, sf_dir):

@@ -274,6 +274,20 @@ def test_turn_tables_keep_every_row(spark):
     assert read_back(formatted(from_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).collect() == []
 
 
+def test_one_row_of_each_near_group_stays(spark, folder):
+    import corpus_pipeline
+
+    copies = lambda name: [" ".join([f"{name}{i}" for i in range(100)] + [end]) for end in ("one", "two", "three")]
+    a, b, c, d, e = (copies(name) for name in "abcde")
+    rows = [(None, a[0]), (None, a[1]), (None, a[2]), (5, b[0]), (None, b[1]), (1, c[0]), (7, c[1]), (1, d[0]), (0, d[1]), (8, e[0]), (8, e[1]), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    first = lambda texts: min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, folder)
+    assert got.columns == docs.columns
+    want = [(None, first(a)), (5, b[0]), (1, c[0]), (0, d[1]), (8, first(e[:2])), (9, None), (None, "")]
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(map(str, want))
+
+
 def test_pipeline_stages(spark, folder):
     import corpus_pipeline
     from test_corpus_text import brute_jaccard
