@@ -199,6 +199,17 @@ def test_shared_prefix_pieces_equal_the_library(spark, rows):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text)
 
 
+def test_whole_long_texts_equal_the_library(spark, rows):
+    import sentencepiece
+
+    path = vocabulary_file("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    long = [(i, t) for i, t in rows if t and len(t) > 5000]
+    assert max(len(t) for _, t in long) >= 200_000
+    got = decode(encode(table(spark, long).repartition(2), path), path).collect()
+    assert sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in got) == sorted((i, library.encode(t), t) for i, t in long)
+
+
 def test_unigram_pieces_have_the_best_score():
     known = Pieces(vocabulary_file("piece_bpe_32k.model"), "unigram")
 
