@@ -10,8 +10,9 @@ is `\\l`, `#` is `\\h`, and in roles a line feed is `\\n`: no text can imitate a
 back exactly. The output is a list of segments with a loss flag; assistant texts alone carry loss.
 
 Defined results: null roles and texts count as empty. A parent that does not exist, or a message naming itself, makes
-a root. Message ids are unique and not null within a tree; null tree ids form one tree. A reply cycle raises. Empty
-tables give no rows. Other columns are ignored.
+a root; null tree ids form one tree. Every row counts: a message with a null id hangs on its parent and has no replies,
+rows that repeat an id are siblings or what their parents say, and replies to the id go to the first of them by parent,
+role, text and score. A reply cycle raises. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +37,20 @@ def from_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def keyed(messages: DataFrame) -> DataFrame:
+    """Messages as (tree, message, parent, score, role, text, id): `message` is a key of the row's own, in the order of ids."""
+    order = Window.partitionBy("tree").orderBy(F.col("message").asc_nulls_last(), "parent", "role", "text", "score")
+    rows = messages.select("tree", "message", "parent", "role", "text", "score").withColumn("key", F.row_number().over(order).cast("long"))
+    first = rows.filter("message IS NOT NULL").groupBy(F.col("tree").alias("t"), F.col("message").alias("m")).agg(F.min("key").alias("up"))
+    linked = F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("m")) & ~F.col("parent").eqNullSafe(F.col("message"))
+    return rows.join(first, linked, "left").select("tree", F.col("key").alias("message"), F.col("up").alias("parent"), "score", "role", "text", F.col("message").alias("id"))
+
+
 def paths(messages: DataFrame, top: int = 1) -> DataFrame:
-    """(tree, leaf, rank, message) of the `top` best root-to-leaf paths of every tree; ties go to the smaller leaf."""
+    """(tree, leaf, rank, message) of the `top` best root-to-leaf paths of every tree; ties go to the smaller leaf.
+
+    Message ids are unique and not null within a tree, as `keyed` makes them.
+    """
     own = messages.select("tree", "message", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     ids = own.select(F.col("tree").alias("t"), F.col("message").alias("m"))
     links = own.join(
@@ -83,11 +96,14 @@ def _plain(text):
 
 def formatted(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, leaf, rank, segments): segments are (text, loss); their texts joined are the conversation."""
-    texts = messages.select(
-        F.col("tree").alias("t"), F.col("message").alias("m"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    own = keyed(messages)
+    texts = own.select(
+        F.col("tree").alias("t"), F.col("message").alias("m"), "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    rows = paths(own, top).join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m")))
+    turns = rows.groupBy("tree", "leaf", "rank").agg(
+        F.max_by("id", "depth").alias("leaf_id"), F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns")
     )
-    rows = paths(messages, top).join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("message") == F.col("m")))
-    turns = rows.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
 
     def segments(turn):
         head = F.concat(F.lit(HEAD), F.replace(_escaped(turn["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
@@ -98,7 +114,7 @@ def formatted(messages: DataFrame, top: int = 1) -> DataFrame:
             make(F.lit(END), F.lit(False)),
         )
 
-    return turns.select("tree", "leaf", "rank", F.flatten(F.transform("turns", segments)).alias("segments"))
+    return turns.select("tree", F.col("leaf_id").alias("leaf"), "rank", F.flatten(F.transform("turns", segments)).alias("segments"))
 
 
 def read_back(out: DataFrame) -> DataFrame:

@@ -267,6 +267,17 @@ def test_reply_trees(spark):
         formatted(ring)
 
 
+def test_null_and_repeated_message_ids(spark):
+    rows = [(1, None, None, "user", "lone", 1.0), (2, 1, None, "user", "q", 1.0), (2, None, 1, "assistant", "a", 2.0)]
+    rows += [(3, 1, None, "user", "q", 1.0), (3, 2, 1, "assistant", "x", 1.0), (3, 2, 1, "assistant", "y", 3.0), (3, 3, 2, "user", "z", 1.0)]
+    rows += [(None, 4, None, "user", "same", 1.0), (None, 4, None, "user", "same", 1.0)]
+    table = spark.createDataFrame(rows, "tree long, message long, parent long, role string, text string, score double")
+    out = formatted(table, 2)
+    assert sorted((str(r["tree"]), str(r["leaf"]), r["rank"]) for r in out.collect()) == [("1", "None", 1), ("2", "None", 1), ("3", "2", 1), ("3", "3", 2), ("None", "4", 1), ("None", "4", 2)]
+    got = sorted((str(r["tree"]), [t["text"] for t in r["turns"]]) for r in read_back(out).collect())
+    assert got == [("1", ["lone"]), ("2", ["q", "a"]), ("3", ["q", "x", "z"]), ("3", ["q", "y"]), ("None", ["same"]), ("None", ["same"])]
+
+
 def test_turn_tables_keep_every_row(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, 1, "assistant", None), (2, None, None, None), (None, 0, "user", "n"), (None, 5, "user", "m")]
     back = read_back(formatted(from_turns(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, score int")))).collect()
