@@ -182,3 +182,100 @@ def op10(spark, folder):
         F.sha2(F.encode("loss_text", "UTF-8"), 256).alias("loss_sha256"),
         F.length("conversation").cast("long").alias("formatted_chars"),
     )
+
+
+_WORDS = r"regexp_extract_all({text}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+
+@query(
+    "op11_benchmark_decontamination",
+    f"""
+    WITH i AS (SELECT item_id, {_WORDS.format(text=_LOWER)} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS words
+                FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+    d AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents),
+    runs AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS words
+             FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+    hits AS (SELECT * FROM runs JOIN windows USING (k, words)),
+    n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
+)
+def op11(spark, folder):
+    from eligrid.llm.decontamination import contamination, report
+
+    return report(contamination(load(spark, folder, "documents").select("doc_id", "text"), load(spark, folder, "benchmark")))
+
+
+@query(
+    "op12_filter_interaction_audit",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+    w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY x) AS low FROM t),
+    f AS (SELECT part, doc_id, list_value(len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x), regexp_matches(x, '[#$%&*|]'), doc_id > low) AS fails FROM w),
+    c AS (SELECT part, fails, count(*) AS n, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM f LEFT JOIN labels USING (doc_id) GROUP BY ALL),
+    l AS (SELECT unnest(range(1, 6)) AS i),
+    o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e
+          WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+    r AS (SELECT part, o, step, o[step] AS own,
+                 sum(CASE WHEN NOT fails[o[step]] AND first >= step THEN n ELSE 0 END) AS kept,
+                 sum(CASE WHEN first = step THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN fails[o[step]] AND first < step THEN n ELSE 0 END) AS redundant,
+                 sum(CASE WHEN fails[o[step]] AND len(list_filter(fails, lambda y: y)) = 1 THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN first = step THEN good ELSE 0 END) AS good_lost,
+                 sum(CASE WHEN first = step THEN toxic ELSE 0 END) AS toxic_lost
+          FROM (SELECT *, coalesce(list_position(list_transform(o, lambda y: fails[y]), true), 6) AS first FROM c, s) GROUP BY part, o, step)
+    SELECT part, array_to_string(list_transform(o, lambda y: substr('ABCDE', CAST(y AS INT), 1)), '') AS filter_order, CAST(step AS INT) AS step,
+           CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM r
+    """,
+)
+def op12(spark, folder):
+    from eligrid.llm.filter_audit import audit
+
+    return audit(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+_SHARE = "1 + 1000000000 * ({n} + 1) // ({total} + terms)"
+
+
+@query(
+    "op13_source_divergence_audit",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all({_LOWER}, '[a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+    t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+    sizes AS (SELECT lang, count(*) AS terms FROM kept GROUP BY 1),
+    groups AS (SELECT DISTINCT lang, source FROM d),
+    n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+    totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN n USING (lang, source) GROUP BY ALL),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, {_SHARE.format(n='coalesce(n, 0)', total='total')} AS p
+          FROM totals g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+    q AS (SELECT lang, term, {_SHARE.format(n='sum(n)', total='total')} AS q
+          FROM n JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY 1) USING (lang) JOIN sizes USING (lang) GROUP BY lang, term, total, terms),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+              FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    best AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    mixed AS (SELECT 'pair' AS part, * FROM pairs UNION ALL SELECT 'term', * FROM best)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM mixed)
+    WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op13(spark, folder):
+    from eligrid.llm.source_audit import divergence
+
+    return divergence(load(spark, folder, "documents").select("lang", "source", "text"))
