@@ -2,8 +2,9 @@
 
 Words are lower-cased in A-Z only and are runs of digits, a-z and characters beyond ASCII. A window is `size`
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. The windows are put in a
-hash table of buckets (64-bit hash, then the words themselves for the check), which every task gets as one value. A
-document hashes each of its own windows, looks it up and compares the words, so the scan needs no shuffle and no join.
+hash table of buckets, which every task gets as one value together with a bit table of signatures, hashes of four of a
+window's words. A document tries the signature of each of its own windows; where the bit is set it hashes the whole
+window, looks it up and compares all words. The scan needs no shuffle and no join.
 
 The table is bounded: (window, item) pairs are dealt by hash to as many tables of at most TABLE_BYTES as they need, and
 the documents are scanned once per table. A window that very many items share is dealt like any other.
@@ -30,7 +31,9 @@ RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE = 10
 # Bytes of windows, ids and buckets in one table; it travels with the tasks.
 TABLE_BYTES = 16 << 20
-ENTRY_BYTES = 64
+ENTRY_BYTES = 96
+# Signature bits per window (one window in so many passes by chance), in chunks of CHUNK.
+BITS, CHUNK = 32, 1024
 
 SPAN = "array<struct<start:int,end:int>>"
 
@@ -50,59 +53,69 @@ def _starts(words: Column, size) -> Column:
     return F.when(count >= size, F.sequence(F.lit(1), count - size + 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _signature(words: Column, start: Column, size: int) -> Column:
+    """Hash of up to four words of the window of `size` words at start (from 1), spread over it."""
+    places = sorted({0, size // 3, 2 * size // 3, size - 1})
+    return F.xxhash64(*[F.element_at(words, start + F.lit(p)) for p in places])
+
+
 def windows_of(benchmark: DataFrame, size: int = SIZE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, size, words, item_id): the distinct windows of every item."""
+    """(hash, signature, size, words, item_id): the distinct windows of every item."""
     items = benchmark.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("all_words")).filter(F.size("all_words") > 0)
-    own = F.least(F.lit(size), F.size("all_words"))
-    each = items.select("item_id", own.alias("size"), F.explode(_bound(F.col("all_words"), lambda w: F.transform(_starts(w, F.least(F.lit(size), F.size(w))), lambda i: F.slice(w, i, F.least(F.lit(size), F.size(w)))))).alias("words"))
-    return each.select(F.xxhash64("words").alias("hash"), "size", "words", "item_id").distinct()
 
+    def windows(w):
+        own = F.least(F.lit(size), F.size(w))
+        return F.transform(_starts(w, own), lambda i: F.slice(w, i, own))
+
+    each = items.select("item_id", F.explode(_bound(F.col("all_words"), windows)).alias("words")).distinct()
+    signature = F.coalesce(*[F.when(F.size("words") == k, _signature(F.col("words"), F.lit(1), k)) for k in range(1, size + 1)])
+    return each.select(F.xxhash64("words").alias("hash"), signature.alias("signature"), F.size("words").alias("size"), "words", "item_id")
 
-def _tables(windows: DataFrame, table_bytes: int) -> list[tuple[DataFrame, int, list[int]]]:
-    """(one-row table, number of buckets, window sizes) for each part of the windows."""
+
+def _tables(windows: DataFrame, table_bytes: int) -> list[tuple[DataFrame, int, int, list[int]]]:
+    """(one-row table, number of buckets, number of bits, window sizes) for each part of the windows."""
     width = F.lit(ENTRY_BYTES) + F.octet_length(F.array_join("words", " ")) + F.octet_length(F.coalesce(F.col("item_id").cast("string"), F.lit("")))
     total = windows.agg(F.sum(width)).collect()[0][0] or 0
     parts = max(1, -(-int(total) // table_bytes))
     dealt = windows.withColumn("part", F.pmod(F.xxhash64("words", "item_id", F.lit(7)), F.lit(parts)))
     facts = {r["part"]: r for r in dealt.groupBy("part").agg(F.count_distinct("words").alias("n"), F.collect_set("size").alias("sizes")).collect()}
+    spark = windows.sparkSession
     tables = []
     for part in sorted(facts):
+        own = dealt.filter(F.col("part") == part)
         buckets = 1 << max(4, int(facts[part]["n"]).bit_length())
-        entries = dealt.filter(F.col("part") == part).groupBy("hash", "words").agg(F.collect_set("item_id").alias("items"))
-        filled = entries.groupBy(F.pmod("hash", F.lit(buckets)).alias("b")).agg(
-            F.collect_list("hash").alias("hashes"), F.collect_list(F.struct("words", "items")).alias("entries")
-        )
-        every = entries.sparkSession.range(buckets).select(F.col("id").alias("b")).join(filled, "b", "left")
-        lists = every.agg(F.array_sort(F.collect_list(F.struct("b", "hashes", "entries"))).alias("all"))
-        none = F.array().cast("array<bigint>")
-        table = lists.select(
-            F.struct(
-                F.transform("all", lambda x: F.coalesce(x["hashes"], none)).alias("hashes"),
-                F.transform("all", lambda x: x["entries"]).alias("entries"),
-            ).alias("table")
-        )
-        tables.append((table, buckets, sorted(facts[part]["sizes"])))
+        bits = max(CHUNK, buckets * BITS)
+        entries = own.groupBy("hash", "words").agg(F.collect_set("item_id").alias("items"))
+        filled = entries.groupBy(F.pmod("hash", F.lit(buckets)).alias("b")).agg(F.collect_list(F.struct("words", "items")).alias("entries"))
+        every = spark.range(buckets).select(F.col("id").alias("b")).join(filled, "b", "left")
+        lists = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "entries"))), lambda x: x["entries"]).alias("entries"))
+        bit = F.pmod("signature", F.lit(bits))
+        set_bits = own.groupBy((bit / CHUNK).cast("long").alias("c")).agg(F.collect_set((bit % CHUNK).cast("int")).alias("on"))
+        chunks = spark.range(bits // CHUNK).select(F.col("id").alias("c")).join(set_bits, "c", "left")
+        on = F.coalesce("on", F.array().cast("array<int>"))
+        flags = chunks.select("c", F.transform(F.sequence(F.lit(0), F.lit(CHUNK - 1)), lambda i: F.array_contains(on, i)).alias("flags"))
+        flat = flags.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "flags"))), lambda x: x["flags"])).alias("flags"))
+        tables.append((lists.select(F.struct("entries", flat.scalar().alias("flags")).alias("table")), buckets, bits, sorted(facts[part]["sizes"])))
     return tables
 
 
-def _scanned(words: Column, table: Column, buckets: int, sizes: list[int]) -> Column:
+def _scanned(words: Column, table: Column, buckets: int, bits: int, sizes: list[int]) -> Column:
     """(n_words, spans, items) of one document: word ranges of its verified windows, and the items that have them."""
-    slot = lambda h: (F.pmod(h, F.lit(buckets)) + 1).cast("int")
+    slot = lambda h, n: (F.pmod(h, F.lit(n)) + 1).cast("int")
 
     def of_size(x, size):
         w, t = x["words"], x["table"]
-        hashes = F.transform(_starts(w, F.lit(size)), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
-        # A hash in its bucket makes a candidate; all other positions end here.
-        held = F.transform(hashes, lambda h, i: F.when(F.array_contains(F.element_at(t["hashes"], slot(h)), h), F.struct(i.alias("at"), h.alias("h"))))
+        likely = F.filter(_starts(w, F.lit(size)), lambda i: F.element_at(t["flags"], slot(_signature(w, i, size), bits)))
 
-        def verified(c):
-            own = F.slice(w, c["at"] + 1, F.lit(size))
+        def verified(i):
+            own = F.slice(w, i, F.lit(size))
             return F.transform(
-                F.filter(F.element_at(t["entries"], slot(c["h"])), lambda e: e["words"] == own),
-                lambda e: F.struct(c["at"].alias("start"), (c["at"] + F.lit(size)).alias("end"), e.alias("entry")),
+                F.filter(F.element_at(t["entries"], slot(F.xxhash64(own), buckets)), lambda e: e["words"] == own),
+                lambda e: F.struct((i - 1).alias("start"), (i + F.lit(size - 1)).alias("end"), e.alias("entry")),
             )
 
-        return F.flatten(F.transform(F.filter(held, lambda c: c.isNotNull()), verified))
+        # An empty bucket is null.
+        return F.flatten(F.filter(F.transform(likely, verified), lambda v: F.size(v) > 0))
 
     def digest(found, count):
         # A window that occurs again adds its items once.
@@ -170,11 +183,11 @@ def contamination(
 
 
 def _scan(rows: DataFrame, words: Column, table) -> DataFrame:
-    one, buckets, sizes = table
+    one, buckets, bits, sizes = table
     # Spark allows no subquery inside a lambda function's expression; as a column of its own, used once, it is merged
     # into the scan's expression and reaches it by reference.
     ready = rows.withColumn("table", one.scalar())
-    hit = ready.select(*rows.columns, _scanned(words, F.col("table"), buckets, sizes).alias("hit"))
+    hit = ready.select(*rows.columns, _scanned(words, F.col("table"), buckets, bits, sizes).alias("hit"))
     # A generator over one struct: filters above it do not compute the scan again.
     return hit.select(*rows.columns, F.inline(F.array("hit")))
 
