@@ -22,6 +22,8 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligrid.llm.common import stored
+
 FILTERS = "ABCDE"
 SUBSETS = 1 << len(FILTERS)
 SPACES = r"[\x20\x09-\x0D]+"
@@ -74,6 +76,8 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
             F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", -F.col("n")))).alias("first"),
         )
     )
+    # Written, so that the texts are read once for both uses.
+    groups = stored(groups, "audit-groups")
     lowest = groups.groupBy("digest").agg(F.min("low").alias("lowest"))
     passing = F.col("n_null") + F.when(F.col("low") == F.col("lowest"), -F.col("first.col2")).otherwise(0)
     split = groups.join(lowest, "digest").select("part", "mask", "good", "toxic", "n", F.coalesce(passing, F.col("n_null")).alias("passing"))
