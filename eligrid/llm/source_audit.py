@@ -33,10 +33,11 @@ SCALE = 1_000_000_000
 TOP = 200
 # Entries of a task's own counts before they leave; terms of one transducer; bytes of transducers in a task.
 FLUSH = 200_000
+PENDING = 1_000_000
 SHARD_TERMS = 500_000
 ROUND_BYTES = 64 << 20
 # Cells of one (source x ordinal) matrix.
-CELLS = 1 << 20
+CELLS = 1 << 17
 
 RESULT_ORDER = ("lang", "source", "part", "item", "value", "rank")
 # Bytes of a text: capitals to small letters; all ASCII that is no letter separates.
@@ -266,60 +267,133 @@ def _machines(folder: str, number: int):
     return worker_cache(("transducers", folder, number), read)
 
 
-def recount(docs: DataFrame, folder: str, number: int, flush: int = FLUSH) -> DataFrame:
-    """(lang, source, ordinal, n): kept terms of one round; rows with ordinal -1 name every group."""
+def _summed(keys, counts):
+    """Distinct keys in order with the sums of their counts."""
+    import numpy as np
 
-    def stream(batches):
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+class _Recount:
+    """Counts of one task: tokens by number, numbers to ordinals through the transducers, sums per (group, ordinal).
+
+    A distinct term gets a number when it is first met and is walked once; the numbers start anew when `flush` terms
+    are held, and sums leave when `pending` of them are held, so memory does not grow with the input.
+    """
+
+    def __init__(self, machines, flush, pending):
+        self.machines, self.flush, self.pending = machines, flush, pending
+        self.groups, self.tokens, self.waiting, self.sums, self.held = {}, [], 0, [], 0
+        self.reset()
+
+    def reset(self):
+        from collections import defaultdict
+        from itertools import count
+
+        self.numbers = {}
+        self.fresh = lambda: defaultdict(count().__next__)
+
+    def add(self, lang, source, terms):
+        import numpy as np
+
+        group = self.groups.setdefault((lang, source), len(self.groups))
+        if lang not in self.machines or not terms:
+            return
+        numbers = self.numbers.get(lang)
+        if numbers is None:
+            numbers = self.numbers[lang] = self.fresh()
+        self.tokens.append((lang, group, np.array(list(map(numbers.__getitem__, terms)), np.int64)))
+        self.waiting += len(terms)
+        if self.waiting >= self.pending or sum(map(len, self.numbers.values())) >= self.flush:
+            self.settle()
+
+    def settle(self):
+        """Numbers of the waiting tokens become sums per (group, ordinal)."""
+        import numpy as np
+
+        for lang, numbers in self.numbers.items():
+            own = [(group, ids) for other, group, ids in self.tokens if other == lang]
+            ordinal = self.ordinals(lang, list(numbers))
+            keys = np.concatenate([np.zeros(0, np.int64)] + [np.where(ordinal[ids] >= 0, group << 40 | ordinal[ids], -1) for group, ids in own])
+            keys = keys[keys >= 0]
+            self.sums.append(_summed(keys, np.ones(len(keys), np.int64)))
+            self.held += len(self.sums[-1][0])
+        self.tokens, self.waiting = [], 0
+        self.reset()
+        if self.held >= self.pending:
+            self.merge()
+
+    def ordinals(self, lang, terms):
         from bisect import bisect_left
-        from collections import Counter
 
         import numpy as np
-        import pyarrow as pa
 
-        machines = _machines(folder, number)
-        held, size = {}, 0
+        order = sorted(range(len(terms)), key=terms.__getitem__)
+        words = [terms[i] for i in order]
+        out = np.full(len(terms), -1, np.int64)
+        shards = self.machines[lang]
+        cuts = [bisect_left(words, first) for first, _, _ in shards] + [len(words)]
+        for (_, base, machine), low, high in zip(shards, cuts, cuts[1:]):
+            if low < high:
+                own = machine.ordinals(words[low:high])
+                out[np.array(order[low:high])] = np.where(own >= 0, own + base, -1)
+        return out
+
+    def merge(self):
+        import numpy as np
+
+        if self.sums:
+            self.sums = [_summed(np.concatenate([k for k, _ in self.sums]), np.concatenate([n for _, n in self.sums]))]
+            self.held = len(self.sums[0][0])
 
-        def out(lang, source, ordinals, counts):
-            return pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array([lang] * len(ordinals), pa.string()),
-                    "source": pa.array([source] * len(ordinals), pa.string()),
-                    "ordinal": pa.array(ordinals, pa.int64()),
-                    "n": pa.array(counts, pa.int64()),
-                }
+    def leave(self):
+        """Record batches of all sums; every group met so far comes once with no ordinals."""
+        import numpy as np
+        import pyarrow as pa
+
+        self.merge()
+        keys, counts = self.sums[0] if self.sums else (np.zeros(0, np.int64),) * 2
+        names = list(self.groups)
+        rows = [(*name, [], []) for name in names]
+        bounds = np.searchsorted(keys, np.arange(len(names) + 1) << 40)
+        for (lang, source), low, high in zip(names, bounds, bounds[1:]):
+            for at in range(low, high, 50_000):
+                part = slice(at, min(at + 50_000, high))
+                rows.append((lang, source, keys[part] & ((1 << 40) - 1), counts[part]))
+        for lang, source, ordinals, n in rows:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang], pa.string()),
+                    pa.array([source], pa.string()),
+                    pa.ListArray.from_arrays([0, len(ordinals)], pa.array(ordinals, pa.int64())),
+                    pa.ListArray.from_arrays([0, len(n)], pa.array(n, pa.int64())),
+                ],
+                ["lang", "source", "ordinals", "counts"],
             )
+        self.groups, self.sums, self.held = {}, [], 0
 
-        def rows():
-            for lang in {lang for lang, _ in held}:
-                groups = [(source, found) for (own, source), found in held.items() if own == lang]
-                words = sorted(set().union(*[found for _, found in groups]))
-                spelled = {}
-                shards = machines.get(lang, [])
-                cuts = [bisect_left(words, first) for first, _, _ in shards] + [len(words)]
-                for (_, base, machine), low, high in zip(shards, cuts, cuts[1:]):
-                    part = words[low:high]
-                    own = machine.ordinals(part) if part else np.zeros(0, np.int64)
-                    spelled.update((part[i], base + int(own[i])) for i in np.flatnonzero(own >= 0).tolist())
-                for source, found in groups:
-                    pairs = [(spelled[t], n) for t, n in found.items() if t in spelled]
-                    pairs.append((-1, 0))
-                    for low in range(0, len(pairs), 100_000):
-                        piece = pairs[low : low + 100_000]
-                        yield out(lang, source, [o for o, _ in piece], [n for _, n in piece])
-            held.clear()
 
+def recount(docs: DataFrame, folder: str, number: int, flush: int = FLUSH, pending: int = PENDING) -> DataFrame:
+    """(lang, source, ordinal, n): kept terms of one round; rows with ordinal -1 name every group."""
+
+    def stream(batches):
+        state = _Recount(_machines(folder, number), flush, pending)
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
-                found = held.setdefault((lang, source), Counter())
-                size -= len(found)
-                found.update(terms_of(text.as_py()))
-                size += len(found) + 1
-                if size >= flush:
-                    yield from rows()
-                    size = 0
-        yield from rows()
+                state.add(lang, source, terms_of(text.as_py()))
+                if state.held >= pending or len(state.groups) >= flush:
+                    state.settle()
+                    yield from state.leave()
+        state.settle()
+        yield from state.leave()
 
-    return _texts(docs).mapInArrow(stream, "lang string, source string, ordinal long, n long")
+    packed = _texts(docs).mapInArrow(stream, "lang string, source string, ordinals array<long>, counts array<long>")
+    group = F.array(F.struct(F.lit(-1).cast("long").alias("ordinals"), F.lit(0).cast("long").alias("counts")))
+    pairs = F.when(F.size("ordinals") > 0, F.arrays_zip("ordinals", "counts")).otherwise(group)
+    return packed.select("lang", "source", F.explode(pairs).alias("x")).select("lang", "source", F.col("x.ordinals").alias("ordinal"), F.col("x.counts").alias("n"))
 
 
 def shares(counts, total, terms, scale: int = SCALE):
@@ -345,27 +419,28 @@ def compare_blocks(counts: DataFrame, facts: DataFrame, cells: int = CELLS, top:
 
     counts: lang, source, ordinal, n (n > 0); facts: lang, terms, sources (sorted array of source, total).
     """
-    width = F.greatest(F.lit(1), F.lit(cells).cast("long") / F.size("sources")).cast("long")
-    placed = (
-        counts.join(broadcast_if_small(facts), "lang")
-        .withColumn("width", width)
-        .withColumn("block", F.floor(F.col("ordinal") / F.col("width")))
-    )
-    place = F.array_position(F.transform("sources", lambda s: s["source"]), F.col("source")) - 1
-    # The list of totals goes with one row of a block; the others carry a place in it.
-    first = F.row_number().over(Window.partitionBy("lang", "block").orderBy("ordinal", "source")) == 1
-    rows = placed.withColumn("first", first).select(
-        "lang", "block", (F.col("ordinal") - F.col("block") * F.col("width")).cast("int").alias("column"),
-        place.cast("int").alias("row"), "n",
-        F.when(F.col("first"), F.struct("width", "terms", F.transform("sources", lambda s: s["total"]).alias("totals"))).alias("facts"),
+    width = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.size("sources")))
+    known = facts.select("lang", "terms", width.alias("width"), F.transform("sources", lambda s: s["total"]).alias("totals"), "sources")
+    places = known.select("lang", "width", F.posexplode("sources").alias("row", "s")).select("lang", "width", "row", F.col("s.source").alias("source"))
+    block = F.floor(F.col("ordinal") / F.col("width"))
+    placed = counts.join(broadcast_if_small(places), ["lang", "source"]).select(
+        "lang", block.alias("block"), (F.col("ordinal") - block * F.col("width")).cast("int").alias("column"), "row", "n"
     )
+    # Each block gets the totals of all sources in a row of its own, without a column.
+    kind = "struct<width:long,terms:long,totals:array<long>>"
+    last = F.floor((F.col("terms") - 1) / F.col("width"))
+    heads = known.filter("terms > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), F.struct("width", "terms", "totals").cast(kind).alias("facts"))
+    rows = placed.withColumn("facts", F.lit(None).cast(kind)).unionByName(heads, allowMissingColumns=True)
 
     def compare(key, table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         lang, block = (k.as_py() for k in key)
-        facts = next(f for f in table.column("facts").to_pylist() if f)
+        held = table.column("column").is_valid()
+        facts = table.filter(pc.invert(held)).column("facts").to_pylist()[0]
+        table = table.filter(held)
         totals = np.array(facts["totals"], np.int64)
         start = block * facts["width"]
         columns = min(facts["width"], facts["terms"] - start)

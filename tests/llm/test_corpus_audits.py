@@ -233,7 +233,7 @@ def test_divergence_equals_brute_force(spark, monkeypatch, shard_terms, round_by
     monkeypatch.setattr(source_audit.build_shards, "__defaults__", (shard_terms,))
     monkeypatch.setattr(source_audit.compare_blocks, "__defaults__", (cells, source_audit.TOP))
     monkeypatch.setattr(source_audit.document_counts, "__defaults__", (flush,))
-    monkeypatch.setattr(source_audit.recount, "__defaults__", (flush,))
+    monkeypatch.setattr(source_audit.recount, "__defaults__", (flush, flush))
     rng = random.Random(3)
     vocabulary = ["The", "été", "ÉTÉ", "naïve", "x", "end.", "a1b", "日本", "under_score", "Same", "sAME"] + [f"{a}{b}" for a in "pqrs" for b in "uvwxyz"]
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 40))), rng.choice(["en", "fr", None]), rng.choice(["hot", "hot", "s1", "s2", None])) for i in range(60)]
