@@ -10,35 +10,86 @@ from eligrid.session import broadcast_if_small, checkpoint
 EXCLUDED = ("INELIGIBLE", "DISQUALIFIED")
 
 
+def numbered(df: DataFrame, column: str, *order: str) -> DataFrame:
+    """Rows numbered from one in the given order, without moving them into one task.
+
+    Ranges are sorted side by side and each starts after the rows of the ranges before it; only their sizes meet.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Written, because rows must not change their range between the two uses.
+    ranged = checkpoint(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    # One row per range.
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
+    )
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__inside", inside).join(F.broadcast(sizes), "__range").withColumn(
+        column, (F.col("__before") + F.col("__inside")).cast("int")
+    ).drop("__range", "__inside", "__before")
+
+
 def rank_edges(edges: DataFrame) -> DataFrame:
     """Prerequisite edges ranked by confidence, then file position, from one."""
-    # The edge list is the catalogue's own, a bounded dimension.
-    w = Window.orderBy("confidence", "position")
-    return edges.withColumn("rank", F.row_number().over(w))
+    return numbered(edges, "rank", "confidence", "position")
 
 
-def cycle_cut(ranked: DataFrame) -> int:
-    """How many of the lowest edges must go until no cycle is left.
+def _heads(node: str, seed: int):
+    return F.pmod(F.xxhash64(F.col(node), F.lit(seed)), F.lit(2)) == 1
+
 
-    Dropping edges from the lowest rank upwards, the last one to go is the weakest
-    edge of the strongest cycle: the widest path from a node back to itself, found
-    by squaring the widest-path relation until it stops improving.
+def cycle_cut(ranked: DataFrame) -> int:
+    """How many of the lowest edges must go until no cycle is left: the rank of the weakest edge of the strongest cycle.
+
+    The graph is peeled from both ends for all ranks at once. An edge can lie on a cycle of edges of rank r or more
+    only if an edge that enters its source and one that leaves its target are of rank r or more; so each round lowers
+    every edge to the best rank of its neighbours on either side, and an edge without one goes. Edges of the strongest
+    cycle are never lowered below its weakest rank, and where a round lowers nothing the best rank left is that of a
+    cycle. Chains are shortened meanwhile: a node with one edge in and one out is replaced by an edge of the lower rank
+    (a coin per node and round picks nodes that are not neighbours), which turns a ring into a loop in a logarithmic
+    number of rounds. A loop proves a cycle, and edges of no better rank go as well. No table has more rows than twice the
+    edges; rounds follow the depth that is left once chains are shortened.
     """
-    widest = checkpoint(ranked.groupBy("src", "dst").agg(F.max("rank").alias("w")))
+    best = lambda df: df.groupBy("src", "dst").agg(F.max("r").alias("r"))
+    edges = checkpoint(best(ranked.select("src", "dst", F.col("rank").alias("r"))))
+    proven, before, turn = 0, None, 0
     while True:
-        step = (
-            widest.alias("a").join(widest.alias("b"), F.col("a.dst") == F.col("b.src"))
-            .groupBy(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-            .agg(F.max(F.least("a.w", "b.w")).alias("w"))
+        loop = F.col("src") == F.col("dst")
+        facts = edges.agg(
+            F.count("*").alias("n"), F.sum("r").alias("total"), F.max("r").alias("top"), F.max(F.when(loop, F.col("r"))).alias("loop")
+        ).first()
+        proven = max(proven, facts["loop"] or 0)
+        if (facts["top"] or 0) <= proven:
+            return proven
+        if (facts["n"], facts["total"]) == before:
+            return facts["top"]
+        before = facts["n"], facts["total"]
+        turn += 1
+        live = edges.where(F.col("r") > proven)
+        ends = live.select(
+            F.explode(
+                F.array(
+                    F.struct(F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(None).cast("string").alias("prev"), F.col("r").alias("out"), F.lit(None).cast("int").alias("in")),
+                    F.struct(F.col("dst").alias("node"), F.lit(None).cast("string").alias("next"), F.col("src").alias("prev"), F.lit(None).cast("int").alias("out"), F.col("r").alias("in")),
+                )
+            ).alias("e")
+        ).select("e.*")
+        nodes = ends.groupBy("node").agg(
+            F.max("in").alias("in"), F.max("out").alias("out"), F.count("in").alias("n_in"), F.count("out").alias("n_out"),
+            F.max("prev").alias("prev"), F.max("next").alias("next"),
+        )
+        skipped = (F.col("n_in") == 1) & (F.col("n_out") == 1) & (F.col("prev") != F.col("node")) & _heads("node", turn) & ~_heads("prev", turn)
+        nodes = nodes.withColumn("skipped", skipped)
+        source = nodes.select(F.col("node").alias("src"), F.col("in").alias("above"), F.col("skipped").alias("src_skipped"))
+        target = nodes.select(F.col("node").alias("dst"), F.col("out").alias("below"), F.col("skipped").alias("dst_skipped"), F.col("next").alias("beyond"))
+        # A missing neighbour is a null rank: that edge is peeled.
+        lowered = (
+            live.join(source, "src").join(target, "dst")
+            .where("above IS NOT NULL AND below IS NOT NULL AND NOT src_skipped")
+            .select("src", F.when(F.col("dst_skipped"), F.col("beyond")).otherwise(F.col("dst")).alias("dst"), F.least("r", "above", "below").alias("r"))
         )
-        grown = checkpoint(widest.unionByName(step).groupBy("src", "dst").agg(F.max("w").alias("w")))
-        before = widest.agg(F.count("*"), F.sum("w")).first()
-        after = grown.agg(F.count("*"), F.sum("w")).first()
-        widest = grown
-        if before == after:
-            break
-    worst = widest.where("src = dst").agg(F.max("w")).first()[0]
-    return int(worst or 0)
+        edges = checkpoint(best(lowered))
 
 
 def break_cycles(edges: DataFrame) -> DataFrame:
@@ -48,24 +99,24 @@ def break_cycles(edges: DataFrame) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Longest-path level per node of an acyclic edge set, by repeated relaxation."""
-    current = checkpoint(nodes.select("scheme_id").distinct().withColumn("level", F.lit(0)))
-    arcs = edges.select("src", "dst").distinct()
+    """Longest-path level per node of an acyclic edge set; each round follows only the edges of nodes just raised."""
+    current = checkpoint(nodes.select("scheme_id").distinct().withColumn("level", F.lit(0)).withColumn("raised", F.lit(True)))
+    arcs = checkpoint(edges.select("src", "dst").distinct())
     while True:
         pushed = (
-            current.join(arcs, current.scheme_id == arcs.src)
+            current.where("raised").join(arcs, F.col("scheme_id") == F.col("src"))
             .groupBy(F.col("dst").alias("scheme_id"))
             .agg((F.max("level") + 1).alias("from_src"))
         )
-        raised = checkpoint(
+        better = F.coalesce(F.col("from_src") > F.col("level"), F.lit(False))
+        now = checkpoint(
             current.join(pushed, "scheme_id", "left").select(
-                "scheme_id", F.greatest("level", F.coalesce("from_src", F.lit(0))).alias("level")
+                "scheme_id", F.when(better, F.col("from_src")).otherwise(F.col("level")).alias("level"), better.alias("raised")
             )
         )
-        moved = raised.agg(F.sum("level")).first()[0] != current.agg(F.sum("level")).first()[0]
-        current = raised
-        if not moved:
-            return current
+        if not now.where("raised").head(1):
+            return now.select("scheme_id", "level")
+        current = now
 
 
 def steps(dets: DataFrame, ordered: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,9 +223,9 @@ def choice_sets(edges: DataFrame, known: DataFrame) -> DataFrame:
         .join(ids.withColumnRenamed("scheme_id", "scheme_a"), "scheme_a", "left_semi")
         .join(ids.withColumnRenamed("scheme_id", "scheme_b"), "scheme_b", "left_semi")
     )
-    numbered = exclusive.withColumn("n", F.row_number().over(Window.orderBy("position")))
+    counted = numbered(exclusive, "n", "position")
     lo, hi = F.least("scheme_a", "scheme_b"), F.greatest("scheme_a", "scheme_b")
-    return numbered.groupBy(lo.alias("lo"), hi.alias("hi")).agg(
+    return counted.groupBy(lo.alias("lo"), hi.alias("hi")).agg(
         F.min_by(F.struct("scheme_a", "scheme_b"), "n").alias("pair"), F.min("n").alias("n")
     ).select(
         F.concat(F.lit("CS-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("choice_set_id"),

@@ -653,7 +653,32 @@ def seq_steps(v: Views) -> DataFrame:
     )
 
 
-@query("seq_parallel")
+# The pairwise merge, step by step: a step joins all later steps that it has no arc with to its first group.
+_PARALLEL = {
+    "pairs": """SELECT a.profile_id, a.step AS i, list(b.step ORDER BY b.step) AS later FROM steps a
+      JOIN steps b ON b.profile_id = a.profile_id AND b.step > a.step
+      LEFT JOIN arcs f ON f.src = a.scheme_id AND f.dst = b.scheme_id LEFT JOIN arcs t ON t.src = b.scheme_id AND t.dst = a.scheme_id
+      WHERE f.src IS NULL AND t.src IS NULL GROUP BY 1, 2""",
+    "ends": "SELECT profile_id, max(step) AS n FROM steps GROUP BY 1",
+    "walk": """SELECT profile_id, CAST(0 AS BIGINT) AS i, n, CAST([] AS BIGINT[][]) AS groups FROM ends
+      UNION ALL
+      SELECT w.profile_id, w.i + 1, n, CASE WHEN later IS NULL THEN groups
+        WHEN list_position(list_transform(groups, lambda g: list_contains(g, w.i + 1)), true) IS NULL THEN list_append(groups, list_concat([w.i + 1], later))
+        ELSE list_transform(groups, lambda g, k: CASE WHEN k = list_position(list_transform(groups, lambda h: list_contains(h, w.i + 1)), true)
+          THEN list_distinct(list_concat(g, later)) ELSE g END) END
+      FROM walk w LEFT JOIN pairs p ON p.profile_id = w.profile_id AND p.i = w.i + 1 WHERE w.i < n""",
+    "members": """SELECT profile_id, CAST(group_no - 1 AS INT) AS group_no, unnest(g) AS step FROM (
+      SELECT profile_id, unnest(groups) AS g, unnest(range(1, len(groups) + 1)) AS group_no FROM walk WHERE i = n)""",
+}
+
+
+@query(
+    "seq_parallel",
+    oc.sql(
+        "SELECT profile_id, CAST(step - 1 AS INT) AS pos, scheme_id, group_no FROM members JOIN steps USING (profile_id, step)",
+        **SEQ_CTES, steps=_STEPS, **_PARALLEL,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
 def seq_parallel(v: Views) -> DataFrame:
     _, arcs, level = _Graph.of(v)
     return sequence.parallel_groups(sequence.steps(v.determinations(), level, arcs), arcs)
