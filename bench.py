@@ -15,6 +15,7 @@ from eligrid.session import build_session  # noqa: E402
 
 HEADLINE = (
     "evaluate_all",
+    "evaluate_all_grown",
     "bucket_results",
     "result_summary",
     "gap_report",

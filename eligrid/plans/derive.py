@@ -183,6 +183,11 @@ SELECT p_brand AS scheme_id,
 FROM shaped
 """
 
+# The part table with a brand for every six parts, so that schemes and rules grow with it.
+GROWN_PART = (
+    "p_partkey", "concat('Brand#', CAST(CAST(floor(p_partkey / 6.0E0) AS BIGINT) AS STRING)) AS p_brand", "p_type", "p_size",
+)
+
 # One scheme per brand.
 SCHEMES_SQL = """
 SELECT p_brand AS scheme_id, concat('Scheme ', p_brand) AS scheme_name,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eligrid import model
 from eligrid.functions import predicates
 from eligrid.operators import decision, profiles
+from eligrid.plans import derive
 from eligrid.plans import oracle_core as oc
 from eligrid.plans.registry import query
 from eligrid.plans.views import Views
@@ -81,7 +82,29 @@ EVALUATED = oc.sql(
 
 @query("evaluate_all", EVALUATED)
 def evaluate_all(v: Views) -> DataFrame:
-    return evaluated(v.determinations())
+    return evaluated(v.decided())
+
+
+_GROWN = f"(SELECT {', '.join(derive.GROWN_PART)} FROM part)"
+
+
+@query(
+    "evaluate_all_grown",
+    oc.sql(
+        """SELECT scheme_id, status, count(*) AS n, CAST(sum(c_pass) AS BIGINT) AS c_pass, CAST(sum(c_fail) AS BIGINT) AS c_fail,
+           CAST(sum(rules_passed) AS BIGINT) AS rules_passed, CAST(sum(rules_failed) AS BIGINT) AS rules_failed,
+           CAST(sum(rules_undetermined) AS BIGINT) AS rules_undetermined, round(min(composite), 6) AS low, round(max(composite), 6) AS high
+        FROM dets GROUP BY 1, 2""",
+        schemes=derive.SCHEMES_SQL.format(part=_GROWN), rules_raw=derive.RULES_RAW_SQL.format(part=_GROWN),
+    ),
+)
+def evaluate_all_grown(v: Views) -> DataFrame:
+    """Every profile against a rule base that grows with the part table, summed per scheme and status."""
+    counters = ("c_pass", "c_fail", "rules_passed", "rules_failed", "rules_undetermined")
+    return v.grown().decided().groupBy("scheme_id", "status").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(c) for c in counters],
+        F.round(F.min("composite"), 6).alias("low"), F.round(F.max("composite"), 6).alias("high"),
+    )
 
 
 def evaluated(determinations: DataFrame) -> DataFrame:

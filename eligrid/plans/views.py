@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligrid.operators import decision, mining, profiles, rulebase
+from eligrid.operators import decision, mining, predicate_index, profiles, rulebase
 from eligrid.plans import derive
 from eligrid.session import checkpoint
 
@@ -20,6 +20,7 @@ class Views:
         self.folder = folder.rstrip("/")
         self._kept: dict[str, DataFrame] = {}
         self._plans: dict[str, DataFrame] = {}
+        self._grown: Views | None = None
 
     def _keep(self, name: str, build) -> DataFrame:
         """Rule-base tables are small and read by every query: written out once."""
@@ -30,6 +31,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def parts(self) -> DataFrame:
+        """The table that the rule base derives from."""
+        return self.table("part")
+
     def profiles_raw(self) -> DataFrame:
         exprs = [f"{e} AS {c}" for c, e in derive.PROFILE_EXPRESSIONS.items()]
         extra = [f"{e} AS `{c}`" for c, e in derive.EXTRA_EXPRESSIONS.items()]
@@ -64,12 +69,12 @@ class Views:
 
     def schemes(self) -> DataFrame:
         return self._keep(
-            "schemes", lambda: self.spark.sql(derive.SCHEMES_SQL, part=self.table("part")).coalesce(1)
+            "schemes", lambda: self.spark.sql(derive.SCHEMES_SQL, part=self.parts())
         )
 
     def rules_raw(self) -> DataFrame:
         return self._keep(
-            "rules", lambda: self.spark.sql(derive.RULES_RAW_SQL, part=self.table("part")).coalesce(1)
+            "rules", lambda: self.spark.sql(derive.RULES_RAW_SQL, part=self.parts())
         )
 
     def rules(self) -> DataFrame:
@@ -94,21 +99,21 @@ class Views:
     def bound_rules(self) -> DataFrame:
         def build() -> DataFrame:
             active = rulebase.active_rules(self.rules(), self.schemes(), self.queue())
-            return rulebase.bind(active, self.flags()).coalesce(1)
+            return rulebase.bind(active, self.flags())
 
         return self._keep("bound", build)
 
     def nested_rules(self) -> DataFrame:
         def build() -> DataFrame:
             excluded = rulebase.exclusions(self.rules(), self.queue())
-            return rulebase.nest(self.schemes(), self.bound_rules(), excluded).coalesce(1)
+            return rulebase.nest(self.schemes(), self.bound_rules(), excluded)
 
         return self._keep("nested", build)
 
     def relationships(self) -> DataFrame:
         return self._keep(
             "relationships",
-            lambda: self.spark.sql(derive.RELATIONSHIPS_SQL, part=self.table("part")).coalesce(1),
+            lambda: self.spark.sql(derive.RELATIONSHIPS_SQL, part=self.parts()),
         )
 
     def feed(self) -> DataFrame:
@@ -121,7 +126,7 @@ class Views:
         return rulebase.with_condition_type(self.rules())
 
     def clauses(self) -> DataFrame:
-        return self.spark.sql(derive.CLAUSES_SQL, part=self.table("part"))
+        return self.spark.sql(derive.CLAUSES_SQL, part=self.parts())
 
     def mined(self) -> DataFrame:
         if "mined" not in self._plans:
@@ -137,6 +142,24 @@ class Views:
         return self._plans["determinations"]
 
 
+    def decided(self) -> DataFrame:
+        """Statuses, counters and scores of all pairs, over the predicate index; lazy, like `determinations`."""
+        if "decided" not in self._plans:
+            self._plans["decided"] = predicate_index.determinations(self.profile_cells(), self.nested_rules())
+        return self._plans["decided"]
+
+    def grown(self) -> "Views":
+        """The same profiles over a rule base that grows with `part`: a scheme per six parts, a rule per part and type."""
+        if self._grown is None:
+            self._grown = GrownViews(self.spark, self.folder)
+        return self._grown
+
+
+class GrownViews(Views):
+    def parts(self) -> DataFrame:
+        return self.table("part").selectExpr(*derive.GROWN_PART)
+
+
 @lru_cache(maxsize=8)
 def _views(app: str, folder: str) -> Views:
     return Views(SparkSession.active(), folder)

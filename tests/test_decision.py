@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eligrid import model
-from eligrid.operators import decision, profiles, rulebase
+from eligrid.operators import decision, predicate_index, profiles, rulebase
 
 RULE = (
     "scheme_id string, rule_id string, ord int, rule_type string, field string, operator string, value_kind string, "
@@ -112,3 +112,49 @@ def test_evaluation_does_not_shuffle_after_the_profiles(spark, folder):
     above = plan[: plan.index("REPARTITION_BY_NUM")]
     assert "Exchange hashpartitioning" not in above.replace("Exchange hashpartitioning(profile_id", "", 1)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def both(spark, rules, people_rows=None):
+    """Rows of the index and of the nested evaluation of the same rule base."""
+    frame = spark.createDataFrame(rules, RULE)
+    schemes = frame.groupBy("scheme_id").agg(F.first("scheme_id").alias("scheme_name")).selectExpr(
+        "scheme_id", "scheme_name", "'m' AS ministry", "'active' AS status", "1 AS position"
+    ).union(spark.createDataFrame([("EMPTY", "e", "m", "active", 2)], "scheme_id string, scheme_name string, ministry string, status string, position int"))
+    queue = spark.createDataFrame([], "rule_id string")
+    flags = [("A", "A-1", 1, 0, "CRITICAL", "AMB-001"), ("B", "B-1", 1, 0, "HIGH", "AMB-002"), ("B", "B-2", 2, 0, "MEDIUM", "AMB-003")]
+    bound = rulebase.bind(
+        rulebase.active_rules(rulebase.load_ready(frame), schemes, queue),
+        spark.createDataFrame(flags, "scheme_id string, rule_id string, ord int, pos int, severity string, ambiguity_id string"),
+    )
+    nested = rulebase.nest(schemes, bound, rulebase.exclusions(frame, queue)).where("state IN ('*', 'UP', 'BR')")
+    cells = people_rows if people_rows is not None else people(spark)
+    columns = list(predicate_index.COLUMNS)
+    rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    slow = decision.determinations(cells, nested).select(*[F.col(c).cast(dict(t.split(" ") for t in predicate_index.RESULT.split(", "))[c]) for c in columns])
+    return rows(predicate_index.determinations(cells, nested)), rows(slow), rows(predicate_index.determinations(cells, nested, limit=0))
+
+
+def test_index_decides_like_the_nested_rules(spark):
+    ages = [("LT", "17"), ("LTE", "17"), ("GT", "17"), ("GTE", "17"), ("LT", "40"), ("GTE", "40"), ("GTE", "NaN"), ("LTE", "x"), ("EQ", "40"), ("NEQ", "17")]
+    rules = [rule("A", i + 1, ("eligibility", "disqualifying", "prerequisite", "administrative_discretion")[i % 4], "applicant.age", op, "num", t) for i, (op, t) in enumerate(ages)]
+    rules += [rule("B", i + 1, "eligibility", "household.income_annual", op, "num", t, audit="PENDING" if i % 2 else "VERIFIED") for i, (op, t) in enumerate(ages)]
+    rules += [
+        rule("C", 1, *AGE), rule("C", 2, "eligibility", "applicant.age", "BETWEEN", lo=40.0, hi=17.0), rule("C", 3, "eligibility", "applicant.age", "BETWEEN", lo=float("nan"), hi=99.0),
+        rule("C", 4, "eligibility", "no.such_field", "GT", "num", "1"), rule("C", 5, "eligibility", "applicant.age", "ODD", "num", "1"),
+        rule("D", 1, "eligibility", "location.state", "IN", items="UP|BR"), rule("D", 2, "eligibility", "location.state", "MATCHES", "str", "^U"),
+        rule("D", 3, "eligibility", "location.state", "MATCHES", "str", "(["), rule("D", 4, "eligibility", "location.state", "CONTAINS", "str", "P"),
+        rule("D", 5, "eligibility", "documents.bank_account", "EQ", "bool", "True"), rule("D", 6, "eligibility", "applicant.age", "IS_NULL"), rule("D", 7, "eligibility", "schemes.active_enrollments", "NOT_MEMBER", items="A"),
+        rule("E", 1, "eligibility", "applicant.age", "GTE", "num", "18"), rule("E", 2, "eligibility", "applicant.age", "GTE", "num", "60", scope="UP", over="E-1"),
+    ]
+    fast, slow, beyond = both(spark, rules)
+    assert len(fast) == 3 * 6 and fast == slow and beyond == slow
+
+
+def test_index_over_derived_rule_bases(spark, folder):
+    from eligrid.plans.views import views
+
+    for v in (views(spark, folder), views(spark, folder).grown()):
+        columns = ["profile_id", "scheme_id", "status", "c_pass", "c_fail", "rules_passed", "rules_failed", "rules_undetermined", "composite"]
+        slow = v.determinations().select(*columns).selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in columns])
+        fast = v.decided().select(*columns).selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in columns])
+        assert fast.count() == slow.count() and fast.exceptAll(slow).count() == 0
