@@ -358,16 +358,19 @@ def match_trigger(collapsed: DataFrame) -> DataFrame:
 
 
 def trim(turns: DataFrame, recent: int = 6) -> DataFrame:
-    """First turn plus the latest six; up to seven turns that is all of them.
+    """First turn plus the latest six; up to seven turns that is all of them, also where turns share a number.
 
-    Both parts are rank filters, which prune inside each task before the shuffle, so
-    a very long conversation is never ordered as a whole.
+    All parts are rank filters, which prune inside each task before the shuffle, so a very long conversation is never
+    ordered as a whole. Other columns break ties, the same way in both orders; the first row is added only where the
+    conversation has more rows than the latest six.
     """
-    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    oldest = Window.partitionBy("conv_id").orderBy("turn")
-    late = turns.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= recent)
+    order = ["turn", *[c for c in turns.columns if c not in ("conv_id", "turn")]]
+    newest = Window.partitionBy("conv_id").orderBy(*[F.desc_nulls_last(c) for c in order])
+    oldest = Window.partitionBy("conv_id").orderBy(*[F.asc_nulls_first(c) for c in order])
+    late = turns.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= recent + 1)
+    longer = late.where(F.col("rn") == recent + 1).select(F.col("conv_id").alias("long_id"))
     first = turns.withColumn("rn", F.row_number().over(oldest)).where(F.col("rn") <= 1)
-    return late.unionByName(first).drop("rn").dropDuplicates(["conv_id", "turn"])
+    return late.where(F.col("rn") <= recent).unionByName(first.join(longer, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi")).drop("rn")
 
 
 def followups(profile_fields: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eligrid.functions.grams import grams
 from eligrid.session import broadcast_if_small
 
 MIN_CONFIDENCE, DISPLAY_CONFIDENCE = 0.30, 0.60
@@ -31,7 +32,8 @@ def shared_pairs(sets: DataFrame) -> DataFrame:
     index = sigs.select("sig", F.explode("fields").alias("field"))
     left = index.select(F.col("sig").alias("sig_a"), "field")
     right = index.select(F.col("sig").alias("sig_b"), "field")
-    hits = left.join(right, "field").groupBy("sig_a", "sig_b").agg(F.count("*").alias("shared"))
+    # Measures are the same both ways, so each pair of signatures is compared once.
+    hits = left.join(right, "field").where("sig_a <= sig_b").groupBy("sig_a", "sig_b").agg(F.count("*").alias("shared"))
     a = sigs.select(F.col("sig").alias("sig_a"), F.col("fields").alias("fa"), F.col("types").alias("ta"))
     b = sigs.select(F.col("sig").alias("sig_b"), F.col("fields").alias("fb"), F.col("types").alias("tb"))
     measured = hits.join(a, "sig_a").join(b, "sig_b").select(
@@ -41,33 +43,48 @@ def shared_pairs(sets: DataFrame) -> DataFrame:
         F.arrays_overlap("ta", "tb").alias("same_benefit"),
         (F.array_contains("ta", "dwelling_ownership") & F.array_contains("tb", "dwelling_ownership")).alias("dwelling"),
     )
-    left_ids = signed.select(F.col("sig").alias("sig_a"), F.col("scheme_id").alias("scheme_a"))
-    right_ids = signed.select(F.col("sig").alias("sig_b"), F.col("scheme_id").alias("scheme_b"))
-    return (
-        measured.join(left_ids, "sig_a").join(right_ids, "sig_b")
-        .where("scheme_a < scheme_b")
-        .drop("sig_a", "sig_b")
+    left_ids = signed.select(F.col("sig").alias("sig_a"), F.col("scheme_id").alias("id_a"))
+    right_ids = signed.select(F.col("sig").alias("sig_b"), F.col("scheme_id").alias("id_b"))
+    # Two signatures list a pair once, in either order; within one signature only the ordered half.
+    listed = measured.join(left_ids, "sig_a").join(right_ids, "sig_b").where("sig_a <> sig_b OR id_a < id_b")
+    return listed.select(
+        F.least("id_a", "id_b").alias("scheme_a"), F.greatest("id_a", "id_b").alias("scheme_b"), "jaccard", "overlap", "same_benefit", "dwelling"
+    )
+
+
+# Lengths of anchors; an id has one of the largest size that it can hold.
+ANCHORS = (1, 2, 4, 8)
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of one length; no more than the text is long."""
+    return F.array_distinct(grams(text, size))
+
+
+def anchors(ids: DataFrame, key: str) -> DataFrame:
+    """Every id with its anchor: of its substrings of the anchor length, the one that fewest ids hold."""
+    low = F.lower(F.col(key))
+    size, parts = F.lit(ANCHORS[0]), _grams(low, ANCHORS[0])
+    for n in ANCHORS[1:]:
+        size, parts = F.when(F.length(low) >= n, n).otherwise(size), F.when(F.length(low) >= n, _grams(low, n)).otherwise(parts)
+    each = ids.where(F.length(key) > 0).select(F.col(key), size.alias("size"), F.explode(parts).alias("gram"))
+    held = each.groupBy("gram").agg(F.count("*").alias("holders"))
+    return each.join(held, "gram").groupBy(key).agg(F.min(F.struct("holders", "gram")).alias("rarest"), F.first("size").alias("size")).select(
+        key, F.col("rarest.gram").alias("gram"), "size"
     )
 
 
 def mentions(texts: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows of `texts` whose text contains an id, ignoring case, as an equi-join.
+    """Rows of `texts` whose text contains an id, ignoring case, without comparing every text with every id.
 
-    Every window of the text that has the length of some id is looked up; the ids'
-    distinct lengths are few (ids are at most 32 characters long).
+    Each id is looked for by its anchor only, a substring of one of four fixed lengths, and compared in place where the
+    anchor occurs. A text makes at most four substrings per character, however many lengths the ids have.
     """
-    lengths = sorted(r[0] for r in ids.select(F.length(key)).distinct().collect())
+    anchored = broadcast_if_small(anchors(ids, key))
+    sizes = sorted(r[0] for r in anchored.select("size").distinct().collect())  # at most four
     low = F.lower(F.col(text))
-
-    def windows(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
-        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    grams = F.array_distinct(F.concat(*[windows(n) for n in lengths]))
-    keyed = ids.select(F.lower(F.col(key)).alias("gram"), F.col(key))
-    return texts.withColumn("gram", F.explode(grams)).join(broadcast_if_small(keyed), "gram").drop("gram")
+    parts = F.concat(F.array().cast("array<string>"), *[_grams(low, n) for n in sizes])
+    return texts.withColumn("gram", F.explode(parts)).join(anchored, "gram").where(F.contains(low, F.lower(F.col(key)))).drop("gram", "size")
 
 
 def exclusions(rules: DataFrame, schemes: DataFrame) -> DataFrame:

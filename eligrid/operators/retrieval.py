@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eligrid.functions import vocab as V
-from eligrid.session import broadcast_if_small
+from eligrid.functions.grams import grams
+from eligrid.session import broadcast_if_small, checkpoint
 
 TOKENS = r"([a-zA-Z\x{0900}-\x{097F}]+)"
 
@@ -51,6 +52,59 @@ def top_k(queries: DataFrame, index: DataFrame, query_key: str, doc_key: str, k:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# Postings read per query for the first bound; scores are rounded to nine places, bounds keep clear of that.
+SEED_ROWS, SLACK = 1000, 1e-8
+
+
+def blocked(index: DataFrame, length: Column) -> DataFrame:
+    """Postings with their block: documents within a fifth of each other in length, whose weights are of one scale."""
+    return index.withColumn("block", F.floor(4 * F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int"))
+
+
+def candidates(queries: DataFrame, index: DataFrame, query_key: str, doc_key: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs, cells): every pair that can be among the best k; index: doc_key, term, weight > 0, block.
+
+    Each (term, block) list of postings knows its maximal weight, so a query knows the most that each list can add.
+    The lists that add most, rarest first, give first candidates; the whole scores of the best k of them are a bound
+    that the result's k-th best cannot fall below. In each block the lists that together stay below it are optional: a document found in none
+    of the others cannot make it. Only the other lists are read, and a document stays if what it has and what the
+    optional lists could still add reach the bound.
+    """
+    lists = index.groupBy("term", "block").agg(F.max("weight").alias("most"), F.count("*").alias("size"))
+    cells = checkpoint(queries.join(lists, "term").select(query_key, "term", "c", "block", "size", (F.col("c") * F.col("most")).alias("most")))
+    first = Window.partitionBy(query_key).orderBy(F.desc(F.col("most") / F.col("size")), "term", "block")
+    seeds = cells.withColumn("before", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).where(F.col("before") < SEED_ROWS)
+    found = seeds.join(index, ["term", "block"]).groupBy(query_key, doc_key).agg(F.sum(F.col("weight") * F.col("c")).alias("part"))
+    best = Window.partitionBy(query_key).orderBy(F.desc("part"))
+    leaders = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select(query_key, doc_key)
+    whole = leaders.join(queries, query_key).join(index, [doc_key, "term"]).groupBy(query_key, doc_key).agg(F.sum(F.col("weight") * F.col("c")).alias("raw"))
+    bound = whole.groupBy(query_key).agg(F.count("*").alias("n"), F.min("raw").alias("low")).where(F.col("n") == k).select(query_key, (F.col("low") - SLACK).alias("bound"))
+    smallest = Window.partitionBy(query_key, "block").orderBy("most", "term")
+    sums = cells.join(bound, query_key, "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumn("upto", F.sum("most").over(smallest))
+    placed = checkpoint(sums.withColumn("needed", F.col("upto") >= F.col("bound")))
+    optional = placed.where("NOT needed").groupBy(query_key, "block").agg(F.max("upto").alias("rest"))
+    needed = placed.where("needed").select(query_key, "term", "block", "c", "bound")
+    partial = needed.join(index, ["term", "block"]).groupBy(query_key, doc_key, "block").agg(
+        F.sum(F.col("weight") * F.col("c")).alias("part"), F.first("bound").alias("bound")
+    )
+    kept = partial.join(optional, [query_key, "block"], "left").where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("bound"))
+    return kept.select(query_key, doc_key, "block", "part"), placed
+
+
+def top_k_pruned(queries: DataFrame, index: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:
+    """The rows of `top_k`, reading the common terms only for pairs that can be among the best k."""
+    some, cells = candidates(queries, index, query_key, doc_key, k)
+    some = checkpoint(some)
+    rest = cells.where("NOT needed").select(query_key, "term", "block", "c")
+    # The optional terms of a candidate meet its own postings, by document and term.
+    wanted = some.join(rest, [query_key, "block"]).select(query_key, doc_key, "term", "c")
+    added = wanted.join(index.select(doc_key, "term", "weight"), [doc_key, "term"]).select(query_key, doc_key, (F.col("weight") * F.col("c")).alias("part"))
+    scored = some.select(query_key, doc_key, "part").unionByName(added).groupBy(query_key, doc_key).agg(F.sum("part").alias("raw"))
+    rows = scored.select(query_key, doc_key, F.round("raw", 9).alias("score")).where("score > 0")
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def scheme_documents(schemes: DataFrame, rules: DataFrame) -> DataFrame:
     """Index text per scheme: name, ministry and state, then rule texts in order."""
     texts = rules.select(
@@ -94,29 +148,36 @@ def search_words(text: Column) -> Column:
     return F.array_except(words, F.array(*[F.lit(w) for w in V.STOP_WORDS]))
 
 
+GRAM = 3
+
+
+def name_index(names: DataFrame) -> DataFrame:
+    """(gram, low, scheme_id, position): substrings of one to GRAM characters; at most GRAM rows per character of a name."""
+    low = F.lower(F.concat_ws(" ", "scheme_name", "short_name"))
+    parts = F.array_distinct(F.concat(*[grams(F.col("low"), n) for n in range(1, GRAM + 1)]))
+    return names.withColumn("low", low).select("scheme_id", "position", "low", F.explode(parts).alias("gram"))
+
+
 def name_search(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Scheme whose name contains most distinct query words; the first one on ties.
 
-    Words are looked up among all substrings of the (short) names, so the match is an
-    equi-join on the word and needs no comparison of every word with every name.
+    Every distinct word is looked up once, by the one of its grams that fewest names hold, and compared with the names
+    that hold it; its schemes then serve all queries with the word.
     """
-    low = F.lower(F.concat_ws(" ", "scheme_name", "short_name"))
-    starts = F.sequence(F.lit(1), F.length("low"))
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(
-                    F.sequence(F.lit(1), F.length("low") - i + 1), lambda n: F.substring(F.col("low"), i, n)
-                ),
-            )
-        )
+    index = checkpoint(name_index(names))
+    asked = checkpoint(queries.select("query_id", F.explode(search_words(F.col("text"))).alias("word")))
+    words = asked.select("word").distinct()
+    parts = F.when(F.length("word") >= GRAM, grams(F.col("word"), GRAM)).otherwise(F.array("word"))
+    holders = index.groupBy("gram").agg(F.count("*").alias("holders"))
+    rarest = (
+        words.select("word", F.explode(F.array_distinct(parts)).alias("gram"))
+        .join(holders, "gram", "left")
+        .groupBy("word")
+        .agg(F.min(F.struct(F.coalesce("holders", F.lit(0)).alias("holders"), "gram")).alias("rarest"))
+        .select("word", F.col("rarest.gram").alias("gram"))
     )
-    index = names.withColumn("low", low).where(F.length("low") > 0).select(
-        "scheme_id", "position", F.explode(pieces).alias("word")
-    ).where(F.col("word").rlike("^[a-z0-9]+$"))
-    asked = queries.select("query_id", F.explode(search_words(F.col("text"))).alias("word"))
-    hits = asked.join(broadcast_if_small(index), "word").groupBy("query_id", "scheme_id", "position").agg(F.count("*").alias("hits"))
+    found = rarest.join(index, "gram").where(F.contains("low", "word")).select("word", "scheme_id", "position")
+    hits = asked.join(broadcast_if_small(found), "word").groupBy("query_id", "scheme_id", "position").agg(F.count("*").alias("hits"))
     return hits.groupBy("query_id").agg(
         F.max_by("scheme_id", F.struct("hits", (-F.col("position")).alias("p"))).alias("scheme_id"), F.max("hits").alias("hits")
     )

@@ -14,7 +14,7 @@ from eligrid.plans import oracle_core as oc
 from eligrid.plans.oracle_core import case_map, quoted
 from eligrid.plans.registry import query
 from eligrid.plans.views import Views
-from eligrid.session import broadcast_if_small
+from eligrid.session import broadcast_if_small, checkpoint
 
 YEAR = 2026
 
@@ -434,11 +434,13 @@ def rag_query(v: Views) -> DataFrame:
     asked = retrieval.term_counts(v.table("benchmark"), "item_id", "text").select("item_id", "term", "c")
     vocabulary = broadcast_if_small(asked.select("term").distinct())
     rows = docs.select("doc_id", retrieval.tokens(F.col("text")).alias("toks")).select("doc_id", F.size("toks").alias("total"), F.explode("toks").alias("term"))
-    counts = rows.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("k"), F.first("total").alias("total"))
+    # Written once: frequencies, bounds and scores all read these counts.
+    counts = checkpoint(rows.join(vocabulary, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("k"), F.first("total").alias("total")))
     n = docs.agg(F.count("*")).scalar()
     idf = counts.groupBy("term").agg((F.log((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    index = counts.join(idf, "term").select("doc_id", "term", (F.col("k") / F.col("total") * F.col("idf")).alias("weight"))
-    return retrieval.top_k(asked, index, "item_id", "doc_id", 3).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    weighted = counts.join(idf, "term").select("doc_id", "term", "total", (F.col("k") / F.col("total") * F.col("idf")).alias("weight"))
+    index = checkpoint(retrieval.blocked(weighted, F.col("total")).drop("total"))
+    return retrieval.top_k_pruned(asked, index, "item_id", "doc_id", 3).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _RAG_DOCS = """SELECT s.scheme_id, s.position, concat_ws(' ', scheme_name, ministry, s.state_scope, body) AS text FROM (SELECT * FROM schemes WHERE status = 'active') s LEFT JOIN (

@@ -130,10 +130,7 @@ def evaluate_files(v: Views) -> DataFrame:
 
 def _json_list(v: Views, rows: DataFrame, name: str, key: str | None = None) -> str:
     path = files.scratch(v.spark, name)
-    packed = rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-    if key:
-        packed = packed.select(F.concat(F.lit('{"' + key + '":'), "value", F.lit("}")).alias("value"))
-    packed.write.text(path)
+    files.write_lists(rows, path, key)
     return path
 
 
@@ -158,9 +155,26 @@ def src_ambiguity_map(v: Views) -> DataFrame:
 
 @query("src_review_queue", oc.sql("SELECT rule_id FROM queue"))
 def src_review_queue(v: Views) -> DataFrame:
-    path = files.scratch(v.spark, "queue")
-    v.queue().agg(F.to_json(F.collect_list("rule_id")).alias("value")).write.text(path)
-    return files.read_queue(v.spark, path)
+    return files.read_queue(v.spark, _json_list(v, v.queue(), "queue"))
+
+
+@query(
+    "src_verdicts",
+    oc.sql(
+        """SELECT 'read' AS verdict, '' AS reason, count(*) AS entries FROM rels
+        UNION ALL SELECT 'rejected', 'not valid JSON', 0 UNION ALL SELECT 'rejected', 'no list and no list under relationships', 0""",
+        **RELS,
+    ),
+)
+def src_verdicts(v: Views) -> DataFrame:
+    """Reject table over the relationship files, a torn one and one of another layout among them."""
+    path = _json_list(v, v.relationships(), "relationships", "relationships")
+    whole = v.spark.read.text(path, wholetext=True).limit(1)
+    torn = whole.select(F.expr("substring(value, 1, length(value) - 3)").alias("value"))
+    other = whole.select(F.replace("value", F.lit('"relationships"'), F.lit('"edges"')).alias("value"))
+    torn.unionByName(other).write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    found = files.verdicts(v.spark, path, "relationships")
+    return found.groupBy("verdict", "reason").agg(F.sum("entries").alias("entries"))
 
 
 # ---- raw schemes, HTML, feeds, profiles -------------------------------------

@@ -158,16 +158,44 @@ def flags_of(rules: DataFrame) -> DataFrame:
     return each.where("severity IS NOT NULL")
 
 
-def _listed(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Entries of a file that is a list or an object holding one under `key`."""
-    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+def _entry_files(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(file_name, entries, reason): every file that is a list or an object holding one under `key`; else a reason."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    docs = files.select(F.col("_metadata.file_name").alias("file_name"), F.try_parse_json("value").alias("doc"))
     entries = F.coalesce(F.try_variant_get("doc", f"$.{key}", "array<variant>"), F.try_variant_get("doc", "$", "array<variant>"))
-    return docs.select(F.explode(entries).alias("e"))
+    reason = F.when(F.col("doc").isNull(), "not valid JSON").when(F.col("entries").isNull(), f"no list and no list under {key}")
+    return docs.withColumn("entries", entries).select("file_name", "entries", reason.alias("reason"))
+
+
+def verdicts(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Reject table: per file whether it is read, why not, and how many entries it holds."""
+    return _entry_files(spark, path, key).select(
+        "file_name", F.when(F.col("reason").isNull(), "read").otherwise("rejected").alias("verdict"),
+        F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce(F.size("entries"), F.lit(0)).cast("long").alias("entries"),
+    )
+
+
+def _listed(spark: SparkSession, path: str, key: str, strict: bool = True) -> DataFrame:
+    """Entries of all files below a path; a file that is rejected stops the job with its name, or is left out unless strict."""
+    files = _entry_files(spark, path, key)
+    if strict:
+        stop = F.raise_error(F.concat("reason", F.lit(": "), "file_name")).cast("array<variant>")
+        files = files.withColumn("entries", F.when(F.col("reason").isNotNull(), stop).otherwise(F.col("entries")))
+    return files.select(F.explode("entries").alias("e"))
+
+
+def write_lists(rows: DataFrame, path: str, key: str | None = None, size: int = 1000) -> None:
+    """JSON lists of at most `size` rows, a file each, bare or under a key; rows are struct or plain values of one column."""
+    value = F.col(rows.columns[0]) if len(rows.columns) == 1 else F.struct(*rows.columns)
+    dealt = rows.select(F.floor(F.monotonically_increasing_id() / size).alias("file"), value.alias("entry"))
+    packed = dealt.groupBy("file").agg(F.to_json(F.collect_list("entry")).alias("value"))
+    text = F.concat(F.lit('{"' + key + '":'), "value", F.lit("}")) if key else F.col("value")
+    packed.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
-def read_relationships(spark: SparkSession, path: str) -> DataFrame:
+def read_relationships(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Edge list; rows without both ends, a type or a confidence in [0, 1] are dropped."""
-    rows = _listed(spark, path, "relationships").select(
+    rows = _listed(spark, path, "relationships", strict).select(
         _get(F.col("e"), "relationship_id").alias("relationship_id"),
         _get(F.col("e"), "scheme_a").alias("scheme_a"),
         _get(F.col("e"), "scheme_b").alias("scheme_b"),
@@ -181,24 +209,24 @@ def read_relationships(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_flags(spark: SparkSession, path: str) -> DataFrame:
+def read_flags(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Ambiguity flags; codes outside 1 to 30 are dropped."""
-    rows = _listed(spark, path, "flags").select(
+    rows = _listed(spark, path, "flags", strict).select(
         *[_get(F.col("e"), n).alias(n) for n in ("ambiguity_id", "scheme_id", "rule_id", "severity")],
         _get(F.col("e"), "ambiguity_type_code", kind="int").alias("type_code"),
     )
     return rows.where(F.col("type_code").between(1, 30))
 
 
-def read_queue(spark: SparkSession, path: str) -> DataFrame:
+def read_queue(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Rule ids to leave out."""
-    rows = _listed(spark, path, "rules")
+    rows = _listed(spark, path, "rules", strict)
     return rows.select(F.try_variant_get("e", "$", "string").alias("rule_id")).distinct()
 
 
 def write_batches(schemes: DataFrame, path: str) -> None:
-    """One JSON line per scheme, partitioned by its batch number."""
-    schemes.write.mode("overwrite").partitionBy("batch").json(path)
+    """One JSON line per scheme, partitioned by its batch number; a batch is gathered first, so it is one file."""
+    schemes.repartition("batch").write.mode("overwrite").partitionBy("batch").json(path)
 
 
 def batch_index(schemes: DataFrame) -> DataFrame:
