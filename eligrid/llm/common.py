@@ -70,6 +70,11 @@ def worker_cache(key, make):
     return kept[key]
 
 
+def free_cache():
+    """Called by tasks that keep nothing, so that they do not run beside what an earlier kind of task left behind."""
+    sys.__dict__.get("_eligrid_llm_cache", {}).clear()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that has an edge; component is the smallest node reachable.
 

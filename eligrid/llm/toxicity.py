@@ -10,7 +10,7 @@ Only rows whose crc32(doc_id as text) mod 5 is not 0 teach anything. The fit rea
 (the smallest by hash); scoring reads every whole text. Labels, lang, source and doc_id are not inputs of a score.
 
 Defined results: null and empty texts fire no voter and get the score of such a text; a null doc_id counts as held
-out; repeated doc_ids in labels count as toxic if any row says so, labels other than 0 and 1 are ignored. Without
+out; rows of documents that share a doc_id share its label; repeated doc_ids in labels count as toxic if any row says so, labels other than 0 and 1 are ignored. Without
 toxic or without clean training rows the lexicon alone decides. An empty table gives no rows.
 """
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eligrid.llm.common import stored, worker_cache
+from eligrid.llm.common import free_cache, stored, worker_cache
 
 TRAIN_ROWS = 20_000
 # Patterns kept for the classifier and voters of the label model, the most telling first.
@@ -53,9 +53,11 @@ def words_of(text):
 
 
 def patterns_of(word):
-    """The patterns a word fires."""
-    out = ["=" + word] if len(word) <= LONGEST_WORD else []
-    return out + ["^" + word[:n] for n in PREFIXES if len(word) >= n]
+    """The patterns a word fires; of a very long word the whole stands as its digest, so patterns stay short."""
+    from hashlib import blake2b
+
+    whole = word if len(word) <= LONGEST_WORD else "#" + blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    return ["=" + whole] + ["^" + word[:n] for n in PREFIXES if len(word) >= n]
 
 
 def fired_by(words, of=patterns_of):
@@ -67,10 +69,6 @@ def fired_by(words, of=patterns_of):
     return {*counts, *(f"{n}{p}" for p, c in counts.items() if c > 1 and p[0] == "^" for n in SHARED if c >= n)}
 
 
-def _hash_lowest(rows, limit):
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """(toxic, text) of at most `limit` labelled rows outside the held-out fold."""
     known = (
@@ -79,23 +77,29 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    chosen = _hash_lowest(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), limit)
+    # Rows are chosen by id and text digest, so an id that many rows share is bounded like any other; of rows that
+    # repeat both, one is read.
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    rows = texts.select("doc_id", "digest").join(known, "doc_id").distinct()
     # At most `limit` narrow rows: a proven bound for the broadcast.
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(limit)
+    return texts.join(F.broadcast(chosen), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("toxic", "text")
 
 
 def _mined(batches):
     import pyarrow as pa
 
+    free_cache()
     for batch in batches:
         toxic, found = [], []
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            hits = fired_by(words_of(text))
-            toxic += [label] * len(hits)
+        for row in range(batch.num_rows):
+            hits = fired_by(words_of(batch.column(1)[row].as_py()))
+            toxic += [batch.column(0)[row].as_py()] * len(hits)
             found += hits
-        for at in range(0, len(found), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 18)]), pa.array(toxic[at : at + (1 << 18)], pa.int32())], ["pattern", "toxic"])
+            if len(found) >= 1 << 16 or row + 1 == batch.num_rows:
+                for at in range(0, len(found), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 18)]), pa.array(toxic[at : at + (1 << 18)], pa.int32())], ["pattern", "toxic"])
+                toxic, found = [], []
 
 
 def _votes(patterns):
@@ -108,6 +112,7 @@ def _votes(patterns):
 
         import pyarrow as pa
 
+        free_cache()
         aimed = re.compile(r"\b(?:you|your|they|he|she)\b(?:\W+\w+){0,4}?\W+(?:" + "|".join(INSULTS) + r")\b")
         for batch in batches:
             rows = []

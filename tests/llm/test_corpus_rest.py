@@ -329,3 +329,18 @@ def test_pipeline_stages(spark, folder):
     assert packed.agg(F.countDistinct("doc_id")).collect()[0][0] == clean.agg(F.countDistinct("doc_id")).collect()[0][0]
     for _, run in corpus_pipeline.STAGES:
         run(spark, docs.limit(0), folder).count()
+
+
+def test_training_rows_are_bounded_after_the_join(spark):
+    known = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    ids = [i for i in (1, 2) if __import__("zlib").crc32(str(i).encode()) % 5]
+    docs = documents(spark, [(i, f"text {n}") for i in ids for n in range(500)] + [(ids[0], "text 1")] * 3)
+    assert toxicity.training_rows(docs, known, 1).count() == 1
+    assert toxicity.training_rows(docs, known, 40).count() == 40
+    assert toxicity.training_rows(docs, known, 10_000).count() == 500 * len(ids)
+
+
+def test_long_words_have_patterns_of_their_own():
+    a, b = "x" * 24 + "a", "x" * 24 + "b"
+    assert toxicity.patterns_of(a)[0] != toxicity.patterns_of(b)[0] and toxicity.patterns_of("x" * 24)[0] == "=" + "x" * 24
+    assert len(toxicity.patterns_of("y" * 100_000)[0]) < 64
