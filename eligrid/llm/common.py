@@ -65,14 +65,23 @@ def worker_cache(key, make):
     """A value kept while tasks of one kind reuse the Python worker; the next kind of task takes its place."""
     kept = sys.__dict__.setdefault("_eligrid_llm_cache", {})
     if key not in kept:
-        kept.clear()
+        free_cache()
         kept[key] = make()
     return kept[key]
 
 
 def free_cache():
     """Called by tasks that keep nothing, so that they do not run beside what an earlier kind of task left behind."""
-    sys.__dict__.get("_eligrid_llm_cache", {}).clear()
+    import gc
+
+    import pyarrow as pa
+
+    kept = sys.__dict__.get("_eligrid_llm_cache", {})
+    if kept:
+        kept.clear()
+        gc.collect()
+    # Arrow keeps freed buffers for itself otherwise.
+    pa.default_memory_pool().release_unused()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
