@@ -29,6 +29,13 @@ RANK_BITS = 512
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long, n_bytes long, sha256 string"
 
 
+def _narrow(bits):
+    """The smallest unsigned type for ids of so many bits: every plane moves all ids once."""
+    import numpy as np
+
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """Bit planes from the highest bit down; each plane lists zeros before ones for the next."""
 
@@ -40,14 +47,19 @@ class WaveletMatrix:
         import numpy as np
 
         planes, zeros = [], []
+        ids = np.asarray(ids, _narrow(bits))
+        words = RANK_BITS // 64
         for level in range(bits - 1, -1, -1):
-            bit = ((ids >> level) & 1).astype(bool)
+            bit = (ids & ids.dtype.type(1 << level)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
-            blocks = np.add.reduceat(bit, np.arange(0, len(bit), RANK_BITS), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+            # Whole words of 64 bits are counted; zeros fill up the last block.
+            filled = np.zeros(-(-len(packed) * 8 // RANK_BITS) * words, "<u8")
+            filled.view(np.uint8)[: len(packed)] = packed
+            blocks = np.bitwise_count(filled).reshape(-1, words).sum(axis=1, dtype=np.int64)
             planes.append((packed, np.concatenate(([0], np.cumsum(blocks))).astype("<u4")))
-            low = ids[~bit]
+            low = ids.compress(~bit)
             zeros.append(len(low))
-            ids = np.concatenate((low, ids[bit]))
+            ids = np.concatenate((low, ids.compress(bit)))
         return cls(len(ids), planes, zeros)
 
     def _ones(self, level, i):
@@ -113,17 +125,15 @@ class WaveletMatrix:
         import numpy as np
 
         # The last plane's successor lists equal ids together; rebuild upwards by undoing the partitions.
-        ids = None
-        for level in range(len(self.zeros) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level][0], count=self.n, bitorder="little").astype(bool)
-            value = np.uint32(1 << (len(self.zeros) - 1 - level))
-            up = np.empty(self.n, np.uint32)
-            if ids is None:
-                up[~bit], up[bit] = 0, value
-            else:
-                up[~bit], up[bit] = ids[: self.zeros[level]], ids[self.zeros[level] :] | value
+        depth = len(self.zeros)
+        ids = np.zeros(self.n, _narrow(depth))
+        for level in range(depth - 1, -1, -1):
+            bit = np.unpackbits(self.planes[level][0], count=self.n, bitorder="little").view(bool)
+            up = np.empty_like(ids)
+            up[np.flatnonzero(~bit)] = ids[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = ids[self.zeros[level] :] | ids.dtype.type(1 << (depth - 1 - level))
             ids = up
-        return ids if ids is not None else np.zeros(0, np.uint32)
+        return ids.astype(np.uint32)
 
 
 def dump(ids, doc_ids, lengths, bits) -> bytes:
