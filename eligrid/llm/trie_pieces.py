@@ -4,6 +4,10 @@ A text is cut into marked words (runs of blanks as marks, then what follows). Th
 rows are sorted, which lays them out as a trie in depth-first order, and one forward table is kept along the current
 path: a word starts from the state of its longest common prefix with the word before it.
 
+The pieces that end at a character come from a walk through all beginnings of pieces, kept along the same path. A
+tail of marks is a word of its own where no piece holds the two characters around the cut side by side: no
+segmentation and no merge crosses there.
+
 The forward state after a prefix is its best segmentation. For a unigram model that is the one with the largest sum
 of scores. For a BPE model it is the one the merges make: a segmentation is the outcome of the merges exactly when
 every two neighbouring pieces are the outcome of the merges on their own text, so of the pieces that end at a
@@ -27,8 +31,11 @@ from eligrid.llm.common import worker_cache
 BLANK = "▁"
 # Words and neighbour checks that a worker keeps, rows whose new words are encoded together.
 CACHE_WORDS = 250_000
-CACHE_PAIRS = 300_000
-CHUNK_ROWS = 512
+CACHE_PAIRS = 600_000
+CACHE_STEPS = 200_000
+CHUNK_ROWS = 1024
+# Added to ids in the keys of neighbour checks; characters outside the vocabulary count as negative ids.
+OUTSIDE = 0x110000
 
 
 class Pieces:
@@ -55,7 +62,12 @@ class Pieces:
             else:
                 self.ids[piece] = i
                 self.piece_bytes.append(piece.replace(BLANK, " ").encode())
-        self.longest = max(map(len, self.ids), default=1)
+        # Walk of a text through all beginnings of pieces: (longest one that ends here, pieces that end here).
+        self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.walk = {}
+        # A word is cut before its tail of marks where no piece holds the two characters around the cut side by side.
+        self.tail_marks = "".join(c for c in set().union(*self.ids) if not c.isalnum() and c != BLANK and not c.isspace())
+        self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.unknown = min(self.scores, default=0.0) - 10.0
         self.fits, self.cache = {}, {}
         self.newline_apart = not any("\n" in p for p in self.ids)
@@ -75,59 +87,72 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _pair(self, left, right):
-        key = (left, right)
-        if key not in self.fits:
-            value = self.merged(left + right) == [left, right]
-            if len(self.fits) >= CACHE_PAIRS:
-                return value
+    def _step(self, path):
+        """Where the walk is after these characters, the last of them new, and (length, id) of the pieces that end there."""
+        node = path
+        while node and node not in self.beginnings:
+            node = node[1:]
+        ending = [(len(node) - i, self.ids[node[i:]]) for i in range(len(node)) if node[i:] in self.ids]
+        if path[-1] not in self.ids:
+            ending.append((1, -ord(path[-1])))
+        if len(self.walk) < CACHE_STEPS:
+            self.walk[path] = node, ending
+        return node, ending
+
+    def _fit(self, key, left, right):
+        """Whether right may follow left (empty at the start of a word): the merges leave both as they are."""
+        if left and left + right in self.ids:
+            value = False  # the merges would join them
+        else:
+            value = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.fits) < CACHE_PAIRS:
             self.fits[key] = value
-        return self.fits[key]
+        return value
 
     def encode_words(self, words):
         """word -> ids of each distinct word, walking the sorted words as a trie."""
-        out, previous, states = {}, "", [(0.0, "")]  # states[i]: score and last piece of the best segmentation of i characters
-        get, longest, bpe = self.ids.get, self.longest, self.kind == "bpe"
+        out, previous = {}, ""
+        # States of the current path: score, last piece as id, its start, place of the walk, for the best segmentation
+        # of i characters.
+        states = [(0.0, len(self.scores), 0, "")]
+        walk, fits, scores, bpe = self.walk.get, self.fits.get, self.scores, self.kind == "bpe"
         for word in sorted(words):
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
             del states[shared + 1 :]
+            node = states[shared][3]
             for end in range(shared + 1, len(word) + 1):
+                path = node + word[end - 1]
+                node, ending = walk(path) or self._step(path)
                 best = None
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    known = get(piece)
-                    if known is None and end - start > 1:
-                        continue
+                for size, known in ending:
+                    start = end - size
+                    before = states[start]
                     if bpe:
-                        left = states[start][1]
-                        if self._pair(left, piece) if left else self._merges_to_itself(piece):
-                            best = (0.0, piece)
+                        key = (before[1] + OUTSIDE << 24) + known + OUTSIDE
+                        fit = fits(key)
+                        if fit is None:
+                            fit = self._fit(key, word[before[2] : start], word[start:end])
+                        if fit:
+                            best = (0.0, known, start, node)
                             break
                     else:
-                        score = states[start][0] + (self.scores[known] if known is not None else self.unknown)
+                        score = before[0] + (scores[known] if known >= 0 else self.unknown)
                         if best is None or score > best[0]:
-                            best = (score, piece)
+                            best = (score, known, start, node)
                 states.append(best)
             ids, end = [], len(word)
             while end:
-                piece = states[end][1]
-                known = get(piece)
-                if known is not None:
+                _, known, start, _ = states[end]
+                if known >= 0:
                     ids.append(known)
                 else:
-                    ids.extend(self.byte_ids[b] for b in reversed(piece.encode()))
-                end -= len(piece)
+                    ids.extend(self.byte_ids[b] for b in reversed(chr(-known).encode()))
+                end = start
             out[word], previous = ids[::-1], word
         return out
 
-    def _merges_to_itself(self, piece):
-        key = ("", piece)
-        if key not in self.fits:
-            self.fits[key] = len(piece) == 1 or self.merged(piece) == [piece]
-        return self.fits[key]
-
     def words_of(self, text):
         if not text:
             return []
@@ -149,15 +174,26 @@ class Pieces:
     def encode_texts(self, texts):
         """Little-endian 32-bit ids of each text; new words of all texts are encoded together."""
         import struct
-        from collections import ChainMap
 
         lists = [self.words_of(t) for t in texts]
-        new = set().union(*lists) - self.cache.keys() if lists else set()
-        fresh = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in self.encode_words(new).items()}
-        look = ChainMap(self.cache, fresh) if len(self.cache) >= CACHE_WORDS else self.cache
-        if look is self.cache:
-            look.update(fresh)
-        return [b"".join(map(look.__getitem__, words)) for words in lists]
+        look, cuts, parts = self.cache, {}, set()
+        new = set().union(*lists) - look.keys() if lists else set()
+        for word in new:
+            at = len(word.rstrip(self.tail_marks))
+            if 0 < at < len(word) and word[at - 1 : at + 1] not in self.beside:
+                cuts[word] = word[:at], word[at:]
+                parts.update(cuts[word])
+            else:
+                parts.add(word)
+        fresh = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in self.encode_words(parts - look.keys()).items()}
+        before = len(look)
+        look.update(fresh)
+        look.update({word: look[stem] + look[tail] for word, (stem, tail) in cuts.items()})
+        out = [b"".join(map(look.__getitem__, words)) for words in lists]
+        # What was added beyond the bound goes again, the newest first.
+        for _ in range(len(look) - max(before, CACHE_WORDS)):
+            look.popitem()
+        return out
 
     def decode(self, ids):
         text = b"".join(map(self.piece_bytes.__getitem__, ids)).decode("utf-8", "replace")
