@@ -61,6 +61,17 @@ def lower_ascii(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of the table has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def worker_cache(key, make):
     """A value kept while tasks of one kind reuse the Python worker; the next kind of task takes its place."""
     kept = sys.__dict__.setdefault("_eligrid_llm_cache", {})

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eligrid.llm.common import scratch, stored
+from eligrid.llm.common import free_names, scratch, stored
 
 # Rules in order of listing: kind, version, pattern, group whose length counts, least length of that group.
 _ASSIGN = (
@@ -154,9 +154,10 @@ def summary(scanned: DataFrame, rules=RULES) -> DataFrame:
 def masked(docs: DataFrame, rules=RULES) -> DataFrame:
     """The same rows and columns, with MARK in place of every secret and n_chars counted again."""
     columns = docs.columns
-    found = scan(docs, rules=rules).filter(F.size("found") > 0).select(F.col("blob").alias("__blob"), F.col("found").alias("__found")).dropDuplicates(["__blob"])
+    own, blob, spans = free_names(docs, "own_blob", "blob", "found")
+    found = scan(docs, rules=rules).filter(F.size("found") > 0).select(F.col("blob").alias(blob), F.col("found").alias(spans)).dropDuplicates([blob])
     found = stored(found, "secret-spans")
-    keyed = docs.withColumn("__own", F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256))
+    keyed = docs.withColumn(own, F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256))
     text = F.col("text")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -168,9 +169,9 @@ def masked(docs: DataFrame, rules=RULES) -> DataFrame:
             F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
         )
 
-    clean = F.aggregate("__found", state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = keyed.join(found, F.col("__own") == F.col("__blob"), "left").withColumn("text", F.when(F.col("__found").isNull(), text).otherwise(clean))
+    clean = F.aggregate(spans, state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    out = keyed.join(found, F.col(own) == F.col(blob), "left").withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(clean))
     if "n_chars" in columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("__found").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(*columns)

@@ -344,3 +344,22 @@ def test_long_words_have_patterns_of_their_own():
     a, b = "x" * 24 + "a", "x" * 24 + "b"
     assert toxicity.patterns_of(a)[0] != toxicity.patterns_of(b)[0] and toxicity.patterns_of("x" * 24)[0] == "=" + "x" * 24
     assert len(toxicity.patterns_of("y" * 100_000)[0]) < 64
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    from eligrid.llm import stages
+
+    names = ["row_key", "ROW_KEY_", "own_digest", "kept_id", "kept_sha", "own_blob", "blob", "found", "__row", "__found"]
+    text = "the password = hunter22hunter22 stands in a longer text of this kind"
+    values = [(1, text), (2, text.upper()), (3, "nothing to see in a short text at all"), (4, None)]
+    rows = [(i, t, 0, *[f"{n}{i}" for n in names]) for i, t in values]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "n_chars", *names])
+    wanted = {1: {2, 3, 4}, 2: {1, 3, 4}, 3: {1, 2, 3, 4}}
+    for n, stage in enumerate((stages.exact_dedup, stages.ngram_jaccard, stages.secrets), 1):
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns
+        got = {r[0]: r for r in out.collect()}
+        assert set(got) == wanted[n]
+        for i, r in got.items():
+            assert list(r)[3:] == [f"{name}{i}" for name in names]
+    assert got[1]["text"].count("[SECRET]") == 1 and got[3]["text"] == values[2][1]
