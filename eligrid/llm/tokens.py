@@ -2,7 +2,8 @@
 
 Both tokenizers cut a text before a blank that is followed by a visible character, whatever stands around, so the
 parts between such cuts can be encoded one by one and joined. Parts seen before come from a bounded cache kept by
-the Python worker; the library encodes the others. Any other white space stays inside its part.
+the Python worker; the library encodes the others. Any other white space stays inside its part. A part of Latin
+letters alone is one word to the tokenizer's own splitting, so the library's merges are called on it directly.
 """
 
 from __future__ import annotations
@@ -24,12 +25,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_blanks = keeps_blanks
         self.cut = re.compile(r" (?=\S)")
-        encode = self.tokenizer.encode
+        encode, merge = self.tokenizer.encode, self.tokenizer.model.tokenize
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+
+        class Shown(dict):
+            """Letter -> how the splitting shows it to the merges."""
+
+            def __missing__(self, code):
+                self[code] = split("a" + chr(code))[0][0][1:]
+                return self[code]
+
+        shown = Shown()
+
+        def plain(part):
+            # Composed letters up to here are as stable in every Unicode version as ASCII.
+            return part.isalpha() and (part.isascii() or max(part) < "\u0250")
 
         class Cache(dict):
             def __init__(self, lead):
                 super().__init__()
                 self.lead = lead
+                # What the splitting puts before a word; None where it does more than that.
+                found = [[x for x, _ in split(lead + probe)] for probe in ("a", "qzx")]
+                ends = all(len(x) == 1 and x[0].endswith(probe) for x, probe in zip(found, ("a", "qzx")))
+                self.mark = found[0][0][:-1] if ends and found[0][0][:-1] == found[1][0][:-3] else None
 
             def __missing__(self, part):
                 import struct
@@ -37,9 +56,13 @@ class Encoder:
                 if part[-1:] in (".", ",") and part[-2:-1].isalpha() and part[-2].islower():
                     # A letter and a mark after it are never one token.
                     return self[part[:-1]] + marks[part[-1]]
-                if folds and part.isascii() and part.isalpha() and (low := part.lower()) != part:
+                low = part.lower() if folds else part
+                if low != part and plain(low):
                     return self[low]
-                ids = encode(self.lead + part, add_special_tokens=False).ids
+                if self.mark is not None and low == part and plain(part):
+                    ids = [x.id for x in merge(self.mark + (part if part.isascii() else part.translate(shown)))]
+                else:
+                    ids = encode(self.lead + part, add_special_tokens=False).ids
                 value = struct.pack(f"<{len(ids)}I", *ids)
                 if len(self) < CACHE_WORDS and len(part) <= 64:
                     self[part] = value
