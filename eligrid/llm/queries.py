@@ -139,9 +139,9 @@ def op8(spark, folder):
 
 @query("op9_harmonic_packing")
 def op9(spark, folder):
-    from eligrid.llm.harmonic_pack import pack, pieces
+    from eligrid.llm.harmonic_pack import pack_documents, pieces
 
-    return pieces(pack(load(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json")))
+    return pieces(pack_documents(load(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json")))
 
 
 # Conversation -7 carries every control string of the template.

@@ -50,4 +50,4 @@ def secrets(spark, docs, sf_dir):
 
 
 def packing(spark, docs, sf_dir):
-    return harmonic_pack.pieces(harmonic_pack.pack(docs, vocabulary_file("word_bpe_49k.json")))
+    return harmonic_pack.pieces(harmonic_pack.pack_documents(docs, vocabulary_file("word_bpe_49k.json")))
