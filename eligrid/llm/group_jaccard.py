@@ -196,7 +196,7 @@ def bitmap_of(values):
 
 POSTINGS = (
     "owner int, kind string, tokens binary, groups binary, sizes binary, places binary, "
-    "docs array<struct<doc_id:bigint,grp:bigint,check:bigint,size:int>>, "
+    "docs array<struct<doc_id:bigint,text_hash:bigint,grp:bigint,check:bigint,size:int>>, "
     "often array<struct<token:bigint,grp:bigint,size:int,place:int,bits:array<bigint>>>"
 )
 
@@ -217,7 +217,7 @@ def _postings(words, percent, bits, owners, frequent):
             [("owner", pa.int32()), ("kind", pa.string())]
             + [(n, pa.binary()) for n in ("tokens", "groups", "sizes", "places")]
             + [
-                ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("grp", pa.int64()), ("check", pa.int64()), ("size", pa.int32())]))),
+                ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("grp", pa.int64()), ("check", pa.int64()), ("size", pa.int32())]))),
                 ("often", pa.list_(pa.struct([("token", pa.int64()), ("grp", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("bits", pa.list_(pa.int64()))]))),
             ]
         )
@@ -249,11 +249,11 @@ def _postings(words, percent, bits, owners, frequent):
             return pa.RecordBatch.from_pylist(rows, schema=schema)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc_id, values in zip(ids, make.sets(x.as_py() for x in batch.column(1).cast(pa.binary()))):
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for doc_id, text_hash, values in zip(ids, hashes, make.sets(x.as_py() for x in batch.column(1).cast(pa.binary()))):
                 n = len(values)
                 group, check = digest_of(values)
-                docs.append({"doc_id": doc_id, "grp": group, "check": check, "size": n})
+                docs.append({"doc_id": doc_id, "text_hash": text_hash, "grp": group, "check": check, "size": n})
                 if n:
                     want = prefix_length(n, percent)
                     cut = values >> np.uint64(64 - bits)
@@ -279,7 +279,7 @@ def _postings(words, percent, bits, owners, frequent):
 
 
 FOUND = (
-    "kind string, a long, b long, docs array<struct<doc_id:bigint,grp:bigint,check:bigint,size:int>>, "
+    "kind string, a long, b long, docs array<struct<doc_id:bigint,text_hash:bigint,grp:bigint,check:bigint,size:int>>, "
     "often array<struct<token:bigint,grp:bigint,size:int,place:int,bits:array<bigint>>>"
 )
 
@@ -379,6 +379,7 @@ def jaccard_groups(
 
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).collect()[0]["b"]
     tokens = max(1, size // 5)
     bits = min(63, 16 + math.ceil(math.log2(tokens + 1)))
@@ -437,9 +438,14 @@ def jaccard_groups(
     pairs = stored(pairs, "jaccard-pairs")
     # Sets of groups that any pair or frequent key names, from one document each.
     named = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).union(often.select("grp")).distinct()
-    firsts = profiles.groupBy("grp").agg(F.min("doc_id").alias("first_id")).join(named, "grp").select("grp", "first_id")
-    texts = docs.join(broadcast_if_small(stored(firsts, "jaccard-firsts"), written=True), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("grp", "text")
-    sets = stored(texts.mapInArrow(_sets(words), "grp long, shingles binary"), "jaccard-sets", BATCH_ROWS)
+    # The text's hash goes with the id, so many rows of one id, or of none, do not all meet.
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    firsts = profiles.groupBy("grp").agg(first).join(named, "grp").select("grp", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    same = (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = docs.join(broadcast_if_small(stored(firsts, "jaccard-firsts"), written=True), same).select("grp", "text")
+    # Rows that repeat id and text give one set.
+    found_sets = texts.mapInArrow(_sets(words), "grp long, shingles binary").dropDuplicates(["grp"])
+    sets = stored(found_sets, "jaccard-sets", BATCH_ROWS)
 
     def verify(candidates):
         left = sets.select(F.col("grp").alias("a"), F.col("shingles").alias("left"))
