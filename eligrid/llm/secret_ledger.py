@@ -127,6 +127,8 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules=RULES, id_col: s
         now.filter(F.size("spans") > 0)
         .withColumn("place", current)
         .filter("place IS NOT NULL")
+        # Two scans at once may both append a pair.
+        .dropDuplicates(["blob", "place"])
         .groupBy("blob")
         .agg(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("place").alias("place"), s["end"].alias("end")))).alias("lists"))
         .select("blob", F.array_sort(F.flatten("lists")).alias("found"))
@@ -155,21 +157,29 @@ def masked(docs: DataFrame, rules=RULES) -> DataFrame:
     """The same rows and columns, with MARK in place of every secret and n_chars counted again."""
     columns = docs.columns
     own, blob, spans = free_names(docs, "own_blob", "blob", "found")
-    found = scan(docs, rules=rules).filter(F.size("found") > 0).select(F.col("blob").alias(blob), F.col("found").alias(spans)).dropDuplicates([blob])
-    found = stored(found, "secret-spans")
+    found = scan(docs, rules=rules).filter(F.size("found") > 0).select("blob", F.explode("found").alias("s")).distinct()
+    # A span begins a mark of its own unless an earlier one reaches beyond its start.
+    before = Window.partitionBy("blob").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    each = found.select("blob", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.coalesce(F.max("s.end").over(before), F.lit(0)).alias("at"))
+    cuts = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("at"), F.struct("at", "start"))))
+    found = each.groupBy("blob").agg(F.struct(cuts.alias("cuts"), F.max("end").alias("last")).alias("found"))
+    found = stored(found.select(F.col("blob").alias(blob), F.col("found").alias(spans)), "secret-spans")
     keyed = docs.withColumn(own, F.sha2(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"), 256))
     text = F.col("text")
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, span):
-        fresh = span["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, span["start"] - acc["at"]), F.lit(MARK))
-        return F.struct(
-            F.greatest(acc["at"], span["end"]).alias("at"),
-            F.when(fresh, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
-        )
 
-    clean = F.aggregate(spans, state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    def rebuilt(wide):
+        """Four bytes a character, so that a piece is cut without walking the text from its start."""
+
+        def piece(start, length):
+            # The decoder takes one byte order mark off the front; with this one it leaves the text's own.
+            return F.decode(F.concat(F.lit(b"\x00\x00\xfe\xff"), F.substring(wide, start * 4 + 1, length * 4)), "UTF-32")
+
+        kept = F.transform(F.col(spans)["cuts"], lambda c: piece(c["at"], c["start"] - c["at"]))
+        tail = piece(F.col(spans)["last"], F.octet_length(wide))
+        return F.array_join(F.concat(kept, F.array(tail)), MARK)
+
+    # The array binds the encoded text once for all pieces.
+    clean = F.transform(F.array(F.encode(text.cast("string"), "UTF-32")), rebuilt)[0]
     out = keyed.join(found, F.col(own) == F.col(blob), "left").withColumn("text", F.when(F.col(spans).isNull(), text).otherwise(clean))
     if "n_chars" in columns:
         kind = dict(docs.dtypes)["n_chars"]
