@@ -12,7 +12,8 @@ result. Without structure in the data no bound can prune and the work is that of
 other; memory stays that of two blocks.
 
 Defined results: null labels, null vectors, vectors with null or non-finite components and zero vectors link with
-nothing and are their own component; vectors of one label but different length do not link. Null vec_ids take part,
+nothing and are their own component; very small and very large components count like others, as every vector is
+scaled by a power of two first; vectors of one label but different length do not link. Null vec_ids take part,
 a component's id is the smallest that is not null. Repeated vec_ids are separate rows. An empty table gives no rows.
 """
 
@@ -32,10 +33,18 @@ PIVOTS = 256
 SAMPLE_VALUES = 1 << 20
 
 
-def unit(vectors):
+def scaled(vectors):
+    """Vectors times a power of two each, so that squares neither underflow nor overflow; cosines stay bit for bit."""
     import numpy as np
 
     x = np.asarray(vectors, np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def unit(vectors):
+    import numpy as np
+
+    x = scaled(vectors)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -131,6 +140,7 @@ def _block_pair(cosine):
         side, cls, copies, raw = side[order], cls[order], copies[order], raw[order]
         n = int((side == 0).sum())
         same = n == len(side)
+        raw = scaled(raw)
         x = unit(raw)
         pairs = dual_pairs(x[:n], x[:n] if same else x[n:], cosine, same)
         i, j = pairs[:, 0], pairs[:, 1] + (0 if same else n)
