@@ -10,8 +10,8 @@ Of records with equal payloads of at least `least_bytes`, the one with the small
 others revisit it (identical-payload-digest, no payload stored); smaller payloads are always responses.
 
 Defined results: null html is an empty payload; null urls leave the target header out; null page_ids come first, are
-never revisited while another page_id has the payload, and rows that repeat page_id and payload share their type. An
-empty table gives no files and no rows. Other columns are ignored.
+never revisited while another page_id has the payload, and rows that repeat page_id and payload share their type but
+not their record id, which counts them in the order of their urls; revisits refer to the first. An empty table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,8 +71,9 @@ def _writer(folder, roll_bytes):
             pack = zlib.compressobj(6, zlib.DEFLATED, 31)
             return pack.compress(data) + pack.flush()
 
-        def name_of(page_id, digest):
-            return "<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}:{digest}")) + ">"
+        def name_of(page_id, digest, repeat=0):
+            key = f"{page_id}:{digest}:{repeat}" if repeat else f"{page_id}:{digest}"
+            return "<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_OID, key)) + ">"
 
         def record(kind, headers, block):
             lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers if v is not None)]
@@ -102,7 +103,7 @@ def _writer(folder, roll_bytes):
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["shard", "seq", "file", "n_records", "n_bytes", "sha256"])
 
-        revisit = (None, None, None)
+        revisit, same, repeat = (None, None, None), None, 0
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("shard", "page_id", "digest", "mark", "url", "size", "refers_to", "payload")]
             for *values, payload in zip(*columns):
@@ -111,6 +112,8 @@ def _writer(folder, roll_bytes):
                     revisit = (page_id, digest, refers)
                     continue
                 refers = revisit[2] if revisit[:2] == (page_id, digest) else None
+                repeat = repeat + 1 if same == (page_id, digest) else 0
+                same = (page_id, digest)
                 if state["out"] and (state["shard"] != shard or state["bytes"] >= roll_bytes):
                     yield finish()
                 if not state["out"]:
@@ -118,7 +121,7 @@ def _writer(folder, roll_bytes):
                 target = None if url is None else "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url)
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
                 headers = [
-                    ("WARC-Record-ID", name_of(page_id, digest)),
+                    ("WARC-Record-ID", name_of(page_id, digest, repeat)),
                     ("WARC-Date", DATE),
                     ("WARC-Target-URI", target),
                     ("Content-Type", "application/http; msgtype=response"),
