@@ -83,6 +83,7 @@ def worker_cache(key, make):
 
 def free_cache():
     """Called by tasks that keep nothing, so that they do not run beside what an earlier kind of task left behind."""
+    import ctypes
     import gc
 
     import pyarrow as pa
@@ -91,8 +92,10 @@ def free_cache():
     if kept:
         kept.clear()
         gc.collect()
-    # Arrow keeps freed buffers for itself otherwise.
+    # Arrow and the C library keep freed memory for themselves otherwise.
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
