@@ -11,7 +11,8 @@ others revisit it (identical-payload-digest, no payload stored); smaller payload
 
 Defined results: null html is an empty payload; null urls leave the target header out; null page_ids come first, are
 never revisited while another page_id has the payload, and rows that repeat page_id and payload share their type but
-not their record id, which counts them in the order of their urls; revisits refer to the first. An empty table gives no files and no rows. Other columns are ignored.
+not their record id, which counts them in the order of their urls; revisits refer to the first. An empty
+table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
