@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eligrid import model
 from eligrid.functions import patterns as P
-from eligrid.operators.mining import found
+from eligrid.operators.mining import analysed, found
 
 # ---- fixed values: severity to impact sentence -------------------------------
 IMPACT = {
@@ -51,6 +51,11 @@ def detect(text: Column) -> Column:
     )
 
 
+def detected(rows: DataFrame, text: str = "sentence") -> DataFrame:
+    """Add `detected`, the codes found in each row's text."""
+    return analysed(rows, {"detected": detect(F.col(text))}, text)
+
+
 def describe(code: Column, text: Column) -> Column:
     name = names()[code]
     snippet = F.translate(F.substring(text, 1, 200), "\n", " ")
@@ -63,7 +68,8 @@ def describe(code: Column, text: Column) -> Column:
 def flags(rules: DataFrame, text: str = "sentence") -> DataFrame:
     """One row per detected flag of a rule's text; the id is a digest, so replays agree."""
     return (
-        rules.select("scheme_id", "rule_id", "field", F.col(text).alias("text"), F.explode(detect(F.col(text))).alias("code"))
+        detected(rules.select("scheme_id", "rule_id", "field", F.col(text).alias("text")), "text")
+        .select("scheme_id", "rule_id", "field", "text", F.explode("detected").alias("code"))
         .withColumns(
             {
                 "ambiguity_id": F.concat(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eligrid.functions.patterns import OTHER_FIELD
+from eligrid.session import broadcast_if_small
 
 MIN_CONFIDENCE = 0.60
 
@@ -56,7 +57,7 @@ def sanitise(classified: DataFrame) -> DataFrame:
 def classify(rules: DataFrame, classified: DataFrame) -> DataFrame:
     """Apply a classification where the field is still open and confidence suffices."""
     types = F.create_map(*[F.lit(x) for kv in CONDITION_TYPES.items() for x in kv])
-    joined = rules.withColumn("key", cache_key(F.col("sentence"))).join(sanitise(classified), "key", "left")
+    joined = rules.withColumn("key", cache_key(F.col("sentence"))).join(broadcast_if_small(sanitise(classified)), "key", "left")
     open_rule = (F.col("field") == OTHER_FIELD) & F.col("c_confidence").isNotNull()
     enough = F.col("c_confidence") >= MIN_CONFIDENCE
     kept_other = (F.col("c_field") == OTHER_FIELD) & ~F.col("c_procedural")

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from eligrid import model
 from eligrid.functions import patterns as P
+from eligrid.session import checkpoint
+
+# Bytes of distinct texts up to which their analysis is broadcast.
+TEXT_BYTES = 32 << 20
 
 # ---- fixed values: level names to state codes, field to condition type ------
 LEVEL_CODES = {
@@ -54,6 +58,27 @@ def sentences(texts: DataFrame, column: str = "eligibility") -> DataFrame:
     ).drop("pos")
 
 
+def analysed(rows: DataFrame, columns: dict[str, Column], text: str = "sentence", limit: int = TEXT_BYTES) -> DataFrame:
+    """Add columns that follow from a text alone, worked out once per distinct text.
+
+    Prose repeats its sentences, so the patterns run over the distinct ones and rows look their results up in a
+    broadcast. Where the distinct texts are larger than the limit every row is worked out in place, with the same result.
+    """
+
+    def added(df: DataFrame) -> DataFrame:
+        for name, value in columns.items():
+            df = df.withColumn(name, value)
+        return df
+
+    texts = checkpoint(rows.select(F.col(text).alias("_text")).distinct())
+    if (texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) > limit:
+        return added(rows)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = texts.repartition(parts, "_text").withColumn(text, F.col("_text")).transform(added).select("_text", *columns)
+    kept = rows.drop(*columns)
+    return kept.join(F.broadcast(checkpoint(own)), F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def rule_type(text: Column) -> Column:
     t = F.lower(text)
     return (
@@ -230,36 +255,22 @@ def extract_rules(texts: DataFrame) -> DataFrame:
     `sentence` is the whole sentence and what later steps read; quote and display text are shortened for show only.
     """
     blank = F.coalesce(strip(F.col("eligibility")), F.lit("")) == ""
-    rows = sentences(texts.where(~blank)).withColumns(
-        {
-            "rule_type": rule_type(F.col("sentence")),
-            "field": canonical_field(F.col("sentence")),
-            "found_op": operator(F.col("sentence")),
-            "flags": parser_flags(F.col("sentence")),
-        }
-    )
-    op, val = F.col("found_op.op"), F.col("found_op.val")
-    rows = rows.withColumns(
-        {
-            "operator": op,
-            "value": F.when(op != "BETWEEN", val),
-            "value_min": F.when(op == "BETWEEN", val),
-            "value_max": F.when(op == "BETWEEN", F.col("found_op.val_max")),
-            "values": F.when(op == "IN", in_values(F.col("sentence"), F.col("field"))).otherwise(
-                F.array().cast("array<string>")
-            ),
-            "confidence": confidence(F.col("sentence"), op, val),
-            "condition_type": condition_type(F.col("field")),
-            "source_quote": F.substring("sentence", 1, 200),
-            "display_text": F.substring("sentence", 1, 100),
-            "notes": F.lit(None).cast("string"),
-        }
-    ).withColumn(
-        "condition",
-        condition_text(
-            F.col("field"), F.col("operator"), F.col("value"), F.col("value_min"), F.col("value_max"), F.col("sentence")
-        ),
-    )
+    text, op, val = F.col("sentence"), F.col("found_op.op"), F.col("found_op.val")
+    # In this order: later ones read earlier ones.
+    parsed = {
+        "rule_type": rule_type(text), "field": canonical_field(text), "found_op": operator(text), "flags": parser_flags(text),
+        "operator": op,
+        "value": F.when(op != "BETWEEN", val),
+        "value_min": F.when(op == "BETWEEN", val),
+        "value_max": F.when(op == "BETWEEN", F.col("found_op.val_max")),
+        "values": F.when(op == "IN", in_values(text, F.col("field"))).otherwise(F.array().cast("array<string>")),
+        "confidence": confidence(text, op, val),
+        "condition_type": condition_type(F.col("field")),
+        "source_quote": F.substring("sentence", 1, 200),
+        "display_text": F.substring("sentence", 1, 100),
+        "condition": condition_text(F.col("field"), F.col("operator"), F.col("value"), F.col("value_min"), F.col("value_max"), text),
+    }
+    rows = analysed(sentences(texts.where(~blank)), parsed).withColumn("notes", F.lit(None).cast("string"))
     none = F.lit(None).cast("bigint")
     flag_type = rows.schema["flags"].dataType
     placeholder = texts.where(blank).withColumns(

@@ -143,19 +143,20 @@ def _expr(name: str, sql_expr: str, column: str, build):
     @query(name, sql(f"SELECT slug, counter, {sql_expr} AS {column} FROM parsed"))
     def run(v: Views) -> DataFrame:
         rows = mining.sentences(v.clauses().where(F.trim("eligibility") != ""))
-        return rows.select("slug", F.col("counter").cast("long").alias("counter"), build(F.col("sentence")).alias(column))
+        made = mining.analysed(rows, {column: build(F.col("sentence"))})
+        return made.select("slug", F.col("counter").cast("long").alias("counter"), column)
 
 
 _expr("txt_rule_type", "rule_type", "rule_type", mining.rule_type)
 _expr("txt_field", "field", "field", mining.canonical_field)
-_expr("txt_condition_type", CONDITION_TYPE, "condition_type", lambda s: mining.condition_type(mining.canonical_field(s)))
+_expr("txt_condition_type", CONDITION_TYPE, "condition_type", lambda s: F.transform(F.array(mining.canonical_field(s)), mining.condition_type)[0])
 _expr("txt_currency", "money", "amount", mining.currency)
 
 
 @query("txt_operator", sql("SELECT slug, counter, op, val, val_max FROM parsed"))
 def txt_operator(v: Views) -> DataFrame:
     rows = mining.sentences(v.clauses().where(F.trim("eligibility") != ""))
-    found = rows.withColumn("o", mining.operator(F.col("sentence")))
+    found = mining.analysed(rows, {"o": mining.operator(F.col("sentence"))})
     return found.select("slug", F.col("counter").cast("long").alias("counter"), "o.op", "o.val", "o.val_max")
 
 
@@ -173,7 +174,7 @@ _NUMS = f"list_transform(regexp_extract_all(sentence, '{P.NUMBER}'), lambda x: r
 )
 def txt_numeric_range(v: Views) -> DataFrame:
     rows = mining.sentences(v.clauses().where(F.trim("eligibility") != ""))
-    got = rows.withColumn("r", mining.numeric_range(F.col("sentence")))
+    got = mining.analysed(rows, {"r": mining.numeric_range(F.col("sentence"))})
     return got.select("slug", F.col("counter").cast("long").alias("counter"), "r.lo", "r.hi")
 
 
@@ -313,7 +314,7 @@ _TEXT_CODES = TAXONOMY_CODES.replace("(sentence,", "(eligibility,")
 )
 def amb_dedupe(v: Views) -> DataFrame:
     """Rule-level codes plus codes only the whole text shows, per scheme."""
-    of_rules = v.mined().select("slug", F.explode(ambiguity.detect(F.col("sentence"))).alias("code"), F.lit(True).alias("from_rule"))
+    of_rules = ambiguity.detected(v.mined()).select("slug", F.explode("detected").alias("code"), F.lit(True).alias("from_rule"))
     of_text = v.clauses().select("slug", F.explode(ambiguity.detect(F.col("eligibility"))).alias("code"), F.lit(False).alias("from_rule"))
     return of_rules.unionByName(of_text).groupBy("slug", "code").agg(F.bool_or("from_rule").alias("from_rule"))
 
@@ -400,8 +401,8 @@ _OWN = "list_transform(codes, lambda c: c)"
 )
 def enrich_flags(v: Views) -> DataFrame:
     own = F.transform("flags", lambda f: f["code"])
-    merged = enrich.add_codes(own, ambiguity.detect(F.col("sentence")))
-    return v.mined().select(
+    merged = enrich.add_codes(own, F.col("detected"))
+    return ambiguity.detected(v.mined()).select(
         "rule_id", F.array_join(merged.cast("array<string>"), ",").alias("codes"),
         (F.size(merged) - F.size("flags")).cast("long").alias("added"),
     )
@@ -423,9 +424,9 @@ BATCHED = {"batched": "SELECT slug, CAST(floor((row_number() OVER (ORDER BY posi
 )
 def enrich_stats(v: Views) -> DataFrame:
     own = F.transform("flags", lambda f: f["code"])
-    added = F.size(F.array_except(ambiguity.detect(F.col("sentence")), own))
+    added = F.size(F.array_except("detected", own))
     per_scheme = (
-        enrich.classify(v.mined(), _classified(v))
+        enrich.classify(ambiguity.detected(v.mined()), _classified(v))
         .withColumn("added", added)
         .groupBy("slug")
         .agg(
