@@ -21,6 +21,12 @@ SALTS = 64
 NO_STATE = "*"
 
 
+def placed(profile_cells: DataFrame, states: DataFrame) -> DataFrame:
+    """Profiles of a state that the rule base does not know go to the central rules."""
+    known = F.broadcast(states.withColumn("_known", F.lit(True)))  # a row per state
+    return profile_cells.join(known, "state", "left").withColumn("state", F.when(F.col("_known"), F.col("state")).otherwise(F.lit(NO_STATE))).drop("_known")
+
+
 def meet(profile_cells: DataFrame, nested: DataFrame, limit: int = BROADCAST_BYTES, keys: tuple[str, ...] = ("state",)) -> DataFrame:
     """Join profiles to the schemes of their state.
 
@@ -29,11 +35,10 @@ def meet(profile_cells: DataFrame, nested: DataFrame, limit: int = BROADCAST_BYT
     profiles spread over the salts and the rule base is replicated per salt, so one
     crowded state does not land in one task.
     """
-    known = F.broadcast(nested.select("state", F.lit(True).alias("_known")).distinct())  # a row per state
-    placed = profile_cells.join(known, "state", "left").withColumn("state", F.when(F.col("_known"), F.col("state")).otherwise(F.lit(NO_STATE))).drop("_known")
+    found = placed(profile_cells, nested.select("state").distinct())
     if within_limit(nested, limit):
-        return placed.join(F.broadcast(nested), list(keys))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)))
+        return found.join(F.broadcast(nested), list(keys))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("profile_id"), F.lit(SALTS)))
     spread = nested.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(spread, [*keys, "salt"]).drop("salt")
 
@@ -59,6 +64,24 @@ def outcome_cents(o: Column) -> Column:
     )
 
 
+def entry(r: Column, idx: Column, result: Column) -> Column:
+    """Evaluation entry of a rule: its place, its outcome and what the counters read of it."""
+    return F.struct(
+        idx.alias("idx"),
+        r["phase"].alias("phase"),
+        r["ord"].alias("ord"),
+        result.alias("outcome"),
+        r["numeric_op"].alias("numeric_op"),
+        r["own_critical"].alias("own_critical"),
+        r["audit_cents"].alias("audit_cents"),
+        (
+            r["high_notes"] * model.HIGH_PENALTY_CENTS
+            + r["medium_notes"] * model.MEDIUM_PENALTY_CENTS
+        ).alias("penalty_cents"),
+        r["critical_notes"].alias("critical_notes"),
+    )
+
+
 def judge(joined: DataFrame) -> DataFrame:
     """Outcome of every rule of every scheme, as the array `all_evals`.
 
@@ -93,20 +116,7 @@ def judge(joined: DataFrame) -> DataFrame:
 
     evals = F.transform(
         seen,
-        lambda e: F.struct(
-            e["idx"].alias("idx"),
-            e["r"]["phase"].alias("phase"),
-            e["r"]["ord"].alias("ord"),
-            outcome_of(e).alias("outcome"),
-            e["r"]["numeric_op"].alias("numeric_op"),
-            e["r"]["own_critical"].alias("own_critical"),
-            e["r"]["audit_cents"].alias("audit_cents"),
-            (
-                e["r"]["high_notes"] * model.HIGH_PENALTY_CENTS
-                + e["r"]["medium_notes"] * model.MEDIUM_PENALTY_CENTS
-            ).alias("penalty_cents"),
-            e["r"]["critical_notes"].alias("critical_notes"),
-        ),
+        lambda e: entry(e["r"], e["idx"], outcome_of(e)),
     )
     return settled(joined, {"all_evals": evals})
 

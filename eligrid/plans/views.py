@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eligrid.operators import decision, mining, predicate_index, profiles, rulebase
 from eligrid.plans import derive
-from eligrid.session import checkpoint
+from eligrid.session import checkpoint, within_limit
 
 
 class Views:
@@ -20,6 +20,7 @@ class Views:
         self.folder = folder.rstrip("/")
         self._kept: dict[str, DataFrame] = {}
         self._plans: dict[str, DataFrame] = {}
+        self._built: dict[str, predicate_index.Index | None] = {}
         self._grown: Views | None = None
 
     def _keep(self, name: str, build) -> DataFrame:
@@ -136,19 +137,28 @@ class Views:
             self._plans["mined"] = mining.extract_rules(self.clauses())
         return self._plans["mined"]
 
+    def index(self) -> predicate_index.Index | None:
+        """The index of the rule base's predicates; built once, None where it would be too large."""
+        if "index" not in self._built:
+            self._built["index"] = predicate_index.build(self.nested_rules())
+        return self._built["index"]
+
     def determinations(self) -> DataFrame:
         """Lazy; the plan is built once per folder, the data never kept."""
         if "determinations" not in self._plans:
-            self._plans["determinations"] = decision.determinations(
-                self.profile_cells(), self.nested_rules()
-            )
+            nested, index = self.nested_rules(), self.index()
+            if index is None or not within_limit(nested):
+                self._plans["determinations"] = decision.determinations(self.profile_cells(), nested)
+            else:
+                placed = decision.placed(self.profile_cells(), index.states)
+                self._plans["determinations"] = predicate_index.whole_determinations(placed, nested, index)
         return self._plans["determinations"]
 
 
     def decided(self) -> DataFrame:
         """Statuses, counters and scores of all pairs, over the predicate index; lazy, like `determinations`."""
         if "decided" not in self._plans:
-            self._plans["decided"] = predicate_index.determinations(self.profile_cells(), self.nested_rules())
+            self._plans["decided"] = predicate_index.determinations(self.profile_cells(), self.nested_rules(), index=self.index())
         return self._plans["decided"]
 
     def grown(self) -> "Views":
