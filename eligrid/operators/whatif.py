@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from eligrid import model
 from eligrid.functions import cells
 from eligrid.functions import vocab as V
-from eligrid.operators import decision, profiles
+from eligrid.operators import decision, predicate_index, profiles
+from eligrid.session import checkpoint, within_limit
 
 BASE = "current"
 
@@ -40,14 +41,22 @@ def evaluate(profile_cells: DataFrame, nested: DataFrame, changes: dict) -> Data
     slots = sorted({model.FIELD_SLOT[field] for field, _, _ in changes.values()})
     touched = F.array_intersect("required_slots", F.array(*[F.lit(s) for s in slots]))
     per_change = nested.withColumn("changed", F.explode(F.concat(F.array(F.lit(-1)), touched)))
-    return decision.determinations(scenarios(profile_cells, changes), per_change, keys=("state", "changed")).drop("changed")
+    rows = scenarios(profile_cells, changes)
+    # The index knows one key per row: state and changed field together.
+    key = F.concat_ws("|", "state", "changed")
+    keyed = checkpoint(per_change.withColumn("state", key).drop("changed"))
+    index = predicate_index.build(keyed)
+    if index is None or not within_limit(keyed):
+        return decision.determinations(rows, per_change, keys=("state", "changed")).drop("changed")
+    placed = decision.placed(rows, nested.select("state").distinct()).withColumn("state", key)
+    found = predicate_index.whole_determinations(placed, keyed, index, "scenario")
+    return found.withColumn("state", F.substring_index("state", "|", 1))
 
 
 def aligned(evaluated: DataFrame, names: list[str]) -> DataFrame:
     """Current and hypothetical status side by side.
 
-    Scenario rows of a profile sit in one partition, so aligning is a conditional
-    aggregation without a join or a further shuffle.
+    A conditional aggregation without a join; only statuses are shuffled.
     """
     pick = lambda name: F.max(F.when(F.col("scenario") == name, F.col("status")))
     wide = evaluated.groupBy("profile_id", "scheme_id").agg(
