@@ -30,9 +30,9 @@ from eligrid.llm.common import worker_cache
 
 BLANK = "▁"
 # Words and neighbour checks that a worker keeps, rows whose new words are encoded together.
-CACHE_WORDS = 250_000
-CACHE_PAIRS = 600_000
-CACHE_STEPS = 200_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 300_000
+CACHE_STEPS = 100_000
 CHUNK_ROWS = 1024
 # Added to ids in the keys of neighbour checks; characters outside the vocabulary count as negative ids.
 OUTSIDE = 0x110000
@@ -96,7 +96,7 @@ class Pieces:
         if path[-1] not in self.ids:
             ending.append((1, -ord(path[-1])))
         if len(self.walk) < CACHE_STEPS:
-            self.walk[path] = node, ending
+            self.walk[path] = node, tuple(ending)
         return node, ending
 
     def _fit(self, key, left, right):
