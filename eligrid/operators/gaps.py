@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from eligrid import model
 from eligrid.functions import cells
-from eligrid.operators import decision, profiles
+from eligrid.operators import decision, predicate_index, profiles
+from eligrid.session import broadcast_if_small
+
+# Statuses without a gap.
+MET = ("ELIGIBLE", "ELIGIBLE_WITH_CAVEATS")
 
 
 def required_text(r: Column) -> Column:
@@ -103,6 +107,25 @@ def failed_rules(gapped: DataFrame) -> DataFrame:
     )
 
 
+def coded_failed_rules(coded: DataFrame, nested: DataFrame) -> DataFrame:
+    """The rows of `failed_rules` from codes; coded: with cells and extras. What a rule asks for is put in words once per rule."""
+    rule = F.transform("rules", lambda r: F.struct(r.alias("r"), required_text(r).alias("required_text")))
+    worded = nested.select("state", "scheme_id", rule.alias("worded"))
+    missed = coded.where(~F.col("status").isin(*MET)).select("profile_id", "state", "scheme_id", "codes", "cells", "extras")
+    left = F.filter(F.transform("worded", lambda w, i: F.struct(w.alias("w"), F.get("codes", i).alias("code"))), lambda e: e["code"].isin(predicate_index.FAILED_CODE, predicate_index.OPEN_CODE))
+    rows = missed.join(F.broadcast(worded), ["state", "scheme_id"]).select("profile_id", "scheme_id", "cells", "extras", F.inline(left))
+    seen = rows.select(
+        "profile_id", "scheme_id", "w", F.when(F.col("code") == predicate_index.OPEN_CODE, "UNDETERMINED").otherwise("FAIL").alias("outcome"),
+        profiles.lookup(F.col("cells"), F.col("extras"), F.col("w.r.slot"), F.col("w.r.field")).alias("u"),
+    )
+    return seen.select(
+        "profile_id", "scheme_id", "w.r.rule_id", "w.r.field", "w.r.operator", F.coalesce("w.r.display_text", F.lit("")).alias("display_text"),
+        F.coalesce("u.s", F.lit("None")).alias("user_text"), "w.required_text", classify(F.col("w.r"), F.col("u"), F.col("outcome")).alias("gap"),
+    ).select(
+        "profile_id", "scheme_id", "rule_id", "field", "operator", "display_text", "user_text", "required_text", "gap.gap_type", "gap.magnitude"
+    )
+
+
 def unmet_prerequisites(dets: DataFrame) -> DataFrame:
     unmet = F.filter("evals", lambda e: (e["phase"] == "B") & ~decision.passed(e["outcome"]))
     return dets.select(
@@ -134,6 +157,28 @@ def ambiguity_notes(dets: DataFrame) -> DataFrame:
     )
 
 
+def coded_notes(coded: DataFrame, nested: DataFrame) -> DataFrame:
+    """The rows of `ambiguity_notes` from codes: the rules that carry a note are listed once per scheme and note."""
+    rules = nested.select("state", "scheme_id", F.posexplode("rules").alias("idx", "r"))
+    carried = rules.select("state", "scheme_id", F.struct("idx", "r.rule_id").alias("rule"), F.explode("r.notes").alias("ambiguity_id"))
+    listed = carried.groupBy("state", "scheme_id", "ambiguity_id").agg(F.array_sort(F.collect_set("rule")).alias("carriers"))
+    notes = listed.groupBy("state", "scheme_id").agg(F.collect_list(F.struct("ambiguity_id", "carriers")).alias("noted"))
+    missed = coded.where(~F.col("status").isin(*MET)).select("profile_id", "state", "scheme_id", "codes")
+    first = F.transform(
+        "noted",
+        lambda n: F.struct(
+            n["ambiguity_id"].alias("ambiguity_id"),
+            F.get(F.filter(n["carriers"], lambda c: F.get("codes", c["idx"]) >= predicate_index.COUNTED), F.lit(0))["rule_id"].alias("affects_rule"),
+        ),
+    )
+    return (
+        missed.join(broadcast_if_small(notes), ["state", "scheme_id"])
+        .select("profile_id", "scheme_id", F.inline(first))
+        .where("affects_rule IS NOT NULL")
+        .withColumn("severity", F.lit("UNKNOWN"))
+    )
+
+
 ACTION = "struct<prefix:string,description:string,urgency:string,document:string,effort:string>"
 
 
@@ -217,7 +262,7 @@ def remediation(gapped: DataFrame) -> DataFrame:
 
 def near_miss_score() -> Column:
     """Passed share of all evaluated rules; only near misses and ineligible ones have it."""
-    total = F.size("evals")
+    total = F.col("rules_passed") + F.col("rules_failed") + F.col("rules_undetermined")
     return F.when(
         F.col("status").isin("NEAR_MISS", "INELIGIBLE"),
         F.when(total == 0, 0.0).otherwise(F.col("rules_passed") / total),

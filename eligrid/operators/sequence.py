@@ -119,11 +119,12 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         current = now
 
 
-def steps(dets: DataFrame, ordered: DataFrame, edges: DataFrame) -> DataFrame:
+def steps(dets: DataFrame, ordered: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Numbered application steps per profile.
 
     Levels come from the whole acyclic graph once; any subset of a topological
-    order is one too, so a profile only filters and numbers.
+    order is one too, so a profile only filters and numbers. Profiles are dealt over
+    `tasks`, if given: what follows costs more than the few bytes of its rows show.
     """
     sources = edges.groupBy(F.col("dst").alias("scheme_id")).agg(
         F.array_sort(F.collect_set("src")).alias("sources")
@@ -135,7 +136,8 @@ def steps(dets: DataFrame, ordered: DataFrame, edges: DataFrame) -> DataFrame:
     rows = dets.where(~F.col("status").isin(*EXCLUDED)).select(
         "profile_id", "scheme_id", "status", confidence.alias("confidence")
     )
-    per_profile = rows.join(broadcast_if_small(dim), "scheme_id").groupBy("profile_id").agg(
+    placed = rows.join(broadcast_if_small(dim), "scheme_id")
+    per_profile = (placed.repartition(tasks, "profile_id") if tasks else placed).groupBy("profile_id").agg(
         F.array_sort(F.collect_list(F.struct("level", "scheme_id", "status", "confidence", "sources"))).alias("s")
     )
     ids = F.transform("s", lambda x: x["scheme_id"])

@@ -647,7 +647,7 @@ _STEPS = """
 )
 def seq_steps(v: Views) -> DataFrame:
     _, arcs, level = _Graph.of(v)
-    return sequence.steps(v.determinations(), level, arcs).select(
+    return sequence.steps(v.determinations(), level, arcs, v.profile_tasks()).select(
         "profile_id", F.col("step").cast("long").alias("step"), "scheme_id", "status", six("confidence"),
         F.array_join("depends_on", ",").alias("depends_on"),
     )
@@ -681,7 +681,7 @@ _PARALLEL = {
 )
 def seq_parallel(v: Views) -> DataFrame:
     _, arcs, level = _Graph.of(v)
-    return sequence.parallel_groups(sequence.steps(v.determinations(), level, arcs), arcs)
+    return sequence.parallel_groups(sequence.steps(v.determinations(), level, arcs, v.profile_tasks()), arcs)
 
 
 @query(

@@ -148,6 +148,9 @@ _WARN = """'Administrative discretion: ' || coalesce(nullif(display_text, ''), r
     ),
 )
 def discretion_warnings(v: Views) -> DataFrame:
+    coded = v.coded()
+    if coded is not None:
+        return results.coded_warnings(coded, v.nested_rules())
     return v.determinations().select(
         "profile_id", "scheme_id", F.explode(results.discretion_warnings()).alias("warning")
     )
@@ -294,7 +297,9 @@ def gap_classify(v: Views) -> DataFrame:
     ),
 )
 def gap_failed_rules(v: Views) -> DataFrame:
-    return gaps.failed_rules(gaps.with_gaps(v.determinations())).withColumn("magnitude", F.round("magnitude", 4))
+    coded = v.coded("cells", "extras")
+    rows = gaps.failed_rules(gaps.with_gaps(v.determinations())) if coded is None else gaps.coded_failed_rules(coded, v.nested_rules())
+    return rows.withColumn("magnitude", F.round("magnitude", 4))
 
 
 @query(
@@ -320,7 +325,8 @@ def gap_prereq(v: Views) -> DataFrame:
     ),
 )
 def gap_ambiguity_notes(v: Views) -> DataFrame:
-    return gaps.ambiguity_notes(v.determinations())
+    coded = v.coded()
+    return gaps.ambiguity_notes(v.determinations()) if coded is None else gaps.coded_notes(coded, v.nested_rules())
 
 
 _DOC_NAME = case_map("field", model.DOCUMENT_FIELDS)
@@ -370,7 +376,8 @@ _NEAR = """CASE WHEN status IN ('NEAR_MISS', 'INELIGIBLE') THEN
 
 @query("near_miss_score", oc.sql(f"SELECT profile_id, scheme_id, {_NEAR} AS near_miss FROM dets WHERE {MISSED}"))
 def near_miss_score(v: Views) -> DataFrame:
-    return v.determinations().where(MISSED).select(
+    # Counters are enough; no rule is looked at again.
+    return v.decided().where(MISSED).select(
         "profile_id", "scheme_id", F.round(gaps.near_miss_score(), 6).alias("near_miss")
     )
 

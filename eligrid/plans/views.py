@@ -12,6 +12,10 @@ from eligrid.plans import derive
 from eligrid.session import checkpoint, within_limit
 
 
+# Profiles of one task at most, on average: the number of tasks follows the number of profiles.
+TASK_PROFILES = 5000
+
+
 class Views:
     """Lazy domain tables; one instance per session and data folder."""
 
@@ -22,6 +26,7 @@ class Views:
         self._plans: dict[str, DataFrame] = {}
         self._built: dict[str, predicate_index.Index | None] = {}
         self._grown: Views | None = None
+        self._tasks: int | None = None
 
     def _keep(self, name: str, build) -> DataFrame:
         """Rule-base tables are small and read by every query: written out once."""
@@ -60,14 +65,23 @@ class Views:
         """Profiles as cells, spread by profile id.
 
         One shuffle of the narrow rows: it evens out the evaluation, and every later
-        grouping by profile (and scheme) finds its rows already together.
+        grouping by profile (and scheme) finds its rows already together. A profile costs far more
+        than its bytes show, so the number of tasks is given and not left to sizes.
         """
         if "cells" not in self._plans:
-            made = profiles.with_cells(self.profiles(), {k: f"`{k}`" for k in derive.EXTRA_EXPRESSIONS})
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            self._plans["cells"] = made.repartition(parts, "profile_id")
+            dealt = self.profiles_raw().repartition(self.profile_tasks(), "profile_id")
+            ready = profiles.derive_annual_income(profiles.normalise(dealt))
+            self._plans["cells"] = profiles.with_cells(ready, {k: f"`{k}`" for k in derive.EXTRA_EXPRESSIONS})
         return self._plans["cells"]
 
+    def profile_tasks(self) -> int:
+        """Tasks for work on profiles: the more profiles, the more tasks, and none gets longer."""
+        if self._tasks is None:
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            # One more than other shuffles have: an equal number counts as done by the join before it, whose tasks are merged by size.
+            self._tasks = max(parts, -(-self.table("customer").count() // TASK_PROFILES)) + 1
+        return self._tasks
+
     def schemes(self) -> DataFrame:
         return self._keep(
             "schemes", lambda: self.spark.sql(derive.SCHEMES_SQL, part=self.parts())
@@ -154,6 +168,12 @@ class Views:
                 self._plans["determinations"] = predicate_index.whole_determinations(placed, nested, index)
         return self._plans["determinations"]
 
+    def coded(self, *carried: str) -> DataFrame | None:
+        """Statuses, counters and a code per rule of all pairs; None where determinations come from the nested rules."""
+        nested, index = self.nested_rules(), self.index()
+        if index is None or not within_limit(nested):
+            return None
+        return predicate_index.details(decision.placed(self.profile_cells(), index.states), index, *carried)
 
     def decided(self) -> DataFrame:
         """Statuses, counters and scores of all pairs, over the predicate index; lazy, like `determinations`."""
