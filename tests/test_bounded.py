@@ -40,6 +40,26 @@ def test_candidates_stay_far_below_all_pairs(spark, folder):
     assert some.count() < 0.3 * d.count() * q.select("item_id").distinct().count()
 
 
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_texts_are_scored_in_place(spark, block, monkeypatch):
+    """The rows of the full scores, copies and odd texts included; no pairs and no postings in any exchange."""
+    monkeypatch.setattr(retrieval, "BLOCK_SCORES", block)
+    rng = random.Random(4)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.choice([1, 3, 20, 200])))) for i in range(300)] + [(900, ""), (901, None), (902, "12 !")]
+    docs += [(1000 + i, docs[5][1]) for i in range(50)]
+    asked = [(f"q{i}", " ".join(rng.choices(words, weights, k=12))) for i in range(12)] + [("q50", "nothing shared"), ("q51", words[59])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    q = retrieval.term_counts(spark.createDataFrame(asked, "item_id string, text string"), "item_id", "text").select("item_id", "term", "c")
+    full = retrieval.top_k(q, retrieval.postings(d, "doc_id", "text"), "item_id", "doc_id", 3)
+    found = retrieval.top_k_of_texts(q, d, "item_id", "doc_id", "text", 3)
+    columns = ["item_id", "doc_id", "score", "rank"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, full.select(*columns).collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert retrieval.top_k_of_texts(q, d, "item_id", "doc_id", "text", 3, limit=0) is None
+
+
 def test_mentions_by_anchor(spark):
     ids = ["a", "Zq", "brand#1", "Brand#12", "BRAND#123456789", "xbrand#12", "ü-id", "", None, "same", "Same"]
     texts = ["see BRAND#12 now", "nothing", "", None, "brand#123456789", "zq", "Ü-ID", "the SAME", "long " * 20_000 + "xbrand#12", "aaaa"]
