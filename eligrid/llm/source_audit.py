@@ -38,18 +38,24 @@ SHARD_TERMS = 500_000
 ROUND_BYTES = 64 << 20
 # Cells of one (source x ordinal) matrix.
 CELLS = 1 << 17
+# Bits of a block's number within its lang.
+BLOCK_BITS = 40
+# Columns of a block's rows that are no ordinals.
+TOTAL, TERMS = -1, -2
 
 RESULT_ORDER = ("lang", "source", "part", "item", "value", "rank")
 # Bytes of a text: capitals to small letters; all ASCII that is no letter separates.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(LETTERS).split()
+def terms_of(text: str | bytes | None) -> list[bytes]:
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return data.translate(LETTERS).split()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    """Texts as their bytes, so that tasks need not decode and encode them."""
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]).withColumn("text", F.col("text").cast("binary"))
 
 
 def document_counts(docs: DataFrame, flush: int = FLUSH) -> DataFrame:
@@ -305,7 +311,7 @@ class _Recount:
         numbers = self.numbers.get(lang)
         if numbers is None:
             numbers = self.numbers[lang] = self.fresh()
-        self.tokens.append((lang, group, np.array(list(map(numbers.__getitem__, terms)), np.int64)))
+        self.tokens.append((lang, group, np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms))))
         self.waiting += len(terms)
         if self.waiting >= self.pending or sum(map(len, self.numbers.values())) >= self.flush:
             self.settle()
@@ -411,7 +417,7 @@ def shares(counts, total, terms, scale: int = SCALE):
     return value + 1
 
 
-BLOCK_ROW = "lang string, source int, other int, ordinal long, value long"
+BLOCK_ROW = "number long, source int, other int, ordinal long, value long"
 
 
 def compare_blocks(counts: DataFrame, facts: DataFrame, cells: int = CELLS, top: int = TOP) -> DataFrame:
@@ -420,34 +426,42 @@ def compare_blocks(counts: DataFrame, facts: DataFrame, cells: int = CELLS, top:
     counts: lang, source, ordinal, n (n > 0); facts: lang, terms, sources (sorted array of source, total).
     """
     width = F.greatest(F.lit(1), F.floor(F.lit(cells) / F.size("sources")))
-    known = facts.select("lang", "terms", width.alias("width"), F.transform("sources", lambda s: s["total"]).alias("totals"), "sources")
-    places = known.select("lang", "width", F.posexplode("sources").alias("row", "s")).select("lang", "width", "row", F.col("s.source").alias("source"))
+    # Langs with terms are numbered, so that a block has one number for a key: rows are sorted by it without comparing names.
+    known = facts.filter("terms > 0").select(
+        "lang", F.row_number().over(Window.orderBy("lang")).cast("long").alias("number"), "terms", width.alias("width"),
+        F.transform("sources", lambda s: s["total"]).alias("totals"), "sources",
+    )
+    places = known.select("lang", "number", "width", F.posexplode("sources").alias("row", "s")).select("lang", "number", "width", "row", F.col("s.source").alias("source"))
     block = F.floor(F.col("ordinal") / F.col("width"))
+    cell = lambda at: F.shiftleft("number", BLOCK_BITS) + at
     placed = counts.join(broadcast_if_small(places), ["lang", "source"]).select(
-        "lang", block.alias("block"), (F.col("ordinal") - block * F.col("width")).cast("int").alias("column"), "row", "n"
+        cell(block).alias("cell"), (F.col("ordinal") - block * F.col("width")).cast("int").alias("column"), "row", "n"
     )
-    # Each block gets the totals of all sources in a row of its own, without a column.
-    kind = "struct<width:long,terms:long,totals:array<long>>"
+    # Each block gets the number of terms and the totals of all sources as rows of negative columns. A nested column
+    # here would cost time with the square of a batch: its size is taken anew with every row.
     last = F.floor((F.col("terms") - 1) / F.col("width"))
-    heads = known.filter("terms > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), F.struct("width", "terms", "totals").cast(kind).alias("facts"))
-    rows = placed.withColumn("facts", F.lit(None).cast(kind)).unionByName(heads, allowMissingColumns=True)
+    totals = F.transform("totals", lambda n, i: F.struct(F.lit(TOTAL).alias("column"), i.alias("row"), n.alias("n")))
+    terms = F.array(F.struct(F.lit(TERMS).alias("column"), F.lit(0).alias("row"), F.col("terms").alias("n")))
+    heads = known.select(F.explode(F.sequence(cell(F.lit(0)), cell(last))).alias("cell"), F.concat(terms, totals).alias("facts")).select("cell", F.inline("facts"))
+    rows = placed.unionByName(heads)
 
     def compare(key, table):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        lang, block = (k.as_py() for k in key)
-        held = table.column("column").is_valid()
-        facts = table.filter(pc.invert(held)).column("facts").to_pylist()[0]
-        table = table.filter(held)
-        totals = np.array(facts["totals"], np.int64)
-        start = block * facts["width"]
-        columns = min(facts["width"], facts["terms"] - start)
+
+        number, block = key[0].as_py() >> BLOCK_BITS, key[0].as_py() & ((1 << BLOCK_BITS) - 1)
+        column, row, counted = (table.column(c).to_numpy() for c in ("column", "row", "n"))
+        terms = int(counted[column == TERMS][0])
+        totals = np.zeros((column == TOTAL).sum(), np.int64)
+        totals[row[column == TOTAL]] = counted[column == TOTAL]
+        width = max(1, cells // len(totals))
+        held = column >= 0
+        start = block * width
+        columns = min(width, terms - start)
         n = np.zeros((len(totals), columns), np.int64)
-        n[table.column("row").to_numpy(), table.column("column").to_numpy()] = table.column("n").to_numpy()
-        p = shares(n, totals[:, None], facts["terms"])
-        q = shares(n.sum(axis=0) if len(totals) else 0, totals.sum(), facts["terms"])
+        n[row[held], column[held]] = counted[held]
+        p = shares(n, totals[:, None], terms)
+        q = shares(n.sum(axis=0) if len(totals) else 0, totals.sum(), terms)
         out = {"source": [], "other": [], "ordinal": [], "value": []}
 
         def add(source, other, ordinal, value):
@@ -467,7 +481,7 @@ def compare_blocks(counts: DataFrame, facts: DataFrame, cells: int = CELLS, top:
         made = {k: np.concatenate([np.atleast_1d(x) for x in v]) for k, v in out.items()}
         return pa.table(
             {
-                "lang": pa.array([lang] * len(made["value"]), pa.string()),
+                "number": pa.array([number] * len(made["value"]), pa.int64()),
                 "source": pa.array(made["source"], pa.int32()),
                 "other": pa.array(made["other"], pa.int32()),
                 "ordinal": pa.array(made["ordinal"], pa.int64()),
@@ -475,7 +489,8 @@ def compare_blocks(counts: DataFrame, facts: DataFrame, cells: int = CELLS, top:
             }
         )
 
-    return rows.groupBy("lang", "block").applyInArrow(compare, BLOCK_ROW)
+    found = rows.groupBy("cell").applyInArrow(compare, BLOCK_ROW)
+    return found.join(broadcast_if_small(known.select("number", "lang")), "number").select("lang", "source", "other", "ordinal", "value")
 
 
 def spelled(ranked: DataFrame, folder: str, number: int) -> DataFrame:

@@ -245,3 +245,18 @@ def test_divergence_of_empty_and_termless_tables(spark):
     assert source_audit.divergence(documents(spark, [])).collect() == []
     rows = [(1, "one", "en", "a"), (2, None, "en", "b"), (3, "two", None, None)]
     assert as_rows(source_audit.divergence(documents(spark, rows))) == diverged(rows)
+
+
+def test_compared_rows_are_flat(spark):
+    """A list among the rows of a block would be sized anew with every row; names and totals come as numbers."""
+    counts = spark.createDataFrame([("b", "s", 0, 3), ("b", "t", 1, 2), ("a", "s", 0, 5)], "lang string, source string, ordinal long, n long")
+    facts = spark.createDataFrame(
+        [("a", 1, [("s", 5)]), ("b", 2, [("s", 3), ("t", 2)]), ("c", 0, [("s", 0)])], "lang string, terms long, sources array<struct<source:string,total:long>>"
+    )
+    made = source_audit.compare_blocks(counts, facts)
+    grouped = next(line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "compare(" in line)
+    assert "facts" not in grouped and "lang" not in grouped.split("compare(")[1].split(")")[0]
+    p = lambda n, total: 1 + 10**9 * (n + 1) // (total + 2)
+    want = sum((p(x, 3) - p(y, 2)) ** 2 // p(y, 2) for x, y in ((3, 0), (0, 2)))
+    assert {(r.lang, r.source, r.other): r.value for r in made.collect() if r.ordinal < 0}[("b", 0, 1)] == want
+    assert {r.lang for r in made.collect()} <= {"a", "b"}
