@@ -108,6 +108,16 @@ def effective_rules(rules: DataFrame, states: tuple[str, ...] = model.STATE_CODE
     return kept.unionByName(local)
 
 
+def listed_rules(rules: DataFrame, states: tuple[str, ...] = model.STATE_CODES) -> DataFrame:
+    """The rules of `effective_rules` without a copy per state: a scheme's central rules once, with a null state, and
+    again only for each state with rules of its own for that scheme."""
+    central = rules.where("state_scope = 'central'")
+    local = rules.where("state_scope <> 'central'").where(F.col("state_scope").isin(NO_STATE, *states)).withColumn("state", F.col("state_scope"))
+    gone = local.where("supersedes_rule_id IS NOT NULL").select("state", "scheme_id", F.col("supersedes_rule_id").alias("rule_id"))
+    again = central.join(local.select("state", "scheme_id").distinct(), "scheme_id").join(gone, ["state", "scheme_id", "rule_id"], "left_anti")
+    return central.withColumn("state", F.lit(None).cast("string")).unionByName(again).unionByName(local)
+
+
 def flag_severity(flags: DataFrame) -> DataFrame:
     """Severity per flag id; the last flag in catalogue order wins on duplicates."""
     order = F.struct("scheme_id", "ord", "pos")

@@ -7,9 +7,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eligrid.operators import decision, mining, predicate_index, profiles, rulebase
+from eligrid.operators import decision, mining, predicate_index, profiles, rulebase, scheme_totals
 from eligrid.plans import derive
-from eligrid.session import checkpoint, within_limit
+from eligrid.session import checkpoint, within_limit, written_table
 
 
 # Profiles of one task at most, on average: the number of tasks follows the number of profiles.
@@ -192,6 +192,27 @@ class GrownViews(Views):
     def parts(self) -> DataFrame:
         return self.table("part").selectExpr(*derive.GROWN_PART)
 
+    def totals(self) -> DataFrame | None:
+        """Totals per scheme and status over all profiles; None where the predicates are too many for it."""
+        return scheme_totals.totals(self.profile_cells(), self.schemes(), _CountedRules(self.spark, self.folder).bound_rules())
+
+
+class _CountedRules(GrownViews):
+    """The grown rule base without the texts that no decision reads."""
+
+    RAW = (
+        "scheme_id", "rule_id", "ord", "rule_type", "field", "operator", "value_kind", "value_text", "value_min", "value_max", "values_kind", "values_text",
+        "audit_status", "state_scope", "supersedes_rule_id", "flag_severity", "flag_code", "flag2_severity", "flag2_code", "in_review_queue",
+    )
+
+    def _keep(self, name: str, build) -> DataFrame:
+        if name not in self._kept:
+            self._kept[name] = build() if name == "bound" else written_table(build(), name)
+        return self._kept[name]
+
+    def rules_raw(self) -> DataFrame:
+        return self._keep("rules", lambda: self.spark.sql(derive.RULES_RAW_SQL, part=self.parts()).select(*self.RAW))
+
 
 @lru_cache(maxsize=8)
 def _views(app: str, folder: str) -> Views:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,13 +49,32 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES, written: boo
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's shared checkpoint folder."""
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def written_table(df: DataFrame, purpose: str) -> DataFrame:
+    """Like `checkpoint`, as a compressed file table in the same folder, whose files tasks can also read by themselves."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_file(uri: str):
+    """An open file of the shared folder, for code inside tasks; any scheme that Arrow knows."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(uri)
+    return files.open_input_file(path)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of this session; only a local session without one (tests) gets a folder of its own."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            # Only a local session without a cluster setting (tests) gets a folder of its own.
             if not spark.sparkContext.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return spark.sparkContext.getCheckpointDir()
