@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,20 +33,33 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """These settings for a while; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+# Shuffle files of a query built under this setting go when it ends; else they stay until the driver happens to
+# collect its garbage, and many short queries fill the disk.
+FREES_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def stored(df: DataFrame, purpose: str, batch_rows: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends there, lost executors lose nothing.
 
     batch_rows bounds the rows of one Arrow batch while it is written, so that whole texts stay few in a task.
     """
     spark = df.sparkSession
-    path, setting = scratch(spark, purpose), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    if batch_rows:
-        spark.conf.set(setting, str(batch_rows))
-    try:
+    path, batch = scratch(spark, purpose), {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)} if batch_rows else {}
+    with settings(spark, FREES_SHUFFLES | batch):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -105,7 +119,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     component is a star around its smallest node. Minima are pre-aggregated before the shuffle, so a node with very
     many edges costs no more than others; each round is cut by a checkpoint. Null nodes have no edges.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
+    spark = edges.sparkSession
 
     def state(df):
         # Order-free digest of the edge set; sums may wrap, which is harmless for a comparison.
@@ -115,26 +129,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ).collect()[0]
         return row["n"], row["h"]
 
-    now = checkpoint(pairs)
-    before = state(now)
-    while before[0]:
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(least, "u")
-            .select(F.col("v").alias("x"), "m")
-            .union(least.select("u", "m"))
-            .toDF("u", "v")
-            .filter("u <> v")
-            .distinct()
-        )
-        now = checkpoint(small)
-        after = state(now)
-        if after == before:
-            break
-        before = after
+    def arrows(df, *ends):
+        """Several edges (u, v) out of each row; a union would read the table once for each."""
+        return df.select(F.explode(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in ends))).alias("e")).select("e.*")
+
+    with settings(spark, FREES_SHUFFLES):
+        ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b")
+        # From the larger node to the smaller one, as every round leaves them.
+        now = checkpoint(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        before = state(now)
+        while before[0]:
+            low = arrows(now, ("u", "v"), ("v", "u")).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = now.toDF("above", "u").join(low, "u").select(F.col("above").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = arrows(large.join(least, "u"), ("v", "m"), ("u", "m")).filter("u <> v").distinct()
+            now = checkpoint(small)
+            after = state(now)
+            if after == before:
+                break
+            before = after
     heads = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)

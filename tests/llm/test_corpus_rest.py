@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eligrid.llm import secret_ledger, toxicity
-from eligrid.llm.common import components, scratch
+from eligrid.llm.common import components, scratch, stored
 from eligrid.llm.cover_tree import dual_pairs, near_duplicates, unit
 from eligrid.llm.reply_trees import formatted, from_turns, read_back
 from eligrid.llm.warc import read_archive, write_archive
@@ -21,6 +22,26 @@ def test_components_of_chains_stars_and_rings(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, **{i: 200 for i in range(200, 203)}}
 
 
+def test_finished_queries_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before = files()
+    edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1 + F.col("id") % 7).alias("b"))
+    linked = components(edges)
+    written = stored(edges.groupBy("b").count(), "shuffled")
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert linked.count() == len({x for r in edges.collect() for x in r}) and written.count() == edges.select("b").distinct().count()
+
+
 @pytest.mark.parametrize("spread", [0.02, 0.12, 1.0])
 def test_dual_traversal_finds_all_pairs(spread):
     rng = np.random.default_rng(1)
