@@ -3,7 +3,8 @@
 Both tokenizers cut a text before a blank that is followed by a visible character, whatever stands around, so the
 parts between such cuts can be encoded one by one and joined. Parts seen before come from a bounded cache kept by
 the Python worker; the library encodes the others. Any other white space stays inside its part. A part of Latin
-letters alone is one word to the tokenizer's own splitting, so the library's merges are called on it directly.
+letters alone is one word to the tokenizer's own splitting, so the library's merges are called on it directly. A
+word and the symbols after it are looked up one by one where the splitting cuts between them.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ class Encoder:
                 return self[code]
 
         shown = Shown()
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+        def after_letter(c):
+            """Whether the splitting cuts between a letter and any number of these."""
+            return all([x for x, _ in split("a" + c * n)] == ["a", c * n] for n in (1, 2, 3))
+
+        # An apostrophe may belong to the letters after it.
+        symbols = "".join(filter(after_letter, "!#$%&*+,-./:;=?@^_|~")) if keeps_blanks else ""
 
         def plain(part):
             # Composed letters up to here are as stable in every Unicode version as ASCII.
@@ -56,6 +65,11 @@ class Encoder:
                 if part[-1:] in (".", ",") and part[-2:-1].isalpha() and part[-2].islower():
                     # A letter and a mark after it are never one token.
                     return self[part[:-1]] + marks[part[-1]]
+                if part[:1] == "\n" and len(part) > 1 and self is later:
+                    return self.keep(part, first["\n"] + first[part[1:]])
+                stem = part.rstrip(symbols) if symbols else part
+                if stem != part and plain(stem) and not any(x in part for x in added):
+                    return self.keep(part, self[stem] + first[part[len(stem) :]])
                 low = part.lower() if folds else part
                 if low != part and plain(low):
                     return self[low]
@@ -63,14 +77,16 @@ class Encoder:
                     ids = [x.id for x in merge(self.mark + (part if part.isascii() else part.translate(shown)))]
                 else:
                     ids = encode(self.lead + part, add_special_tokens=False).ids
-                value = struct.pack(f"<{len(ids)}I", *ids)
+                return self.keep(part, struct.pack(f"<{len(ids)}I", *ids))
+
+            def keep(self, part, value):
                 if len(self) < CACHE_WORDS and len(part) <= 64:
                     self[part] = value
                 return value
 
         folds = not keeps_blanks  # that tokenizer lower-cases
-        self.first, self.later = Cache(""), Cache(" " if keeps_blanks else "")
-        marks = self.first
+        first, later = self.first, self.later = Cache(""), Cache(" " if keeps_blanks else "")
+        marks = first
 
     def encode(self, text: str) -> bytes:
         if not self.keeps_blanks:
@@ -81,11 +97,8 @@ class Encoder:
             parts = self.cut.split(text)
             return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
         # Every line feed stands alone between visible characters and is a token of its own.
-        out, newline = [], self.first["\n"]
-        for line in lines:
-            parts = line.split(" ")
-            out.append(self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:])))
-        return newline.join(out)
+        parts = text.replace("\n", " \n").split(" ")
+        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
 def encoder(path: str, keeps_blanks: bool) -> Encoder:

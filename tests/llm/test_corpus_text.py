@@ -229,3 +229,19 @@ def test_empty_tables(spark):
     assert decode(encode(none, path), path).collect() == []
     assert pieces(pack(none, vocabulary_file("word_bpe_49k.json"))).collect() == []
     assert read_documents(spark, *write_shards(none, vocabulary_file("byte_bpe_50k.json"), 50257)).collect() == []
+
+
+def test_words_before_symbols_are_merged_once():
+    import struct
+
+    from eligrid.llm.queries import vocabulary_file
+    from eligrid.llm.tokens import Encoder
+
+    encoder = Encoder(vocabulary_file("byte_bpe_50k.json"), True)
+    texts = ["Hain*** çelle&&& can't. a_b U.S. x$,. 3%%% it's-- ok!?", "a\nHain***\n***\n.b", "***", "Hain<|endoftext|> Hain***<|endoftext|>", "a***\u0301 b"]
+    for text in texts:
+        whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text) == struct.pack(f"<{len(whole)}I", *whole)
+    words = [a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    encoder.encode(" ".join(["a", *(w + "***" for w in words)]))
+    assert set(encoder.later) >= set(words)
