@@ -1,10 +1,11 @@
 """Totals per scheme and status: counted per combination, with the figures that a row per pair gives."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from eligrid.operators import decision, rulebase, scheme_totals
-from eligrid.plans import catalogue
-from eligrid.plans.views import views
+from eligrid.plans import catalogue, derive
+from eligrid.plans.views import GrownViews, views
 
 SUMMED = ("c_pass", "c_fail", "rules_passed", "rules_failed", "rules_undetermined")
 
@@ -42,3 +43,35 @@ def test_no_row_per_pair_and_no_rule_base_per_state(spark, folder):
     bound = v.bound_rules()
     listed = rulebase.listed_rules(bound)
     assert 0 < listed.count() < rulebase.effective_rules(bound).count() / 5
+
+
+class Repeated(GrownViews):
+    """The grown rule base over the parts repeated under further keys."""
+
+    def parts(self):
+        keys = F.explode(F.sequence(F.lit(0), F.lit(19))).alias("copy")
+        repeated = self.table("part").select("*", keys).withColumn("p_partkey", F.col("p_partkey") + 1002 * F.col("copy"))
+        return repeated.selectExpr(*derive.GROWN_PART)
+
+
+def test_profiles_are_counted_per_group_of_schemes(spark, folder, monkeypatch):
+    """Schemes that read the same fields share one pass over the profiles; before, each list of rules had its own."""
+    v = Repeated(spark, folder)
+    rows_, held = scheme_totals.prepared(v.profile_cells(), v.schemes(), v.bound_rules())
+    passes, count = [], scheme_totals._Group.count
+    monkeypatch.setattr(scheme_totals._Group, "count", lambda self, columns, n: (passes.append(n), count(self, columns, n)))
+    found = list(scheme_totals._counted(iter(rows_.toArrow().to_batches()), held.value, scheme_totals.BLOCK_CELLS, scheme_totals.COMBINATIONS))
+    schemes = v.schemes().where("status = 'active'").count()
+    assert schemes > 500 and len(passes) < schemes / 10
+    expected = rows(by_pairs(decision.determinations(v.profile_cells(), v.nested_rules())))
+    assert rows(spark.createDataFrame(pa.Table.from_batches(found))) == expected
+
+
+def test_totals_of_predicates_over_a_table_and_of_no_rules(spark, folder, monkeypatch):
+    v = views(spark, folder)
+    expected = rows(by_pairs(decision.determinations(v.profile_cells(), v.nested_rules())))
+    monkeypatch.setattr(scheme_totals, "EXPRESSIONS", 0)
+    assert rows(scheme_totals.totals(v.profile_cells(), v.schemes(), v.bound_rules())) == expected
+    nothing = scheme_totals.totals(v.profile_cells(), v.schemes(), v.bound_rules().limit(0))
+    profiles, schemes = v.table("customer").count(), v.schemes().where("status = 'active'").count()
+    assert nothing.agg(F.sum("n"), F.count("*"), F.sum("rules_passed")).first() == (profiles * schemes, schemes, 0)
