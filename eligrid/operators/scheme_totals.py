@@ -41,6 +41,8 @@ EXPRESSIONS = 256
 AXIS_OTHERS = 4
 # Profiles whose joint code is made at a time.
 STEP = 1 << 16
+# Codes of several axes that a block's profiles hold as one.
+PACKED = 1 << 12
 # (combination x rule) cells that are decided at a time.
 DECIDED_CELLS = 1 << 19
 
@@ -341,21 +343,51 @@ class _Axes:
         _, starts, classes = self.runs(part)
         return classes[np.searchsorted(starts, cuts, "right") - 1]
 
-    def table(self, axis, cuts, stride):
-        """What a code of an axis adds to the place in a histogram."""
+    def table(self, axis, values):
+        """The values of an axis' codes, by code."""
         import numpy as np
 
         codes = self.held["codes"][axis]
         table = np.zeros(int(codes[-1]) + 1, np.int64)
-        table[codes] = np.repeat(np.arange(len(cuts)) * stride, np.diff([*cuts, len(codes)]))
+        table[codes] = values
         return table
 
+    def steps(self, axis, cuts, stride=1):
+        """What each code of an axis adds to the place in a histogram."""
+        import numpy as np
+
+        return np.repeat(np.arange(len(cuts)) * stride, np.diff([*cuts, len(self.held["codes"][axis])]))
+
+    def packs(self, axes):
+        """Axes in packs of a bounded number of joint codes; one with more of its own is a pack by itself."""
+        found, cells = [], PACKED
+        for axis in axes:
+            cells *= len(self.held["codes"][axis])
+            if cells > PACKED:
+                found.append([])
+                cells = len(self.held["codes"][axis])
+            found[-1].append(axis)
+        return [tuple(pack) for pack in found]
+
+    def pack(self, pack, columns, n):
+        """One code per profile for a pack of axes."""
+        import numpy as np
+
+        if len(pack) == 1:
+            return columns[pack[0]]
+        sizes = [len(self.held["codes"][a]) for a in pack]
+        tables = [self.table(a, np.arange(size) * int(np.prod(sizes[i + 1 :]))) for i, (a, size) in enumerate(zip(pack, sizes))]
+        joint = np.empty(n, np.uint16)
+        for low in range(0, n, STEP):
+            joint[low : low + STEP] = sum(table.take(columns[a][low : low + STEP]) for a, table in zip(pack, tables))
+        return joint
+
 
 class _Group:
     """Patterns that share a histogram: its axes, each with the cuts of all their predicates."""
 
     def __init__(self):
-        self.cuts, self.cells, self.patterns, self.counts = {}, 1, [], None
+        self.cuts, self.cells, self.patterns = {}, 1, []
 
     def taken(self, pattern, limit):
         """Add a pattern if the histogram stays within the limit."""
@@ -371,28 +403,36 @@ class _Group:
         self.patterns.append(pattern)
         return True
 
-    def begun(self, axes, total):
+    def begun(self, axes, packs, total):
         import numpy as np
 
         self.axes = sorted(self.cuts)
         self.at = {a: np.array(sorted(self.cuts[a])) for a in self.axes}
         self.shape = [len(self.at[a]) for a in self.axes]
         strides = [int(np.prod(self.shape[i + 1 :])) for i in range(len(self.shape))]
-        self.tables = [axes.table(a, self.at[a], stride) for a, stride in zip(self.axes, strides)]
+        steps = {a: axes.steps(a, self.at[a], stride) for a, stride in zip(self.axes, strides)}
+        self.tables = []
+        for pack in packs:
+            if not steps.keys().isdisjoint(pack):
+                table = np.zeros(1, np.int64)
+                for a in pack:
+                    table = (table[:, None] + steps.get(a, np.zeros(len(axes.held["codes"][a]), np.int64))).reshape(-1)
+                self.tables.append((pack, table if len(pack) > 1 else axes.table(pack[0], table)))
         self.counts = np.zeros(self.cells, np.int32 if total < 1 << 31 else np.int64)
 
     def count(self, columns, n):
-        """Add a block of profiles, the codes of each axis."""
+        """Add a block of profiles, the codes of each pack of axes."""
         import numpy as np
 
-        if not self.axes:
+        if not self.tables:
             self.counts += n
             return
         whole = np.empty(n, np.int64) if self.cells > STEP // 4 else None
         for low in range(0, n, STEP):
-            at = self.tables[0].take(columns[self.axes[0]][low : low + STEP])
-            for table, a in zip(self.tables[1:], self.axes[1:]):
-                at += table.take(columns[a][low : low + STEP])
+            (pack, table), *others = self.tables
+            at = table.take(columns[pack][low : low + STEP])
+            for pack, table in others:
+                at += table.take(columns[pack][low : low + STEP])
             if whole is None:
                 self.counts += np.bincount(at, minlength=self.cells).astype(self.counts.dtype)
             else:
@@ -501,7 +541,7 @@ class _Pattern:
         for axis, members in self.parts:
             cuts = np.array(sorted(self.starts[axis]))
             merge, classes = _merged(axes, members, cuts)
-            table = axes.table(axis, cuts, 1)
+            table = axes.table(axis, axes.steps(axis, cuts))
             if isinstance(members[0], tuple):
                 rows = np.flatnonzero(merge[0][table].take(columns[axis]))
             else:
@@ -637,12 +677,14 @@ def _counted(batches, held, cells, combinations):
         while groups and (not own or size + groups[0].cells <= HELD_CELLS):
             own.append(groups.pop(0))
             size += own[-1].cells
+        shared = sorted({a for group in own for a in group.cuts})
+        packs = axes.packs(shared)
         for group in own:
-            group.begun(axes, held["profiles"])
-        needed = sorted({a for g in own for a in g.axes} | {a for p in wide for a in p.starts})
-        for columns, n in _profile_blocks(held, needed, rows):
+            group.begun(axes, packs, held["profiles"])
+        for columns, n in _profile_blocks(held, sorted({*shared, *[a for p in wide for a in p.starts]}), rows):
+            packed = {pack: axes.pack(pack, columns, n) for pack in packs}
             for group in own:
-                group.count(columns, n)
+                group.count(packed, n)
             for pattern in wide:
                 classes, counts = pattern.counted(axes, columns, n)
                 totals.add(pattern, classes, counts)
